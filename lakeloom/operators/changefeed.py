@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.store import VersionedFolder
-from ..session import BROADCAST_ROWS, bounded_broadcast, cut
+from ..session import bounded_broadcast, cut, shuffles_removed
 
 PARTITION = ["stream_id", "partition_id"]
 PLACE = [*PARTITION, "stream_position", "file_index", "record_index"]
@@ -56,19 +56,20 @@ def _matches(a: str, b: str, columns: list[str]) -> Column:
     return reduce(lambda x, c: x & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), columns, F.lit(True))
 
 
-def surviving(rows: DataFrame, deletes: DataFrame) -> DataFrame:
-    """``rows`` without those that a later delete equals in its fields (null equals null).
+def with_alive(rows: DataFrame, deletes: DataFrame) -> DataFrame:
+    """``rows`` with ``alive``: false where a later delete equals the row in its fields (null equals null).
 
-    Deletes are first reduced to the last one per compared values. There are at most 7 field sets; each present one is an
-    anti join on exactly its fields. Fields, not keys, decide, so this is right for deletes on non-key fields as well.
+    Deletes are first reduced to the last one per compared values, so each field set is one left join that adds no rows;
+    there are at most 7 field sets. Fields, not keys, decide, so this is right for deletes on non-key fields as well.
     """
     present = [r[0] for r in deletes.select("fields").distinct().collect()]  # at most 2 ** 3 - 1 values
+    rows = rows.withColumn("alive", F.lit(True))
     for fields in sorted(x for x in present if x):
         on = fields.split(",")
         last = deletes.filter(F.col("fields") == fields).groupBy(*PARTITION, *on).agg(F.max(F.struct(*SEQ)).alias("at"))
-        r, d = rows.alias("r"), bounded_broadcast(last, BROADCAST_ROWS // 4).alias("d")
-        at = F.struct("r.stream_position", "r.file_index", "r.record_index")
-        rows = r.join(d, _matches("r", "d", [*PARTITION, *on]) & (F.col("d.at") > at), "left_anti")
+        r, d = rows.alias("r"), bounded_broadcast(last).alias("d")
+        later = F.coalesce(F.col("d.at") > F.struct(*[f"r.{c}" for c in SEQ]), F.lit(False))
+        rows = r.join(d, _matches("r", "d", [*PARTITION, *on]), "left").select(*[F.col(f"r.{c}") for c in rows.columns if c != "alive"], (F.col("r.alive") & ~later).alias("alive"))
     return rows
 
 
@@ -76,7 +77,7 @@ def final_rows(feed: DataFrame) -> DataFrame:
     """The rows that stand at the end of the whole feed, with the place of the change that set each, without a store."""
     folded = latest_per_place(feed)
     sets = last_sets(folded.filter("kind <> 'delete'").select(*PLACE, *FIELDS))
-    return surviving(sets, folded.filter("kind = 'delete'").select(*PLACE, *FIELDS, delete_fields(F.col("delete_columns")).alias("fields")))
+    return with_alive(sets, folded.filter("kind = 'delete'").select(*PLACE, *FIELDS, delete_fields(F.col("delete_columns")).alias("fields"))).filter("alive").drop("alive")
 
 
 class BucketedTable:
@@ -116,9 +117,7 @@ class BucketedTable:
         touched = None
         if kept is not None:
             self._refuse_moves(kept, earlier, folded)
-            hit = kept.select("*", F.lit(0).alias("_x"))
-            still = surviving(hit.drop("_x"), deletes)
-            lost = hit.join(still.select(*PARTITION, *KEY), [hit[c].eqNullSafe(still[c]) for c in (*PARTITION, *KEY)], "left_anti")
+            lost = with_alive(kept.filter("alive").drop("alive"), deletes).filter("NOT alive")
             routed = sets.select(bucket_of(self.buckets).alias("b")).union(lost.select(bucket_of(self.buckets).alias("b"))).distinct()
             touched = {r["b"] for r in routed.collect()}  # at most the number of buckets
         all_deletes = deletes if earlier is None else earlier.unionByName(deletes)
@@ -126,12 +125,11 @@ class BucketedTable:
         if touched is not None and (part := self._base(old, touched)) is not None:
             rows = sets.unionByName(part.drop("alive"))
         best = cut(last_sets(rows))
-        alive = surviving(best, all_deletes).withColumn("alive", F.lit(True))
-        dead = best.alias("a").join(alive.select(*PARTITION, *KEY).alias("b"), _matches("a", "b", [*PARTITION, *KEY]), "left_anti").withColumn("alive", F.lit(False))
         at = self.store.stage()
-        out = alive.unionByName(dead).withColumn("_bucket", bucket_of(self.buckets))
-        out.repartition(self.buckets, "_bucket").sortWithinPartitions(*PARTITION, *KEY).write.partitionBy("_bucket").parquet(f"{at}/rows")
-        deletes.write.parquet(f"{at}/deletes")
+        out = with_alive(best, all_deletes).withColumn("_bucket", bucket_of(self.buckets))
+        with shuffles_removed(self.spark):
+            out.repartition(self.buckets, "_bucket").sortWithinPartitions(*PARTITION, *KEY).write.partitionBy("_bucket").parquet(f"{at}/rows")
+            deletes.write.parquet(f"{at}/deletes")
         files = self.store.files
         fresh = {n[8:]: f"{at}/rows/{n}" for n in files.list(f"{at}/rows") if n.startswith("_bucket=")}
         buckets = {b: p for b, p in old["buckets"].items() if touched is None or int(b) not in touched} | fresh

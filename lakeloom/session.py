@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side may be broadcast up to this many rows, counted before the hint is given.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,10 +38,36 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/lakeloom/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Shuffle files go as soon as the query that made them has ended; what was written no longer needs them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, each query's shuffle files are removed at its end; the session's own setting comes back afterwards."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """``df`` with its lineage cut: written to the shared folder as compressed columns and read again.
+
+    A lost executor loses nothing of it. ``replaces`` is an earlier cut that is no longer needed; its files are deleted.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if replaces is not None and (old := getattr(replaces, "_cut_path", None)):
+        p = spark._jvm.org.apache.hadoop.fs.Path(old)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return out
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
