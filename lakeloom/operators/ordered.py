@@ -47,24 +47,31 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
     return on
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column | None, name: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """``df`` with column ``name``: the sum of ``value`` (1 if None) over the rows of the key up to and with this one.
+def running_totals(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column | None], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``df`` with a column per entry of ``values``: its sum (of 1 if None) over the rows of the key up to and with this one.
 
     ``order`` should end in a unique column; its first column is the one along which hot keys are cut. Nulls sort
-    first; null values count as 0. An empty input gives an empty result.
+    first; null values count as 0. An empty input gives an empty result. ``df`` is read once to count its keys and once
+    more for the result, so an expensive one should be cut before.
     """
-    v = F.lit(1) if value is None else F.coalesce(value, F.lit(0))
-    cut, hot = _pieces(df.withColumn("_v", v), keys, order[0], piece_rows)
+    given = {f"_v{n}": F.lit(1) if v is None else F.coalesce(v, F.lit(0)) for n, v in enumerate(values.values())}
+    cut, hot = _pieces(df.withColumns(given), keys, order[0], piece_rows)
     w = Window.partitionBy(*keys, "_piece").orderBy(*[F.col(o).asc_nulls_first() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.withColumn(name, F.sum("_v").over(w))
+    out = cut.select("*", *[F.sum(v).over(w).alias(name) for name, v in zip(values, given, strict=True)])
     if hot is None:
-        return out.drop("_v", "_piece")
-    per = cut.alias("_a").join(F.broadcast(hot.select(*keys)).alias("_b"), _same("_a", "_b", keys), "left_semi").groupBy(*keys, "_piece").agg(F.sum("_v").alias("_sum"))
+        return out.drop(*given, "_piece")
+    per = cut.alias("_a").join(F.broadcast(hot.select(*keys)).alias("_b"), _same("_a", "_b", keys), "left_semi").groupBy(*keys, "_piece").agg(*[F.sum(v).alias(f"{v}s") for v in given])
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offset = per.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    offset = per.select(*keys, "_piece", *[F.coalesce(F.sum(f"{v}s").over(before), F.lit(0)).alias(f"{v}b") for v in given])
     on = _same("_a", "_o", [*keys, "_piece"])
     cols = [F.col(f"_a.{c}") for c in df.columns]
-    return out.alias("_a").join(F.broadcast(offset).alias("_o"), on, "left").select(*cols, (F.col(f"_a.{name}") + F.coalesce("_o._before", F.lit(0))).alias(name))
+    sums = [(F.col(f"_a.{name}") + F.coalesce(F.col(f"_o.{v}b"), F.lit(0))).alias(name) for name, v in zip(values, given, strict=True)]
+    return out.alias("_a").join(F.broadcast(offset).alias("_o"), on, "left").select(*cols, *sums)
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column | None, name: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``running_totals`` of one value."""
+    return running_totals(df, keys, order, {name: value}, piece_rows)
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str, piece_rows: int = PIECE_ROWS) -> DataFrame:

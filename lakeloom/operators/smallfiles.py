@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.store import Conflict, Files, VersionedFolder
-from ..session import bounded_broadcast
-from .ordered import running_total
+from ..session import bounded_broadcast, cut
+from .ordered import running_totals
 
 PARTITION = ["stream_id", "partition_id"]
 DELTA = [*PARTITION, "stream_position"]
@@ -28,33 +28,36 @@ def live_listings(deltas: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries of the manifest of the newest committed version of their delta, with the delta's namespace.
 
     Of versions committed at one instant the greatest manifest id counts; a delta without a committed version has none.
+    The uri leaves as two independent 64-bit hashes of its one spelling, so that long texts are not shuffled.
     """
     newest = (
         deltas.filter(F.col("committed_at").isNotNull()).groupBy(*DELTA)
         .agg(F.max(F.struct("committed_at", "manifest_id", "namespace")).alias("_v")).select(*DELTA, "_v.manifest_id", "_v.namespace")
     )
-    return entries.select("entry_id", "manifest_id", *DELTA, "uri", "meta_content_length", "meta_record_count").join(newest, [*DELTA, "manifest_id"])
+    object_ = same_object(F.col("uri"))
+    hashed = entries.select("entry_id", "manifest_id", *DELTA, F.xxhash64(object_).alias("object_a"), F.xxhash64(F.lit("again"), object_).alias("object_b"), "meta_content_length", "meta_record_count")
+    return hashed.join(newest, [*DELTA, "manifest_id"]).drop("manifest_id")
 
 
 def live_files(deltas: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per live object, from the live listing with the smallest entry_id."""
-    x = live_listings(deltas, entries).withColumn("object", same_object(F.col("uri")))
     rest = ["namespace", *DELTA, "meta_content_length", "meta_record_count"]
-    return x.groupBy("object").agg(F.min(F.struct("entry_id", *rest)).alias("_f")).select("object", "_f.*")
+    x = live_listings(deltas, entries).groupBy("object_a", "object_b").agg(F.min(F.struct("entry_id", *rest)).alias("_f"))
+    return x.select("_f.*")
 
 
 def small_files(deltas: DataFrame, entries: DataFrame, targets: DataFrame) -> DataFrame:
     """Live files to merge: of partitions that never saw an upsert or delete delta and have at least two small files.
 
-    A file of unknown length or of a namespace without a target is no case. The target table has one row per namespace
-    and is broadcast after its size is checked; partition facts are aggregates joined back, never windows, so a hot
-    partition is nobody's single task.
+    A file of unknown length or of a namespace without a target is no case. Facts of namespaces and partitions are
+    aggregates joined back (broadcast after their size is checked), never windows, so a hot partition is nobody's
+    single task. The small files are cut off before they are counted by partition.
     """
-    keyed = deltas.filter(F.lower(F.trim("delta_type")).isin("upsert", "delete")).select(*PARTITION).distinct()
-    files = live_files(deltas, entries).join(keyed, PARTITION, "left_anti")
+    keyed = bounded_broadcast(deltas.filter(F.lower(F.trim("delta_type")).isin("upsert", "delete")).select(*PARTITION).distinct())
     limit = bounded_broadcast(targets.groupBy("namespace").agg(F.max("min_file_bytes").alias("min_file_bytes"), F.max("capacity_bytes").alias("capacity_bytes"), F.max("capacity_records").alias("capacity_records")))
-    small = files.join(limit, "namespace").filter(F.col("meta_content_length") < F.col("min_file_bytes"))
-    many = small.groupBy(*PARTITION).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select(*PARTITION)
+    files = live_files(deltas, entries).join(limit, "namespace").filter(F.col("meta_content_length") < F.col("min_file_bytes"))
+    small = cut(files.join(keyed, PARTITION, "left_anti"))
+    many = bounded_broadcast(small.groupBy(*PARTITION).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select(*PARTITION))
     return small.join(many, PARTITION, "left_semi")
 
 
@@ -64,13 +67,10 @@ def merge_plan(deltas: DataFrame, entries: DataFrame, targets: DataFrame) -> Dat
     Outputs are cut where the running bytes or records of the partition pass the namespace's capacity, so an output
     stays below capacity plus one small file. Unknown record counts count as 0.
     """
-    x = small_files(deltas, entries, targets)
-    order = ["stream_position", "entry_id"]
-    bytes_ = running_total(x, PARTITION, order, F.col("meta_content_length"), "bytes_to")
-    both = running_total(bytes_, PARTITION, order, F.col("meta_record_count"), "records_to")
+    x = running_totals(small_files(deltas, entries, targets), PARTITION, ["stream_position", "entry_id"], {"bytes_to": F.col("meta_content_length"), "records_to": F.col("meta_record_count")})
     before = lambda to, own: F.col(to) - F.coalesce(F.col(own), F.lit(0))
     number = F.greatest(F.floor(before("bytes_to", "meta_content_length") / F.col("capacity_bytes")), F.floor(before("records_to", "meta_record_count") / F.col("capacity_records")))
-    return both.select("namespace", *PARTITION, number.cast("int").alias("output_no"), "entry_id", "object", "meta_content_length", "meta_record_count")
+    return x.select("namespace", *PARTITION, number.cast("int").alias("output_no"), "entry_id", "meta_content_length", "meta_record_count")
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:
