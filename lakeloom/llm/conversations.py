@@ -69,7 +69,7 @@ def roots(folded: DataFrame) -> DataFrame:
         open_ = state.filter("ptr IS NOT NULL")
         moved = open_.join(t, (open_["group_id"] == t["_g"]) & (open_["ptr"] == t["_id"]), "left")
         moved = moved.select(*[c for c in state.columns if c not in ("root", "ptr", "early")], F.col("_root").alias("root"), F.col("_ptr").alias("ptr"), "early")
-        state = cut(state.filter("ptr IS NULL").unionByName(moved))
+        state = cut(state.filter("ptr IS NULL").unionByName(moved), replaces=state)
         now = state.filter("ptr IS NOT NULL").count()
         if now == left:
             break  # only cycles are left
