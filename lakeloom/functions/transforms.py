@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: Delimiters of key strings (compaction, conversion).
 KEY_DELIMITER, CONVERTER_DELIMITER = "L6kl7u5f", "c303282d"
 
@@ -73,6 +75,8 @@ def table_format_bucket(column: str, kind: T.DataType, n: int) -> Column:
     Spark's own hash uses another seed, so this is a vectorised UDF over the one column.
     """
 
+    ship()
+
     @F.pandas_udf("int")
     def run(values: pd.Series) -> pd.Series:
         def one(v):

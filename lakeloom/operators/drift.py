@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .ordered import previous
 
 ROW = "uri string, stream_id string, stream_position long, row_no int, fields map<string,struct<value:string,raw:string>>"
@@ -97,6 +98,7 @@ def path_value_rows(content: str | None, kind: str | None):
 
 def load_rows(files: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Every row of every file as a path-value map: (uri, stream_id, stream_position, row_no, fields)."""
+    ship()
     kinds = files.withColumn("_kind", F.lit(None).cast("string")) if types is None else files.join(types.select("uri", F.col("meta_content_type").alias("_kind")), "uri", "left")
 
     def rows(parts):

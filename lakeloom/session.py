@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -33,6 +35,23 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def ship() -> None:
+    """Sends this package to the Python workers, once per context, so that they need no path of their own to it."""
+    sc = SparkSession.active().sparkContext
+    if getattr(sc, "_lakeloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="lakeloom-code-"), "lakeloom.zip")  # the driver serves it
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("lakeloom", os.path.relpath(path, here)))
+    sc.addPyFile(target)
+    sc._lakeloom_shipped = True
+
+
 def shared_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/lakeloom/{purpose}-{uuid.uuid4().hex}"

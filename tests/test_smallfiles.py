@@ -51,9 +51,9 @@ def test_rewrite_of_a_folder(spark, rows, tmp_path):
         t.append(spark.createDataFrame([(n, "a b"), (n + 10, "c")], "v int, part string").repartition(1))
     want = rows(t.read())
     before = t.snapshot()
-    assert {p: len(f) for p, f in before.items()} == {"part=a%20b": 4, "part=c": 4}
+    assert {p: len(f) for p, f in before.items()} == {"part=a b": 4, "part=c": 4}
     v = t.merge_small(1 << 20, 1 << 20)
-    assert {p: len(f) for p, f in t.snapshot().items()} == {"part=a%20b": 1, "part=c": 1} and rows(t.read()) == want
+    assert {p: len(f) for p, f in t.snapshot().items()} == {"part=a b": 1, "part=c": 1} and rows(t.read()) == want
     assert rows(t.read(v - 1)) == want  # the version before is still there
     assert t.merge_small(1 << 20, 1 << 20) is None
 
