@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, cut
+from ..session import bounded_broadcast, cut, ship
 
 KEY = ["stream_id", "partition_id", "stream_position"]
 #: Items that one task packs at a time; neighbours on the curve.
@@ -65,11 +65,11 @@ def placed(items: DataFrame) -> DataFrame:
 def pieces(size: int, records: int, cap_size: int, cap_records: int) -> list[tuple[int, int]]:
     """The item whole if it fits, else full pieces and a rest; sums are kept exactly."""
     out = []
+    if (size > 0 and cap_size <= 0) or (records > 0 and cap_records <= 0):
+        raise ValueError("an item of positive size needs a positive capacity")
     while size > cap_size or records > cap_records:
         f = max(size / cap_size if cap_size else 0, records / cap_records if cap_records else 0)
         a, b = min(cap_size, int(size / f)), min(cap_records, int(records / f))
-        if a == 0 and b == 0:
-            raise ValueError("an item of positive size needs a positive capacity")
         out.append((a, b))
         size, records = size - a, records - b
     return [*out, (size, records)] if size or records or not out else out
@@ -136,6 +136,7 @@ def _round(items: DataFrame, parts: int, chunk: int) -> DataFrame:
         if held:
             yield _pack_chunk(pd.concat(held), parts == 1)[cols]
 
+    ship()
     order = ["namespace", "hilbert", *KEY, "piece_no"]
     return items.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(run, SCHEMA)
 
@@ -146,12 +147,12 @@ def pack(deltas: DataFrame, targets: DataFrame, chunk: int = CHUNK) -> DataFrame
     Range-sorted by namespace and Hilbert key, so neighbours share containers; a task packs ``chunk`` neighbours at a
     time by best fit, a namespace of any share spreads over tasks. Containers emptier than FULL are packed again with
     those of other chunks, in rounds of ever fewer rows, until one chunk is left. Deltas of a namespace without
-    capacity come out with a null container. Nulls in sizes count as 0, equal items are told apart by their keys.
+    a positive capacity come out with a null container. Nulls in sizes count as 0, equal items are told apart by their keys.
     """
     caps = bounded_broadcast(targets.groupBy("namespace").agg(F.max("capacity_bytes").alias("capacity_bytes"), F.max("capacity_records").alias("capacity_records")))
     items = placed(newest_items(deltas)).join(caps, "namespace", "left").select("namespace", *KEY, "bytes", "records", "capacity_bytes", "capacity_records", "hilbert", F.lit(-1).alias("piece_no"))
     items = cut(items)
-    able = F.col("capacity_bytes").isNotNull() & F.col("capacity_records").isNotNull()
+    able = F.coalesce((F.col("capacity_bytes") > 0) & (F.col("capacity_records") > 0), F.lit(False))
     out = items.filter(~able).select("namespace", F.lit(None).cast("string").alias("container_id"), *KEY, F.lit(0).alias("piece_no"), F.col("bytes").alias("piece_bytes"), F.col("records").alias("piece_records"), "capacity_bytes", "capacity_records")
     rest = items.filter(able)
     left = rest.count()

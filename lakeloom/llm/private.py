@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: A span below this score is no finding.
 THRESHOLD = 0.5
@@ -105,7 +107,7 @@ CUES = [
         r"(?:^|(?<=[.\n] )|(?<=\n)|(?<=— )|(?<=🙂 ))NAME(?= signed off\b)", r"\bok NAME(?= 👍)", r"\bloop in NAME(?=$|[.\n]| [—🙂])", r"\b(?:talk|speak|write) to NAME(?= about\b)", r"[“\"]NAME(?=[”\"] shows up)", r"\bI think NAME(?= or\b)",
         rf"\bI think {_ANY} or NAME(?=$|[.\n]| [—🙂])", rf"\bdeliver to NAME(?=, [{_M}])", rf"récupéré : NAME(?=, [{_M}])", r"\bbitte an NAME(?= schicken)", r"(?:^|(?<=[.\n] )|(?<=\n)|(?<=— )|(?<=🙂 ))NAME(?=: no,)", r": no, NAME(?= is on call)", r"\bcustomer NAME(?= called)",
         rf"\bpk \d+, NAME(?=, [{_M}])", rf"\bon call tonight: NAME(?=, [{_M}\d])", rf"\bcontract is with NAME(?= \(?[{_M}])", r"\breminder from NAME(?=:)", rf"[{_M}] - NAME(?= saw\b)", rf"\bfwd: [\"“]NAME(?= <?[{_M}])", r"\bsignature block says\s+NAME(?=\s*\n)",
-        rf"\bline \d+: NAME(?=;[{_M}])", rf"-> ?NAME(?=[|;,][{_M}])", r"\bfor the audit: NAME(?=, born)", rf"(?:^|(?<=[.\n] )|(?<=\n)|(?<=— )|(?<=🙂 ))NAME(?=\?(?:$|[\n]| [—🙂]))", r"\b(?:my name is|i am|signed,?|regards,|cheers,|gruß,) NAME" + _STOP,
+        rf"\bline \d+: NAME(?=;[{_M}])", rf"-> ?NAME(?=[|;,][{_M}])", r"\bfor the audit: NAME(?=, born)", rf"(?:^|(?<=[.\n] )|(?<=\n)|(?<=— )|(?<=🙂 ))NAME(?=\?(?:$|[\n]| [—🙂]))", r"\b(?:my name is|i am|regards,|cheers,|gruß,) NAME" + _STOP,
     )
 ]
 _C = r"[A-ZÀ-ÞĄĆĘŁŃÓŚŹŻ][^\W\d_]*(?:['’-][^\W\d_]+)?"
@@ -217,6 +219,7 @@ def found_spans(messages: DataFrame, key: str = "row_id", fields: tuple[str, ...
             rows = [(k, name, s.kind, s.start, s.end) for name in fields for k, text in zip(part[key], part[name], strict=True) if text for s in find(text)]
             yield pd.DataFrame(rows, columns=[key, "field_name", "kind", "start_pos", "end_pos"])
 
+    ship()
     some = None
     for f in fields:
         has = F.col(f).rlike(r"[\p{L}\p{N}]")
@@ -227,6 +230,8 @@ def found_spans(messages: DataFrame, key: str = "row_id", fields: tuple[str, ...
 def redacted(messages: DataFrame, fields: tuple[str, ...] = ("message", "sender_ph")) -> DataFrame:
     """``messages`` with the findings of ``fields`` replaced by placeholders; other columns are kept as they are."""
 
+    ship()
+
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(redact, na_action="ignore")

@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..session import ship
+
 #: Where the public vocabularies lie; a parameter of every entry point.
 FOLDER = "/opt/tokenizers"
 #: Fixed value: the pattern that this vocabulary's texts are cut with before merging.
@@ -187,6 +189,8 @@ def encoder(name: str = "byte_bpe_50k", folder: str = FOLDER) -> Encoder:
 def token_ids(text: Column, name: str = "byte_bpe_50k", folder: str = FOLDER) -> Column:
     """The token ids of ``text`` as array<int>; an empty array for null and empty texts."""
 
+    ship()
+
     @pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
         e = encoder(name, folder)

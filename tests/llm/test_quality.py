@@ -1,11 +1,16 @@
 """Statistics, boosted trees, held-out accuracy of the classifier."""
 
+import os
+
 import numpy as np
 import pytest
 
 from lakeloom.llm import quality as Q
 from lakeloom.llm.boosting import train
 from lakeloom.llm.holdout import EXAMPLES
+from lakeloom.session import cut
+
+DATA = "/root/testdata"
 
 
 def docs(spark, texts):
@@ -41,17 +46,21 @@ def corpus(spark):
             f"The {a} was on the {b}, and nobody had seen it before the {c} came. It is not clear what they wanted, but all of them left when the sun was down.", f"We moved the {a} to a\nbetter place, because the {b} is\ntoo wet for it. The {c} can stay\nwhere it was for now.",
             "\n".join(f"- {x} {n}" for x in w[n % 3 :]), f"{a} things\n" + "\n".join(f"{x} {y}" for x, y in zip(w, w[1:], strict=False)), "\n".join(f"{k}) {x};" for k, x in enumerate(w)), f"Some {a} words that are said before it.\n" + "\n".join(f"* {x} {c}" for x in w),
             "\n".join(f"{x},{k},{n},{k * n}" for k, x in enumerate(w)), "\n".join(f"{x} | {k} | yes" for k, x in enumerate(w)), "\n".join(f"{x}\t{k}\tno\t-" for k, x in enumerate(w)), f"The {a} counts are these.\n" + "\n".join(f"{x};{k};{n}" for k, x in enumerate(w)), "\n".join(f"{x:<12}{k:>9}{n:>9}" for k, x in enumerate(w)),
-            "#%&{} [;;] " * (n + 3), f"{a} " * 60, " | ".join(w[(k * n) % 8].title() for k in range(12)), " ".join("bcdfghjklmnpqrstvwxz"[(k * 7 + n) % 20] * 2 + "qk" + ";#"[k % 2] for k in range(40)), "\n".join("aB3/x9Q+" * 8 for _ in range(3)), "Ã©Â ï¿½ n" * (n + 9), "~*" * 30 + "\n" + "~*" * 30,
+            "\n".join(f"{k}. {x} {y}" for k, (x, y) in enumerate(zip(w, w[1:], strict=False), 1)), "\n".join(f"{x} {b}." for x in w), f"{a} | count | state\n---|---|---\n" + "\n".join(f"| {x} | {k} | {n} |" for k, x in enumerate(w)),
+            "; ".join("qxz vbn# trk wls kjd mnp"[(k * n) % 9 :] for k in range(6)), "#%&{} [;;] " * (n + 3), f"{a} " * 60, " | ".join(w[(k * n) % 8].title() for k in range(12)), " ".join("bcdfghjklmnpqrstvwxz"[(k * 7 + n) % 20] * 2 + "qk" + ";#"[k % 2] for k in range(40)), "\n".join("aB3/x9Q+" * 8 for _ in range(3)), "Ã©Â ï¿½ n" * (n + 9), "~*" * 30 + "\n" + "~*" * 30,
         ]
     return docs(spark, out)
 
 
-def test_held_out_accuracy(spark, corpus):
-    model = Q.fit(Q.statistics(corpus))
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize(("table", "least"), [("sf0.01", 0.9), ("sf0.1", 0.95)])
+def test_held_out_accuracy(spark, table, least):
+    """Trained on weak labels of a documents table; the hand-checked examples only calibrate, which changes no decision."""
+    model = Q.fit(cut(Q.statistics(spark.read.parquet(f"{DATA}/{table}/documents.parquet"))))
     held = Q.statistics(docs(spark, [t for _, t in EXAMPLES]))
     got = {r["doc_id"]: r["kind"] for r in Q.predict(held, model).collect()}
     right = sum(got[n] == k for n, (k, _) in enumerate(EXAMPLES))
-    assert right >= 0.9 * len(EXAMPLES), [(k, got[n], t[:40]) for n, (k, t) in enumerate(EXAMPLES) if got[n] != k]
+    assert right >= least * len(EXAMPLES), [(k, got[n], t[:40]) for n, (k, t) in enumerate(EXAMPLES) if got[n] != k]
 
 
 def test_training_rows_are_bounded_and_repeatable(corpus):
