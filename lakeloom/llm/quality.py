@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, ship
 from .boosting import Boosted, train
 from .holdout import EXAMPLES
 
@@ -28,7 +29,6 @@ TRAIN_ROWS = 6_000
 BULLET = r"^\s*(?:[-–—*•‣▪◦·+]|\[[ xX✓]?\]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s+\S"
 END = r"[.!?…:;。！？؟।][\"'”’»)\]]*\s*$"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]"
-VOWEL = r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýąęóœ]"
 
 NAMES = [
     "n_lines", "n_words", "mean_word", "longest_token", "symbol_ratio", "digit_ratio", "letter_ratio", "upper_ratio", "cjk_ratio", "broken_ratio", "punct_line_share", "common_share",
@@ -45,7 +45,10 @@ def _median(c: Column) -> Column:
 
 
 def _even_share(lines: Column, separator: str, least: int) -> Column:
-    counts = F.transform(lines, lambda x: F.size(F.split(F.trim(x), separator)) - 1)
+    if len(separator) == 1:
+        counts = F.transform(lines, lambda x: F.length(x) - F.length(F.translate(x, separator, "")))
+    else:
+        counts = F.transform(lines, lambda x: F.regexp_count(x, F.lit(separator)))
     m = _median(counts)
     share = _ratio(F.size(F.filter(counts, lambda n: n == m)), F.size(lines))
     return F.when((m >= least) & (F.size(lines) >= 3), share).otherwise(0.0)
@@ -53,36 +56,39 @@ def _even_share(lines: Column, separator: str, least: int) -> Column:
 
 def _table_share(lines: Column) -> Column:
     """Greatest share of lines that hold a separator as often as the median line does, of at least three lines."""
-    return F.greatest(*[_even_share(lines, sep, least) for sep, least in ((r"\t", 1), (r"\|", 1), (";", 2), (",", 2), (r"(?<=\S) {2,}(?=\S)", 1))])
+    return F.greatest(*[_even_share(lines, sep, least) for sep, least in (("\t", 1), ("|", 1), (";", 2), (",", 2), (r"\S {2,}(?=\S)", 1))])
 
 
 def statistics(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and the columns of NAMES for every document; null and blank texts have zeros. All in the JVM, whole texts."""
+    """``keep`` and the columns of NAMES for every document; null and blank texts have zeros. All in the JVM, whole texts.
+
+    Patterns are chosen to match seldom (white space, symbols, capitals), as each match costs more than a passed sign.
+    Shared parts are columns of their own below the statistics, so that none is computed twice.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    x = documents.select(*keep, t.alias("_t"))
-    x = x.withColumn("_lines", F.filter(F.split("_t", LINE_END), lambda s: s.rlike(r"[^\s\p{Z}\p{Cf}]")))
-    x = x.withColumn("_words", F.filter(F.split(F.lower("_t"), r"[^\p{L}\p{M}]+"), lambda w: w != ""))
-    x = x.withColumn("_tokens", F.filter(F.split("_t", r"[\s\p{Z}]+"), lambda w: w != ""))
-    x = x.withColumn("_n", F.regexp_count("_t", F.lit(r"[^\s\p{Z}]")))
     count = lambda p: F.regexp_count("_t", F.lit(p))
-    size = F.size
-    lines, words, tokens, n = F.col("_lines"), F.col("_words"), F.col("_tokens"), F.col("_n")
-    sentences = count(r"[.!?…][\"'”’»)\]]*(?=[\s\p{Z}]|$)|[。！？।]")
-    cjk = count(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]")
-    units = size(words) + cjk / 3
-    latin = F.filter(words, lambda w: w.rlike(r"^[a-zà-ÿąćęłńóśźżœ]{2,}$"))
+    x = documents.select(*keep, t.alias("_t")).withColumns({
+        "_lower": F.lower("_t"), "_lines": F.filter(F.split("_t", LINE_END), lambda s: s.rlike(r"[^\s\p{Z}\p{Cf}]")), "_tokens": F.filter(F.split("_t", r"[\s\p{Z}]+"), lambda w: w != ""),
+        "_n": F.length("_t") - count(r"[\s\p{Z}]"), "_symbols": count(r"[^\s\p{Z}\p{L}\p{M}\p{N}]"), "_digits": count(r"\p{N}"), "_upper": count(r"\p{Lu}"), "_cjk": count(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"),
+        "_broken": count(r"[ÃÂÐ�]|â€|ï¿½|[\x00-\x08\x0E-\x1F]"), "_sentences": count(r"[.!?…][\"'”’»)\]]*(?=[\s\p{Z}]|$)|[。！？।]"),
+    })
+    x = x.withColumns({
+        "_words": F.filter(F.split("_lower", r"[^\p{L}\p{M}]+"), lambda w: w != ""), "_consonants": F.regexp_count("_lower", F.lit(r"(?<![\p{L}\p{M}])[b-df-hj-np-tv-z]{2,}(?![\p{L}\p{M}])")),
+        "_distinct_lines": F.size(F.array_distinct("_lines")), "_n_lines": F.size("_lines"),
+    })
+    x = x.withColumns({"_n_words": F.size("_words"), "_distinct": F.size(F.array_distinct("_words")), "_common": F.size(F.filter("_words", lambda w: w.isin(COMMON)))})
+    size, c, lines, n = F.size, F.col, F.col("_lines"), F.col("_n")
     per_line = F.transform(lines, lambda s: size(F.split(F.trim(s), r"[\s\p{Z}]+")))
-    short_bullet = F.filter(lines, lambda s: s.rlike(BULLET) & (size(F.split(F.trim(s), r"\s+")) <= 14))
+    short_bullet = F.filter(lines, lambda s: s.rlike(BULLET) & ~s.rlike("[。！？]") & (size(F.split(F.trim(s), r"\s+")) <= 14))
     values = {
-        "n_lines": size(lines), "n_words": size(words), "mean_word": _ratio(n, size(tokens)), "longest_token": F.coalesce(F.array_max(F.transform(tokens, F.length)), F.lit(0)),
-        "symbol_ratio": _ratio(count(r"[^\s\p{Z}\p{L}\p{M}\p{N}]"), n), "digit_ratio": _ratio(count(r"\p{N}"), n), "letter_ratio": _ratio(count(r"[\p{L}\p{M}]"), n), "upper_ratio": _ratio(count(r"\p{Lu}"), n),
-        "cjk_ratio": _ratio(cjk, n), "broken_ratio": _ratio(count(r"[ÃÂÐ�]|â€|ï¿½|[\x00-\x08\x0E-\x1F]"), n), "punct_line_share": _ratio(size(F.filter(lines, lambda s: s.rlike(END))), size(lines)),
-        "common_share": _ratio(size(F.filter(words, lambda w: w.isin(COMMON))), size(words)), "bullet_share": _ratio(size(short_bullet), size(lines)), "table_share": _table_share(lines),
-        "line_words": _median(per_line), "sentence_rate": _ratio(sentences, units), "distinct_share": _ratio(size(F.array_distinct(words)), size(words)),
-        "vowelless_share": _ratio(size(F.filter(latin, lambda w: ~w.rlike(VOWEL))), size(latin)), "repeated_line_share": _ratio(size(lines) - size(F.array_distinct(lines)), size(lines)),
-        "sentences_per_line": _ratio(sentences, size(lines)),
+        "n_lines": c("_n_lines"), "n_words": c("_n_words"), "mean_word": _ratio(n, size("_tokens")), "longest_token": F.coalesce(F.array_max(F.transform("_tokens", F.length)), F.lit(0)),
+        "symbol_ratio": _ratio(c("_symbols"), n), "digit_ratio": _ratio(c("_digits"), n), "letter_ratio": _ratio(n - c("_symbols") - c("_digits"), n), "upper_ratio": _ratio(c("_upper"), n), "cjk_ratio": _ratio(c("_cjk"), n),
+        "broken_ratio": _ratio(c("_broken"), n), "punct_line_share": _ratio(size(F.filter(lines, lambda s: s.rlike(END))), c("_n_lines")), "common_share": _ratio(c("_common"), c("_n_words")),
+        "bullet_share": _ratio(size(short_bullet), c("_n_lines")), "table_share": _table_share(lines), "line_words": _median(per_line), "sentence_rate": _ratio(c("_sentences"), c("_n_words") + c("_cjk") / 3),
+        "distinct_share": _ratio(c("_distinct"), c("_n_words")), "vowelless_share": _ratio(c("_consonants"), c("_n_words")), "repeated_line_share": _ratio(c("_n_lines") - c("_distinct_lines"), c("_n_lines")),
+        "sentences_per_line": _ratio(c("_sentences"), c("_n_lines")),
     }
-    return x.select(*keep, *[values[c].cast("double").alias(c) for c in NAMES], (n > 0).alias("has_text"))
+    return x.select(*keep, *[values[k].cast("double").alias(k) for k in NAMES], (n > 0).alias("has_text"))
 
 
 def weak_label(has_text: Column | None = None) -> Column:
@@ -129,11 +135,15 @@ def predict(stats: DataFrame, model: Boosted) -> DataFrame:
                 out[f"p_{c}"] = p[:, k]
             yield out
 
+    ship()
     schema = "doc_id long, kind string, " + ", ".join(f"p_{c} double" for c in CLASSES)
     return stats.filter("has_text").select("doc_id", *NAMES).mapInPandas(run, schema)
 
 
 def kinds(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, kind, probabilities) of every document with text."""
-    stats = statistics(documents)
+    """(doc_id, kind, probabilities) of every document with text.
+
+    The statistics are written once, so that neither the training filter nor the prediction computes them again.
+    """
+    stats = cut(statistics(documents))
     return predict(stats, fit(stats, train_rows))
