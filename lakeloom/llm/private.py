@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -110,6 +112,8 @@ CUES = [
         rf"\bline \d+: NAME(?=;[{_M}])", rf"-> ?NAME(?=[|;,][{_M}])", r"\bfor the audit: NAME(?=, born)", rf"(?:^|(?<=[.\n] )|(?<=\n)|(?<=— )|(?<=🙂 ))NAME(?=\?(?:$|[\n]| [—🙂]))", r"\b(?:my name is|i am|regards,|cheers,|gruß,) NAME" + _STOP,
     )
 ]
+#: Every cue has one of these; a text without any is not searched for cues.
+CUE_WORDS = re.compile(r"@|hey |hi |hello |dear |ask |thanks, | by | signed off| 👍|loop in|alk to|peak to|rite to|shows up|i think|deliver to|récupéré|bitte an|: no,|customer|pk \d|on call|contract is|reminder from| saw\b|fwd:|signature block|line \d|->|audit:|\?|my name is|i am|regards,|cheers,|gruß,", re.I)
 _C = r"[A-ZÀ-ÞĄĆĘŁŃÓŚŹŻ][^\W\d_]*(?:['’-][^\W\d_]+)?"
 PROPER = re.compile(rf"(?<![\w@.'’/{_M}-])(?:(?:(?i:{_TITLE}) )?{_C}(?: [A-Z]\.)*(?: {_C}){{1,2}}|{_C}, {_C}(?: [A-Z]\.)?(?=$|[^\w])|(?i:{_TITLE}) {_C}|{_C})(?![\w@])")
 #: Capital words that are no names in chats of this kind (months, days, units, forms of address alone).
@@ -150,13 +154,13 @@ def _phones(text: str) -> Iterator[Span]:
 
 
 def _names(text: str) -> Iterator[Span]:
-    for cue in CUES:
+    for cue in CUES if CUE_WORDS.search(text) else ():
         for m in cue.finditer(text):
             start, end = m.span(1)
             words = re.findall(rf"{_L}{_L}+", m.group(1).lower())  # initials are no words
             if words and not set(words) & NO_NAMES:
                 yield Span(start, end, "name", 0.9)
-    for m in PROPER.finditer(text):
+    for m in PROPER.finditer(text) if text != text.lower() else ():
         start, end = m.span()
         said = m.group()
         # leading words that open a sentence rather than a name
@@ -172,6 +176,56 @@ def _names(text: str) -> Iterator[Span]:
         yield Span(start, start + len(said), "name", 0.7 if several else 0.55 if not opens else 0.4)
 
 
+_AT = re.compile(r"\bat\b", re.I)
+
+
+def _emails(text: str) -> Iterator[Span]:
+    spelled = bool(_AT.search(text))
+    for n, pattern in enumerate(EMAILS):
+        if "@" in text if n == 0 else spelled:
+            for m in pattern.finditer(text):
+                yield Span(*m.span(), "email", 1.0)
+
+
+def _addresses(text: str) -> Iterator[Span]:
+    for pattern in ADDRESSES:
+        for m in pattern.finditer(text):
+            yield Span(*m.span(), "address", 0.8)
+
+
+_DIGIT = re.compile(r"\d")
+#: Kinds from the surest to the least sure: (mark, search, least number of digits in the text).
+SEARCHES = (("\x01", _emails, 0), ("\x03", _ids, 5), ("\x04", _addresses, 1), ("\x02", _phones, 7), ("\x05", _names, 0))
+
+
+#: Chats repeat short texts; findings of texts up to this length are kept by each worker.
+SHORT = 200
+
+
+def _search(text: str) -> tuple[Span, ...]:
+    found: list[Span] = []
+    work, digits = text, len(_DIGIT.findall(text))
+    for mark, search, least in SEARCHES:
+        if digits < least:
+            continue
+        taken: list[tuple[int, Span]] = []  # by start, without overlaps
+        for s in sorted(search(work), key=lambda s: (-s.score, s.start - s.end)):
+            at = bisect(taken, (s.start,))
+            clear = (at == len(taken) or s.end <= taken[at][0]) and (at == 0 or taken[at - 1][1].end <= s.start)
+            if s.score >= THRESHOLD and clear:
+                taken.insert(at, (s.start, s))
+        out, end = [], 0
+        for _, s in taken:
+            out += [work[end : s.start], mark * (s.end - s.start)]
+            end = s.end
+        work = "".join(out) + work[end:]
+        found += [s for _, s in taken]
+    return tuple(sorted(found, key=lambda s: s.start))
+
+
+_found = lru_cache(maxsize=50_000)(_search)
+
+
 def find(text: str | None) -> list[Span]:
     """All findings of one text, in order, without overlaps. Null and empty texts have none.
 
@@ -180,20 +234,7 @@ def find(text: str | None) -> list[Span]:
     """
     if not text:
         return []
-    found: list[Span] = []
-    work = text
-    for mark, search in (
-        ("\x01", lambda t: (Span(*m.span(), "email", 1.0) for p in EMAILS for m in p.finditer(t))),
-        ("\x03", _ids), ("\x04", lambda t: (Span(*m.span(), "address", 0.8) for p in ADDRESSES for m in p.finditer(t))), ("\x02", _phones), ("\x05", _names),
-    ):
-        taken: list[Span] = []
-        for s in sorted(search(work), key=lambda s: (-s.score, s.start - s.end)):
-            if s.score >= THRESHOLD and all(s.end <= o.start or s.start >= o.end for o in taken):
-                taken.append(s)
-        for s in taken:
-            work = work[: s.start] + mark * (s.end - s.start) + work[s.end :]
-        found += taken
-    return sorted(found, key=lambda s: s.start)
+    return list(_found(text) if len(text) <= SHORT else _search(text))
 
 
 def redact(text: str | None) -> str | None:
