@@ -44,19 +44,20 @@ def _median(c: Column) -> Column:
     return F.coalesce(F.get(F.array_sort(c), F.floor(F.size(c) / 2).cast("int")), F.lit(0))
 
 
-def _even_share(lines: Column, separator: str, least: int) -> Column:
+#: Cell separators with the least number of them in a line of a table.
+SEPARATORS = (("\t", 1), ("|", 1), (";", 2), (",", 2), (r"\S {2,}(?=\S)", 1))
+
+
+def _separator_counts(separator: str) -> Column:
     if len(separator) == 1:
-        counts = F.transform(lines, lambda x: F.length(x) - F.length(F.translate(x, separator, "")))
-    else:
-        counts = F.transform(lines, lambda x: F.regexp_count(x, F.lit(separator)))
-    m = _median(counts)
-    share = _ratio(F.size(F.filter(counts, lambda n: n == m)), F.size(lines))
-    return F.when((m >= least) & (F.size(lines) >= 3), share).otherwise(0.0)
+        return F.transform("_lines", lambda x: F.length(x) - F.length(F.translate(x, separator, "")))
+    return F.transform("_lines", lambda x: F.regexp_count(x, F.lit(separator)))
 
 
-def _table_share(lines: Column) -> Column:
-    """Greatest share of lines that hold a separator as often as the median line does, of at least three lines."""
-    return F.greatest(*[_even_share(lines, sep, least) for sep, least in (("\t", 1), ("|", 1), (";", 2), (",", 2), (r"\S {2,}(?=\S)", 1))])
+def _even_share(k: int, least: int) -> Column:
+    """Share of lines that hold separator ``k`` as often as the median line does, of at least three lines."""
+    even = F.size(F.filter(f"_seps{k}", lambda n: n == F.col(f"_mid{k}")))
+    return F.when((F.col(f"_mid{k}") >= least) & (F.col("_n_lines") >= 3), _ratio(even, F.col("_n_lines"))).otherwise(0.0)
 
 
 def statistics(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -77,6 +78,9 @@ def statistics(documents: DataFrame, text: str = "text", keep: tuple[str, ...] =
         "_distinct_lines": F.size(F.array_distinct("_lines")), "_n_lines": F.size("_lines"),
     })
     x = x.withColumns({"_n_words": F.size("_words"), "_distinct": F.size(F.array_distinct("_words")), "_common": F.size(F.filter("_words", lambda w: w.isin(COMMON)))})
+    # medians are columns of their own: inside a lambda they would be sorted again for every line
+    x = x.withColumns({f"_seps{k}": _separator_counts(sep) for k, (sep, _) in enumerate(SEPARATORS)})
+    x = x.withColumns({f"_mid{k}": _median(F.col(f"_seps{k}")) for k in range(len(SEPARATORS))})
     size, c, lines, n = F.size, F.col, F.col("_lines"), F.col("_n")
     per_line = F.transform(lines, lambda s: size(F.split(F.trim(s), r"[\s\p{Z}]+")))
     short_bullet = F.filter(lines, lambda s: s.rlike(BULLET) & ~s.rlike("[。！？]") & (size(F.split(F.trim(s), r"\s+")) <= 14))
@@ -84,7 +88,7 @@ def statistics(documents: DataFrame, text: str = "text", keep: tuple[str, ...] =
         "n_lines": c("_n_lines"), "n_words": c("_n_words"), "mean_word": _ratio(n, size("_tokens")), "longest_token": F.coalesce(F.array_max(F.transform("_tokens", F.length)), F.lit(0)),
         "symbol_ratio": _ratio(c("_symbols"), n), "digit_ratio": _ratio(c("_digits"), n), "letter_ratio": _ratio(n - c("_symbols") - c("_digits"), n), "upper_ratio": _ratio(c("_upper"), n), "cjk_ratio": _ratio(c("_cjk"), n),
         "broken_ratio": _ratio(c("_broken"), n), "punct_line_share": _ratio(size(F.filter(lines, lambda s: s.rlike(END))), c("_n_lines")), "common_share": _ratio(c("_common"), c("_n_words")),
-        "bullet_share": _ratio(size(short_bullet), c("_n_lines")), "table_share": _table_share(lines), "line_words": _median(per_line), "sentence_rate": _ratio(c("_sentences"), c("_n_words") + c("_cjk") / 3),
+        "bullet_share": _ratio(size(short_bullet), c("_n_lines")), "table_share": F.greatest(*[_even_share(k, least) for k, (_, least) in enumerate(SEPARATORS)]), "line_words": _median(per_line), "sentence_rate": _ratio(c("_sentences"), c("_n_words") + c("_cjk") / 3),
         "distinct_share": _ratio(c("_distinct"), c("_n_words")), "vowelless_share": _ratio(c("_consonants"), c("_n_words")), "repeated_line_share": _ratio(c("_n_lines") - c("_distinct_lines"), c("_n_lines")),
         "sentences_per_line": _ratio(c("_sentences"), c("_n_lines")),
     }
