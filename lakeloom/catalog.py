@@ -397,7 +397,7 @@ class Catalog:
             folders = dict(x.split("=", 1) for x in path.split("/") if x.startswith("_p_") and "=" in x)
             out.append({
                 "id": uuid.uuid4().hex, "order": n, "path": path, "bytes": size, "records": counts.get(path.split(":", 1)[-1].lstrip("/"), 0 if content_type == formats.PARQUET else None), "content_type": content_type,
-                "schema_id": schema.id if schema else None, "kind": "DATA", "partition": {k[3:]: v for k, v in folders.items()}, "bucket": next((int(x[8:]) for x in path.split("/") if x.startswith("_bucket=")), None),
+                "schema_id": schema.id if schema else None, "kind": "DATA", "partition": {k[3:]: v for k, v in folders.items()}, "bucket": next((int(x[9:]) for x in path.split("/") if x.startswith("__bucket=")), None),
             })
         return out
 
@@ -482,7 +482,7 @@ class Catalog:
         for (sid, kind), paths in groups.items():
             df = formats.read(self.spark, paths, kind)
             if system:
-                df = df.withColumns({"_pos": F.lit(position), "_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+                df = df.withColumns({"__pos": F.lit(position), "__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
             given = delta.get("given")
             if given is not None:
                 keep = Schema([f for f in current.fields if any(o.id == f.id and o.name.lower() in given for o in schemas[sid].fields)], current.id, current.last_field_id)
@@ -511,14 +511,14 @@ class Catalog:
         if not keys or all(d["type"] == "COMPACTED" for _, d, _ in parts):
             df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x for _, _, x in parts])
             if ordered:
-                df = df.orderBy("_pos", "_file", "_row")
-            extra = [F.col("_file").alias(file_path_column)] if file_path_column else []
+                df = df.orderBy("__pos", "__file", "__row")
+            extra = [F.col("__file").alias(file_path_column)] if file_path_column else []
             return df.select(*[f"`{n}`" for n in names], *extra)
         return self._merge_on_read(schema, parts, names, keys)
 
     def _merge_on_read(self, schema: Schema, parts: list, names: list[str], keys: list[str]) -> DataFrame:
         orders = [merge.MergeOrder(n, asc) for n, asc in schema.merge_orders]
-        seq = [*([schema.event_time] if schema.event_time and not orders else []), "_file", "_row"]
+        seq = [*([schema.event_time] if schema.event_time and not orders else []), "__file", "__row"]
         state: DataFrame | None = None
         defaults = {f.name: f.future_default for f in schema.fields}
         full = {n.lower() for n in names}
@@ -529,7 +529,7 @@ class Catalog:
             if not run:
                 return
             rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x for _, _, x in run])
-            order = ["_pos", *seq] if not schema.event_time or orders else [schema.event_time, "_pos", "_file", "_row"]
+            order = ["__pos", *seq] if not schema.event_time or orders else [schema.event_time, "__pos", "__file", "__row"]
             partial = not full <= {c.lower() for c in rows.columns}
             if state is None and not partial:
                 state = merge.dedupe_merge_order(rows, keys, orders, order) if orders else merge.dedupe_last(rows, keys, order)
@@ -600,7 +600,7 @@ class Catalog:
         t.stage(folder)
         limit = info.properties["records_per_compacted_file"]
         if keys:
-            df.withColumn("_bucket", hash_bucket(keys, n)).repartition(n, "_bucket").write.option("maxRecordsPerFile", limit).partitionBy("_bucket").parquet(folder)
+            df.withColumn("__bucket", hash_bucket(keys, n)).repartition(n, "__bucket").write.option("maxRecordsPerFile", limit).partitionBy("__bucket").parquet(folder)
         else:
             df.write.option("maxRecordsPerFile", limit).parquet(folder)
         entries = self._entries(self.log.files.sizes(folder), formats.PARQUET, info.schema, info)
@@ -676,7 +676,7 @@ class Catalog:
                     o.stage(folder)
                     entries = []
                     for e in self._load(d):
-                        keep = "/".join(x for x in e["path"].split("/")[:-1] if x.startswith(("_p_", "_bucket=")))
+                        keep = "/".join(x for x in e["path"].split("/")[:-1] if x.startswith(("_p_", "__bucket=")))
                         to = "/".join(x for x in (folder, keep, e["path"].rsplit("/", 1)[1]) if x)
                         self.log.files.copy(e["path"], to)
                         entries.append(e | {"path": to})

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Fixed value: the greatest field id.
 MAX_FIELD_ID = 2147483447
+#: Columns of the engine itself begin so; fields may not.
+RESERVED = "__"
 NONE, COERCE, VALIDATE = "NONE", "COERCE", "VALIDATE"
 AUTO, MANUAL, DISABLED = "AUTO", "MANUAL", "DISABLED"
 
@@ -72,7 +74,8 @@ def _nested(kind: T.DataType) -> bool:
 
 
 _WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
-_DIGITS = {T.ByteType(): 3, T.ShortType(): 5, T.IntegerType(): 10, T.LongType(): 19}
+#: Whole digits that a decimal takes over from a whole type.
+_DIGITS = {T.ByteType(): 2, T.ShortType(): 4, T.IntegerType(): 9, T.LongType(): 18}
 
 
 def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -91,13 +94,15 @@ def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
     for x, y in ((a, b), (b, a)):
         if isinstance(x, T.DoubleType) and (y in _WHOLE or isinstance(y, T.FloatType | T.DecimalType)):
             return x
+        if isinstance(x, T.FloatType) and isinstance(y, T.DecimalType):
+            return x
         if isinstance(x, T.FloatType) and y in _WHOLE:
             return T.DoubleType() if y in _WHOLE[2:] else x
         if isinstance(x, T.DecimalType) and y in _WHOLE:
             whole = max(x.precision - x.scale, _DIGITS[y])
             if whole + x.scale > 38:
                 raise SchemaError(f"{x.simpleString()} and {y.simpleString()} need more than 38 digits")
-            return T.DecimalType(min(38, whole + x.scale + (0 if whole > _DIGITS[y] else 0 if x.precision - x.scale > _DIGITS[y] else 0)), x.scale)
+            return T.DecimalType(whole + x.scale, x.scale)
         if isinstance(x, T.BinaryType) and isinstance(y, T.StringType):
             return x
     if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
@@ -154,6 +159,8 @@ class Schema:
         names = [f.name.lower() for f in fields]
         if len(set(names)) != len(names):
             raise SchemaError("field names must be unique without case")
+        if any(n.startswith(RESERVED) for n in names):
+            raise SchemaError(f"names that begin with {RESERVED} are the engine's own")
         out, used, at = [], {f.id for f in fields if f.id is not None}, 0
         for f in fields:
             if f.id is None:
@@ -262,7 +269,7 @@ def coerce_read(df: DataFrame, written: Schema, current: Schema) -> DataFrame:
             cols.append(F.col(f"`{old.name}`").cast(f.spark).alias(f.name))
         else:
             cols.append(F.lit(f.past_default).cast(f.spark).alias(f.name))
-    rest = [c for c in df.columns if c.startswith("_")]  # system columns stay
+    rest = [c for c in df.columns if c.startswith(RESERVED)]  # system columns stay
     return df.select(*cols, *[f"`{c}`" for c in rest])
 
 

@@ -13,10 +13,10 @@ from ..plans.store import VersionedFolder
 from .merge import same
 
 
-def newest_per_group(rows: DataFrame, key: str, level: str = "_level", position: str = "_position") -> DataFrame:
+def newest_per_group(rows: DataFrame, key: str, level: str = "__level", position: str = "__position") -> DataFrame:
     """One row per key of a column group: the lowest level wins, then the newest position."""
     w = Window.partitionBy(key).orderBy(F.col(level).asc_nulls_last(), F.col(position).desc_nulls_last())
-    return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    return rows.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")
 
 
 def merge_groups(groups: Sequence[DataFrame], key: str) -> DataFrame:
@@ -24,17 +24,17 @@ def merge_groups(groups: Sequence[DataFrame], key: str) -> DataFrame:
 
     Rows that a group lacks are null in its columns; a null that a later group gives overwrites. A null key is a key.
     """
-    out = groups[0].withColumn("_h0", F.lit(True))
+    out = groups[0].withColumn("__h0", F.lit(True))
     for n, g in enumerate(groups[1:], 1):
-        a, b = out.alias("a"), g.withColumn("_h", F.lit(True)).alias("b")
+        a, b = out.alias("a"), g.withColumn("__h", F.lit(True)).alias("b")
         x = a.join(b, same("a", "b", [key]), "full")
-        has_a, has_b = F.col("a._h0").isNotNull(), F.col("b._h").isNotNull()
+        has_a, has_b = F.col("a.__h0").isNotNull(), F.col("b.__h").isNotNull()
         cols: list[Column] = [F.when(has_b, F.col(f"b.`{key}`")).otherwise(F.col(f"a.`{key}`")).alias(key)]
-        for c in [c for c in out.columns if c not in (key, "_h0")]:
+        for c in [c for c in out.columns if c not in (key, "__h0")]:
             cols.append((F.when(has_b, F.col(f"b.`{c}`")).otherwise(F.col(f"a.`{c}`")) if c in g.columns else F.col(f"a.`{c}`")).alias(c))
         cols += [F.when(has_b, F.col(f"b.`{c}`")).alias(c) for c in g.columns if c not in out.columns]
-        out = x.select(*cols, F.when(has_a | has_b, True).alias("_h0"))
-    return out.drop("_h0")
+        out = x.select(*cols, F.when(has_a | has_b, True).alias("__h0"))
+    return out.drop("__h0")
 
 
 def merge_tables(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -176,14 +176,14 @@ class FieldGroups:
                 continue
             rows = None
             for f in parts:
-                x = self.spark.read.schema(schema).parquet(f["path"]).withColumn("_level", F.lit(f["level"])).withColumn("_position", F.lit(f["position"]))
+                x = self.spark.read.schema(schema).parquet(f["path"]).withColumn("__level", F.lit(f["level"])).withColumn("__position", F.lit(f["position"]))
                 rows = x if rows is None else rows.unionByName(x)
             if wanted is not None:
-                rows = rows.select(*[c for c in rows.columns if c in {*wanted, self.key, "_level", "_position"}])
+                rows = rows.select(*[c for c in rows.columns if c in {*wanted, self.key, "__level", "__position"}])
             rows = rows.filter(in_range(F.col(self.key), low, high))
             if shard is not None:
                 rows = rows.filter(shard.column(F.col(self.key)))
-            one = newest_per_group(rows, self.key).drop("_level", "_position")
+            one = newest_per_group(rows, self.key).drop("__level", "__position")
             ordered.append((min(f["level"] for f in parts), max(f["position"] for f in parts), one))
         if not ordered:
             return self.spark.createDataFrame([], T.StructType([f for s in self.schemas.values() for f in s.fields if f.name == self.key][:1]))

@@ -44,8 +44,8 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     ties = [c for c in rest if c not in order and _orderable(df.schema[c].dataType)]
     if not keys:
         return df
-    best = df.groupBy(*[f"`{k}`" for k in keys]).agg(F.max_by(F.struct(*[f"`{c}`" for c in rest] or [F.lit(0).alias("_")]), F.struct(*[F.col(f"`{c}`") for c in [*order, *ties]] or [F.lit(0)])).alias("_row"))
-    return best.select(*[f"`{k}`" for k in keys], *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*[f"`{c}`" for c in df.columns])
+    best = df.groupBy(*[f"`{k}`" for k in keys]).agg(F.max_by(F.struct(*[f"`{c}`" for c in rest] or [F.lit(0).alias("_")]), F.struct(*[F.col(f"`{c}`") for c in [*order, *ties]] or [F.lit(0)])).alias("__row"))
+    return best.select(*[f"`{k}`" for k in keys], *[F.col(f"__row.`{c}`").alias(c) for c in rest]).select(*[f"`{c}`" for c in df.columns])
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def dedupe_merge_order(df: DataFrame, keys: Sequence[str], orders: Sequence[Merg
     by += [F.col(f"`{s}`").desc_nulls_last() for s in seq]
     w = Window.partitionBy(*[f"`{k}`" for k in keys]).orderBy(*by)
     # rank = 1 filters are pushed below the shuffle as a group limit, so a hot key sends one row per task
-    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    return df.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")
 
 
 def dedupe_event_time(df: DataFrame, keys: Sequence[str], event_time: str, seq: Sequence[str]) -> DataFrame:
@@ -107,9 +107,9 @@ def upsert_partial(base: DataFrame, increment: DataFrame, keys: Sequence[str], s
     whether a side has the key, so a null is never mistaken for a missing row.
     """
     inc = dedupe_last(increment, keys, seq).drop(*[s for s in seq if s not in base.columns])
-    b, i = base.withColumn("_has", F.lit(True)).alias("b"), inc.withColumn("_has", F.lit(True)).alias("i")
+    b, i = base.withColumn("__has", F.lit(True)).alias("b"), inc.withColumn("__has", F.lit(True)).alias("i")
     x = b.join(i, same("b", "i", keys), "full")
-    new, old = F.col("i._has").isNotNull(), F.col("b._has").isNotNull()
+    new, old = F.col("i.__has").isNotNull(), F.col("b.__has").isNotNull()
     cols = []
     for c in [*base.columns, *[c for c in inc.columns if c not in base.columns]]:
         default = F.lit((defaults or {}).get(c))
@@ -163,12 +163,12 @@ def replay(base: DataFrame | None, deltas: Iterable[Delta], keys: Sequence[str],
             rows = merge_keyless([d.rows for d in run])
             state = equality_delete(state, rows, run[0].columns or keys)
         else:
-            rows = merge_keyless([d.rows.withColumn("_pos", F.lit(d.position)) for d in run])
-            order = ["_pos", *seq]
+            rows = merge_keyless([d.rows.withColumn("__pos", F.lit(d.position)) for d in run])
+            order = ["__pos", *seq]
             if state is None:
-                state = (dedupe_merge_order(rows, keys, orders, order) if orders else dedupe_last(rows, keys, order)).drop("_pos")
+                state = (dedupe_merge_order(rows, keys, orders, order) if orders else dedupe_last(rows, keys, order)).drop("__pos")
             else:
-                state = upsert(state, rows, keys, order, orders).drop("_pos")
+                state = upsert(state, rows, keys, order, orders).drop("__pos")
         if n % CUT_EVERY == 0 and state is not None:
             state = cut(state)
     return state

@@ -81,11 +81,15 @@ def plan_summary(plan: DataFrame) -> DataFrame:
     )
 
 
+def _decoded(c: Column) -> Column:
+    return F.url_decode(F.regexp_replace(c, r"\+", "%2B"))
+
+
 class CompactedFolder:
     """A partitioned Parquet table whose versions list the files of each partition; merges small files in place.
 
-    ``merge_small`` rewrites only partitions with at least ``min_files`` files below ``min_bytes``, by dynamic partition
-    overwrite of a staged copy, and commits against the version it read: if another writer changed one of the rewritten
+    ``merge_small`` rewrites only partitions with at least ``min_files`` files below ``min_bytes``, all in one job that
+    overwrites their partitions dynamically in a staged copy, and commits against the version it read: if another writer changed one of the rewritten
     partitions in between, Conflict is raised and nothing changes; otherwise the commit is tried again on top of the
     other's version.
     """
@@ -109,12 +113,16 @@ class CompactedFolder:
         schema = info["schema"]
         if not paths:
             return self.spark.createDataFrame([], schema)
-        # all staging folders share one layout, so the partition value is read from each path
+        return self._rows(paths, schema)
+
+    def _rows(self, paths: list[str], schema: str) -> DataFrame:
+        """Rows of files; the partition value is read from each path, as all staging folders share one layout."""
         rows = self.spark.read.schema(schema).parquet(*paths)
         value = F.regexp_extract(F.col("_metadata.file_path"), rf"/{self.partition}=([^/]*)/", 1)
         kind = dict(rows.dtypes).get(self.partition, "string")
-        value = F.when(value == "__HIVE_DEFAULT_PARTITION__", None).otherwise(F.url_decode(value))
-        return rows.withColumn(self.partition, value.cast(kind)).select(*[f.name for f in rows.schema])
+        # a path is a url, and a partition value inside it is escaped once more
+        value = F.when(value == "__HIVE_DEFAULT_PARTITION__", None).otherwise(_decoded(_decoded(value)))
+        return rows.withColumn(self.partition, value.cast(kind))
 
     def _write(self, df: DataFrame, at: str) -> dict[str, list[list]]:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition).parquet(at)
@@ -147,14 +155,23 @@ class CompactedFolder:
         chosen = {p: small for p, files in before.items() if len(small := [f for f in files if f[1] < min_bytes]) >= min_files}
         if not chosen:
             return None
-        new: dict[str, list[list]] = {}
         at = self.store.stage()
         schema = self.store.commit(base)["schema"]
-        for p, small in chosen.items():
-            files = -(-sum(size for _, size in small) // target_bytes)
-            rows = self.spark.read.schema(schema).parquet(*[f for f, _ in small]).drop(self.partition)
-            rows.coalesce(max(1, files)).write.parquet(f"{at}/{p}")
-            new[p] = [list(x) for x in self.files.sizes(f"{at}/{p}")]
+        numbers, n = [], 0
+        for small in chosen.values():  # consecutive numbers per output, cut where its bytes pass the target
+            held = 0
+            for path, size in small:
+                if held and held + size > target_bytes:
+                    n, held = n + 1, 0
+                numbers.append((path, n))
+                held += size
+            n += 1
+        bare = lambda c: F.regexp_replace(c, r"^[a-zA-Z0-9]+:/*", "/")
+        of = self.spark.createDataFrame(numbers, "path string, __out int").select(bare(F.col("path")).alias("__path"), "__out")
+        rows = self._rows([f for f, _ in numbers], schema).withColumn("__path", bare(_decoded(F.col("_metadata.file_path"))))
+        # one job over all partitions; a range per output, so hardly two outputs share a task; a row whose file has no number stops the job
+        known = rows.join(bounded_broadcast(of), "__path", "left").withColumn("__out", F.coalesce("__out", F.raise_error(F.concat(F.lit("no output for "), "__path"))))
+        new = self._write(known.repartitionByRange(n, "__out").select(*[c for c in rows.columns if c != "__path"]), at)
         while True:
             now = self.snapshot(base)
             if any(not {f for f, _ in chosen[p]} <= {f for f, _ in now.get(p, [])} for p in chosen):

@@ -12,7 +12,7 @@ t = T._parse_datatype_string
 
 @pytest.mark.parametrize(
     ("a", "b", "c"),
-    [("int", "bigint", "bigint"), ("int", "double", "double"), ("int", "float", "double"), ("smallint", "float", "float"), ("decimal(5,2)", "int", "decimal(12,2)"), ("decimal(5,2)", "double", "double"), ("string", "binary", "binary"), ("void", "date", "date"), ("array<int>", "array<bigint>", "array<bigint>"), ("struct<a:int>", "struct<a:bigint,b:string>", "struct<a:bigint,b:string>")],
+    [("int", "bigint", "bigint"), ("int", "double", "double"), ("int", "float", "double"), ("smallint", "float", "float"), ("decimal(5,2)", "int", "decimal(11,2)"), ("decimal(20,2)", "bigint", "decimal(20,2)"), ("decimal(5,2)", "float", "float"), ("decimal(5,2)", "double", "double"), ("string", "binary", "binary"), ("void", "date", "date"), ("array<int>", "array<bigint>", "array<bigint>"), ("struct<a:int>", "struct<a:bigint,b:string>", "struct<a:bigint,b:string>")],
 )
 def test_common_types(a, b, c):
     assert V.common_type(t(a), t(b)).simpleString() == c and V.common_type(t(b), t(a)).simpleString() in (c, "struct<a:bigint,b:string>")

@@ -58,6 +58,16 @@ def test_rewrite_of_a_folder(spark, rows, tmp_path):
     assert t.merge_small(1 << 20, 1 << 20) is None
 
 
+def test_rewrite_of_odd_partition_values(spark, rows, tmp_path):
+    t = smallfiles.CompactedFolder(spark, str(tmp_path), "part")
+    for n in range(3):
+        t.append(spark.createDataFrame([(n, "x:y%z+w =/ä"), (n, None)], "v int, part string").coalesce(1))
+    want = rows(t.read())
+    assert {r[1] for r in want} == {"x:y%z+w =/ä", None}
+    t.merge_small(1 << 20, 1 << 20)
+    assert rows(t.read()) == want and {len(f) for f in t.snapshot().values()} == {1}
+
+
 def test_conflicting_rewrites(spark, tmp_path):
     a, b = (smallfiles.CompactedFolder(spark, str(tmp_path), "part") for _ in range(2))
     for n in range(3):
