@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, cut
 
 #: Words in a row that give an item away, and words of a shingle.
 PASSAGE, SHINGLE = 12, 5
@@ -55,7 +55,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     into blocks of words with enough overlap for any passage, so one huge document spreads over rows. Documents with null
     or empty texts, and items without words, give nothing. Repeated documents and items are each reported.
     """
-    q = passages(items).cache()
+    q = cut(passages(items))
     widths = sorted(r["width"] for r in q.select("width").distinct().collect())  # at most SHINGLE values
     margin = PASSAGE
     d = documents.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
