@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -595,7 +595,8 @@ class Catalog:
                 x = self._scan(info, d, p, self._load(d), system=False).select(hash_bucket(keys, n).alias("b"))
                 marks = x if marks is None else marks.unionByName(x)
             touched = {r["b"] for r in marks.distinct().collect()}  # at most n values
-        df = self._rows(t, info, bucket=touched)
+        watch = Observation(f"compact {uuid.uuid4().hex}")
+        df = self._rows(t, info, bucket=touched).observe(watch, F.count(F.lit(1)).alias("output_records"))
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         t.stage(folder)
         limit = info.properties["records_per_compacted_file"]
@@ -608,10 +609,43 @@ class Catalog:
         for p, _ in deltas:
             t.delete([*at, "deltas", p], "COMPACT")
         self._commit_delta(t, info, "COMPACTED", [*kept, *entries], None, None, info.schema, position=0)
-        done = {"watermark": max(p for p, _ in new), "buckets": n if keys else None, "rewritten_files": len(entries), "kept_files": len(kept), "input_records": sum(d["records"] for _, d in new)}
+        done = {"watermark": max(p for p, _ in new), "buckets": n if keys else None, "rewritten_files": len(entries), "kept_files": len(kept), "input_records": sum(d["records"] for _, d in new), "output_records": watch.get["output_records"], "output_bytes": sum(e["bytes"] for e in entries)}
         t.put([*at, "round"], done, "COMPACT")
         return done
 
+    def rebase(self, table: str, source: str, namespace: str = DEFAULT_NAMESPACE, source_namespace: str | None = None) -> dict:
+        """Compacts the deltas of ``source`` into a new stream of ``table``, whatever was compacted there before."""
+        with self._work(f"rebase {namespace}.{table} from {source}") as t:
+            origin, info = self._info(t, source, source_namespace or namespace), self._info(t, table, namespace)
+            rows = self._rows(t, origin)
+            self._new_stream(t, info.path)
+            info = self._info(t, table, namespace, info.version)
+            self._stage(t, info, rows, "UPSERT" if info.schema.merge_keys else "APPEND", None, formats.PARQUET, None)
+            return self._compact(t, self._info(t, table, namespace, info.version))
+
+    def repartition(self, table: str, column: str, ranges: Sequence[int], namespace: str = DEFAULT_NAMESPACE) -> list[int]:
+        """Rewrites a keyless table as one delta per range (lo, hi] of a column, nulls in the first; returns the positions."""
+        from .operators.repartition import range_repartition
+
+        with self._work(f"repartition {namespace}.{table}") as t:
+            info = self._info(t, table, namespace)
+            if info.schema is None or info.schema.merge_keys:
+                raise ValueError("only tables with a schema and without merge keys are repartitioned")
+            folder = f"{self.root}/data/{uuid.uuid4().hex}"
+            t.stage(folder)
+            old = self._deltas(t, info)
+            range_repartition(self._rows(t, info), column, ranges, folder, info.properties["records_per_compacted_file"])
+            at = [*info.path, "streams", t.get(*info.path, "stream")]
+            for p, _ in old:
+                t.delete([*at, "deltas", p], "REPARTITION")
+            done = []
+            for k in range(len(ranges) + 1):
+                files = self.log.files.sizes(f"{folder}/_range={k}")
+                if files:
+                    entries = self._entries(files, formats.PARQUET, info.schema, info)
+                    done.append(self._commit_delta(t, info, "APPEND", entries, None, None, info.schema))
+            return done
+
     def statistics(self, table: str, namespace: str = DEFAULT_NAMESPACE) -> DataFrame:
         from .operators.repartition import file_statistics
 

@@ -5,7 +5,6 @@ Merge scenarios derive an increment from a table by an expression over all of it
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -477,12 +476,81 @@ def join_group_sum(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("lifetime"))
 
 
-#: A delta that became visible before this moment is in the window.
-_FROM = dt.datetime(2024, 6, 1)
-
-
 @query("SELECT stream_id, partition_id, count(*) AS n, CAST(sum(record_count) AS BIGINT) AS records FROM deltas WHERE committed_at IS NOT NULL AND stream_position > 10 AND stream_position <= 1720000000000 GROUP BY ALL")
 def incremental_window(spark: SparkSession, d: str) -> DataFrame:
     """Deltas of the window (watermark, last position]."""
     x = table(spark, d, "deltas").filter("committed_at IS NOT NULL AND stream_position > 10 AND stream_position <= 1720000000000")
     return x.groupBy("stream_id", "partition_id").agg(F.count(F.lit(1)).alias("n"), F.sum("record_count").alias("records"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY l_returnflag")
+def table_range_repartition(spark: SparkSession, d: str) -> DataFrame:
+    """A table rewritten as one delta per range of the quantity holds the same rows."""
+    c = _catalog(spark)
+    c.write(table(spark, d, "lineitem"), "lineitem")
+    c.repartition("lineitem", "l_quantity", [10, 25, 40])
+    return c.read("lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey <> 3")
+def table_rebase(spark: SparkSession, d: str) -> DataFrame:
+    """A keyed table rebuilt from another one, with its deletes."""
+    c, s = _catalog(spark), table(spark, d, "supplier")
+    c.write(s, "source", merge_keys=["s_suppkey"], compact=False)
+    c.write(s.filter("s_nationkey = 3").select("s_suppkey"), "source", mode="delete", compact=False)
+    c.write(s, "target", merge_keys=["s_suppkey"])
+    c.rebase("target", "source")
+    return c.read("target")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 5 <> 0")
+def converter_session(spark: SparkSession, d: str) -> DataFrame:
+    """Data and equality deletes as files, converted to position deletes, which are then applied."""
+    at, o = shared_path(spark, "convert"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    data = [(f, 1, "all") for f, _ in formats.write(o, f"{at}/data")]
+    gone = [(f, 2, "all") for f, _ in formats.write(o.filter("o_custkey % 5 = 0").select("o_orderkey"), f"{at}/equality")]
+    new, _ = positions.convert(spark, positions.FileSet(data, gone), ["o_orderkey"], f"{at}/positions")
+    rows = positions.with_positions(spark, [f for f, _, _ in new.data])
+    return positions.apply_positions(rows, spark.read.parquet(*[f for f, _, _ in new.position])).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of files merged into a keyed table; the event time decides between events of a user."""
+    from ..streaming.sinks import upsert_stream
+
+    at, x = shared_path(spark, "stream"), table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("o"), "event_id", "event_type")
+    x.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "o").alias("r")).select("user_id", "r.*").write.parquet(f"{at}/source")
+    c = _catalog(spark)
+    c.create_table("latest", schema=evolution.Schema.of([evolution.Field("user_id", "bigint", merge_key=True), evolution.Field("event_id", "bigint"), evolution.Field("event_type", "string")]))
+    source = spark.readStream.schema("user_id bigint, event_id bigint, event_type string").parquet(f"{at}/source")
+    upsert_stream(source, c, "latest", f"{at}/checkpoint").awaitTermination()
+    return c.read("latest")
+
+
+@query("SELECT 'ADD' AS delta_type, 2 AS files, 2 * count(*) AS records FROM region")
+def delta_statistics(spark: SparkSession, d: str) -> DataFrame:
+    c, r = _catalog(spark), table(spark, d, "region").coalesce(1)
+    c.create_table("region", schema=evolution.Schema.infer(r))
+    for _ in range(2):
+        c.write(r, "region", mode="add")
+    return c.statistics("region").select("delta_type", F.col("files").cast("int").alias("files"), F.col("records").cast("long").alias("records"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7")
+def partition_pruned_read(spark: SparkSession, d: str) -> DataFrame:
+    """A table partitioned by nation of which only one nation's files are planned."""
+    c, x = _catalog(spark), table(spark, d, "customer")
+    c.write(x, "customer", schema=evolution.Schema.infer(x), partition_by=[("c_nationkey", Transform("identity"), "nation")])
+    return c.read("customer", columns=["c_custkey", "c_name"], partition_filter={"nation": [7]})
+
+
+@query("SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def sql_over_views(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots registered as views and joined in Spark SQL."""
+    c = _catalog(spark)
+    with c.transaction("two tables"):
+        for name in ("nation", "region"):
+            c.write(table(spark, d, name), name)
+    n, r = c.view("nation", name="snapshot_nation"), c.view("region", name="snapshot_region")
+    return spark.sql(f"SELECT n_name AS name, r_name AS region FROM {n} JOIN {r} ON n_regionkey = r_regionkey")

@@ -258,3 +258,16 @@ def test_registry(spark, tmp_path):
         C.get_catalog()
     C.load_catalogs(spark, f"{tmp_path}/c.json")
     assert C.get_catalog().root == f"{tmp_path}/c" and C.pop_catalog("default") is not None
+
+
+def test_rebase_and_repartition(cat, spark, rows):
+    df = spark.range(50).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL ELSE id END AS v")
+    cat.write(df, "a", merge_keys=["id"], compact=False)
+    cat.write(df.filter("id < 5").select("id"), "a", mode="delete", compact=False)
+    cat.write(df.limit(1), "b", merge_keys=["id"])
+    done = cat.rebase("b", "a")
+    assert cat.read("b").count() == 45 and done["output_records"] == 45
+    cat.write(df, "c")
+    assert len(cat.repartition("c", "v", [10, 30])) == 3 and rows(cat.read("c")) == rows(df)
+    with pytest.raises(ValueError):
+        cat.repartition("a", "v", [1])
