@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, cut
+from ..session import bounded_broadcast, cut, spread
 
 #: Words in a row that give an item away, and words of a shingle.
 PASSAGE, SHINGLE = 12, 5
@@ -58,7 +58,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     q = cut(passages(items))
     widths = sorted(r["width"] for r in q.select("width").distinct().collect())  # at most SHINGLE values
     margin = PASSAGE
-    d = documents.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    d = spread(documents.select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK))
     first = F.greatest(F.col("s") - margin, F.lit(0))
     blocks = d.select("doc_id", "w", F.explode(starts).alias("s")).select("doc_id", (F.col("s") - first).alias("own"), F.slice("w", first + 1, F.col("s") - first + BLOCK + margin).alias("w"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: A span below this score is no finding.
@@ -265,7 +265,7 @@ def found_spans(messages: DataFrame, key: str = "row_id", fields: tuple[str, ...
     for f in fields:
         has = F.col(f).rlike(r"[\p{L}\p{N}]")
         some = has if some is None else some | has
-    return messages.select(key, *fields).filter(some).mapInPandas(run, schema)
+    return spread(messages.select(key, *fields).filter(some)).mapInPandas(run, schema)
 
 
 def redacted(messages: DataFrame, fields: tuple[str, ...] = ("message", "sender_ph")) -> DataFrame:
@@ -277,4 +277,4 @@ def redacted(messages: DataFrame, fields: tuple[str, ...] = ("message", "sender_
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(redact, na_action="ignore")
 
-    return messages.withColumns({f: run(F.col(f)) for f in fields})
+    return spread(messages).withColumns({f: run(F.col(f)) for f in fields})

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut, ship, spread
 from .boosting import Boosted, train
 from .holdout import EXAMPLES
 
@@ -149,5 +149,5 @@ def kinds(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
     The statistics are written once, so that neither the training filter nor the prediction computes them again.
     """
-    stats = cut(statistics(documents))
+    stats = cut(statistics(spread(documents.select("doc_id", "text"))))
     return predict(stats, fit(stats, train_rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import conversations, leakage, packing, private, quality, tokens
 
 
@@ -35,12 +35,12 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", tokens.token_ids(F.col("text")).alias("ids"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tokens.token_ids(F.col("text")).alias("ids"))
 
 
 def p8_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Tokens per source, and characters per token."""
-    x = table(spark, d, "documents").select("source", "n_chars", F.size(tokens.token_ids(F.col("text"))).alias("n"))
+    x = spread(table(spark, d, "documents").select("source", "n_chars", "text")).select("source", "n_chars", F.size(tokens.token_ids(F.col("text"))).alias("n"))
     return x.groupBy("source").agg(F.sum("n").alias("tokens"), F.sum("n_chars").alias("chars"))
 
 
