@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .ordered import previous
 
-ROW = "uri string, stream_id string, stream_position long, row_no int, fields map<string,struct<value:string,raw:string>>"
+ROW = "uri string, stream_id string, stream_position string, row_no int, fields map<string,struct<value:string,raw:string>>"
 SEPARATORS = ("\t", "|", ",", ";")
 NULL_MARKS = {"", "\\N"}
 DATE, STAMP, WHOLE, REAL = (re.compile(p) for p in (r"\d{4}-\d\d-\d\d", r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?Z?", r"[+-]?\d+", r"[+-]?(\d+\.\d*|\.\d+|\d+[eE][+-]?\d+|\d+\.\d*[eE][+-]?\d+)"))
@@ -113,7 +113,9 @@ def load_rows(files: DataFrame, types: DataFrame | None = None) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["uri", "stream_id", "stream_position", "row_no", "fields"])
 
-    return kinds.select("uri", "stream_id", "stream_position", "content", "_kind").mapInPandas(rows, ROW)
+    # positions go through pandas as text: beside a null they would become floats and lose digits
+    out = kinds.select("uri", "stream_id", F.col("stream_position").cast("string").alias("stream_position"), "content", "_kind").mapInPandas(rows, ROW)
+    return out.withColumn("stream_position", F.col("stream_position").cast("long"))
 
 
 def path_statistics(rows: DataFrame) -> DataFrame:

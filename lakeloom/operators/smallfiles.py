@@ -28,14 +28,14 @@ def live_listings(deltas: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries of the manifest of the newest committed version of their delta, with the delta's namespace.
 
     Of versions committed at one instant the greatest manifest id counts; a delta without a committed version has none.
-    The uri leaves as two independent 64-bit hashes of its one spelling, so that long texts are not shuffled.
+    A listing without uri is no file. The uri leaves as two independent 64-bit hashes of its one spelling, so that long texts are not shuffled.
     """
     newest = (
         deltas.filter(F.col("committed_at").isNotNull()).groupBy(*DELTA)
         .agg(F.max(F.struct("committed_at", "manifest_id", "namespace")).alias("_v")).select(*DELTA, "_v.manifest_id", "_v.namespace")
     )
     object_ = same_object(F.col("uri"))
-    hashed = entries.select("entry_id", "manifest_id", *DELTA, F.xxhash64(object_).alias("object_a"), F.xxhash64(F.lit("again"), object_).alias("object_b"), "meta_content_length", "meta_record_count")
+    hashed = entries.filter(F.col("uri").isNotNull()).select("entry_id", "manifest_id", *DELTA, F.xxhash64(object_).alias("object_a"), F.xxhash64(F.lit("again"), object_).alias("object_b"), "meta_content_length", "meta_record_count")
     return hashed.join(newest, [*DELTA, "manifest_id"]).drop("manifest_id")
 
 

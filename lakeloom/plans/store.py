@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 
@@ -41,7 +42,10 @@ class Files:
         if fs.exists(claim) and time.time() * 1000 - fs.getFileStatus(claim).getModificationTime() > CLAIM_MS:
             fs.delete(claim, False)  # its writer died between claim and rename
         try:
-            fs.create(claim, False).close()  # exclusive: one writer wins
+            if fs.getScheme() == "file":  # Hadoop's local file system looks before it creates, which two writers can do at once
+                os.close(os.open(claim.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            else:
+                fs.create(claim, False).close()  # exclusive: one writer wins
         except Exception:
             fs.delete(tmp, False)
             return False

@@ -86,7 +86,23 @@ s AS (SELECT o.*, t.capacity_bytes, t.capacity_records FROM o JOIN compaction_ta
 found AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY stream_id, partition_id) AS n FROM s) WHERE n >= 2)
 """
 
+_DRIFT = """
+WITH f AS (SELECT uri, stream_id, stream_position, ltrim(ltrim(content, chr(65279)), chr(10) || chr(13) || ' ') AS c FROM raw_files),
+l AS (SELECT *, list_filter(string_split_regex(c, '\\r\\n|\\r|\\n'), lambda x: trim(x) <> '') AS lines FROM f WHERE c <> ''),
+n AS (SELECT uri, stream_id, stream_position, list_sort(list_distinct(list_transform(CASE WHEN c LIKE '{%' THEN flatten(list_transform(lines, lambda x: json_keys(x)))
+  ELSE string_split_regex(lines[1], '[\\t|,;]') END, lambda k: lower(trim(k))))) AS names FROM l),
+s AS (SELECT stream_id, schema_id, list_sort(list_distinct(list(lower(trim(field_name))))) AS names, list_sort(list_distinct(list({'i': field_id, 'n': lower(trim(field_name)), 't': lower(trim(field_type))}))) AS fields FROM schema_fields GROUP BY ALL),
+m AS (SELECT uri, arg_min(meta_schema_id, entry_id) AS told FROM manifest_entries WHERE meta_schema_id IS NOT NULL GROUP BY uri),
+c AS (SELECT n.uri, n.stream_id, n.stream_position, s.fields, row_number() OVER (PARTITION BY n.uri ORDER BY s.schema_id IS NOT DISTINCT FROM m.told DESC, s.schema_id) AS rn
+  FROM n LEFT JOIN m ON n.uri = m.uri JOIN s ON s.stream_id = n.stream_id AND s.names = n.names),
+p AS (SELECT stream_id, stream_position, fields, lag(fields) OVER (PARTITION BY stream_id ORDER BY stream_position) AS was FROM c WHERE rn = 1),
+i AS (SELECT stream_id, stream_position, fields, was, unnest(list_distinct(list_concat(list_transform(fields, lambda x: x.i), list_transform(was, lambda x: x.i)))) AS field_id FROM p WHERE was IS NOT NULL),
+b AS (SELECT stream_id, stream_position, field_id, list_filter(was, lambda x: x.i = field_id)[1] AS o, list_filter(fields, lambda x: x.i = field_id)[1] AS w FROM i),
+d AS (SELECT stream_id, stream_position, field_id, unnest([CASE WHEN o IS NULL THEN 'added' END, CASE WHEN w IS NULL THEN 'removed' END, CASE WHEN o.n <> w.n THEN 'renamed' END, CASE WHEN o.t <> w.t THEN 'retyped' END]) AS change_kind FROM b)
+SELECT * FROM d WHERE change_kind IS NOT NULL"""
+
 ORACLES = {
+    "p5_found": _DRIFT,
     "p3_found": _PENDING + "SELECT * FROM pending",
     "p3_by_stream": _PENDING + "SELECT stream_id, count(*) AS pending, count(DISTINCT partition_id) AS partitions FROM pending GROUP BY stream_id",
     "p4_found": _FEED + "SELECT stream_id, partition_id, stream_position, file_index, record_index FROM final",

@@ -20,7 +20,7 @@ def test_path_value_rows():
 
 def tables(spark):
     files = spark.createDataFrame(
-        [("u1", "s", 1, "id,name\n1,x\n"), ("u2", "s", 5, 'ID|label\n2|y\n'), ("u3", "s", 9, '{"label": "z", "id": 3}\n{"id": 4.5}\n'), ("u4", "s", 12, "id\tlabel\textra\n5\tw\tnot a number\n"), ("u5", "s", 13, ""), ("u6", "t", 1, "q\n1\n"), ("u7", None, 1, None)], FILES,
+        [("u1", "s", 1, "id,name\n1,x\n"), ("u2", "s", 5, 'ID|label\n2|y\n'), ("u3", "s", 9, '{"label": "z", "id": 3}\n{"id": 4.5}\n'), ("u4", "s", 12, "id\tlabel\textra\n5\tw\tnot a number\n"), ("u5", "s", 13, ""), ("u6", "t", 1, "q\n1\n"), ("u7", None, 1, None), ("u8", "big", 2**62 + 1, "a\n1\n"), ("u9", "big", None, "a\n1\n")], FILES,
     )
     entries = spark.createDataFrame([(1, "u1", 0, "text/csv", None), (2, "u2", 0, "text/psv", None), (3, "u3", 2, "text/csv", None), (4, "u4", None, None, None), (5, "u4", None, None, None), (6, "u6", 7, None, None)], ENTRIES)
     f = lambda sid, *fs: [("s", sid, i, n, t) for i, n, t in fs]
@@ -42,6 +42,11 @@ def test_cells_and_failed_casts(spark, rows):
     assert rows(wide) == [(1, 1, 1.0, "x", None), (12, 1, 5.0, "w", None), (5, 1, 2.0, "y", None), (9, 1, 3.0, "z", None), (9, 2, 4.5, None, None)]
 
 
+def test_long_positions_survive_beside_nulls(spark):
+    files, _, _ = tables(spark)
+    assert {r["stream_position"] for r in drift.load_rows(files.coalesce(1)).filter("stream_id = 'big'").collect()} == {2**62 + 1, None}
+
+
 def test_empty(spark):
     files, entries, fields = (df.limit(0) for df in tables(spark))
     assert drift.drift(files, entries, fields).count() == 0

@@ -29,7 +29,7 @@ def tables(spark):
     ]
     e = [
         (1, "m1", "s", "p", 1, "s3://b/old", 5, 1), (2, "m2", "s", "p", 1, "s3://b/a", 5, 1), (3, "m3", "s", "p", 2, "S3://b//a", 5, 1), (4, "m3", "s", "p", 2, "s3://b/c", 9, None), (5, "m3", "s", "p", 2, "s3://b/big", 10, 1),
-        (6, "m3", "s", "p", 2, "s3://b/unknown", None, 1), (7, "m4", "s", "k", 1, "s3://b/k1", 1, 1), (8, "m4", "s", "k", 1, "s3://b/k2", 1, 1), (9, "m6", "s", "one", 1, "s3://b/only", 1, 1), (10, "m7", "s", "o", 1, "s3://b/o1", 1, 1), (11, "m7", "s", "o", 1, "s3://b/o2", 1, 1),
+        (6, "m3", "s", "p", 2, "s3://b/unknown", None, 1), (7, "m4", "s", "k", 1, "s3://b/k1", 1, 1), (8, "m4", "s", "k", 1, "s3://b/k2", 1, 1), (9, "m6", "s", "one", 1, "s3://b/only", 1, 1), (10, "m7", "s", "o", 1, "s3://b/o1", 1, 1), (11, "m7", "s", "o", 1, "s3://b/o2", 1, 1), (12, "m3", "s", "p", 2, None, 1, 1),
     ]
     return spark.createDataFrame(d, DELTAS), spark.createDataFrame(e, ENTRIES), spark.createDataFrame([("n", 8, 100, 10)], TARGETS)
 
