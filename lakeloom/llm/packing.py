@@ -18,7 +18,7 @@ CHUNK = 20_000
 #: A container this full is closed; emptier ones are packed again with those of other chunks.
 FULL = 0.98
 BITS = 16
-SCHEMA = "namespace string, container_id string, stream_id string, partition_id string, stream_position long, piece_no int, piece_bytes long, piece_records long, capacity_bytes long, capacity_records long, hilbert long, closed boolean"
+SCHEMA = "namespace string, container_id string, stream_id string, partition_id string, stream_position string, piece_no int, piece_bytes long, piece_records long, capacity_bytes long, capacity_records long, hilbert long, closed boolean"
 
 
 def newest_items(deltas: DataFrame) -> DataFrame:
@@ -138,7 +138,10 @@ def _round(items: DataFrame, parts: int, chunk: int) -> DataFrame:
 
     ship()
     order = ["namespace", "hilbert", *KEY, "piece_no"]
-    return items.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(run, SCHEMA)
+    ranged = items.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # positions go through pandas as text: beside a null they would become floats and lose digits
+    packed = ranged.withColumn("stream_position", F.col("stream_position").cast("string")).mapInPandas(run, SCHEMA)
+    return packed.withColumn("stream_position", F.col("stream_position").cast("long"))
 
 
 def pack(deltas: DataFrame, targets: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -253,7 +253,7 @@ def found_spans(messages: DataFrame, key: str = "row_id", fields: tuple[str, ...
 
     Texts without a letter or digit are dropped in the JVM before any goes to Python.
     """
-    schema = f"{key} {dict(messages.dtypes)[key]}, field_name string, kind string, start_pos int, end_pos int"
+    schema = f"{key} string, field_name string, kind string, start_pos int, end_pos int"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -265,7 +265,9 @@ def found_spans(messages: DataFrame, key: str = "row_id", fields: tuple[str, ...
     for f in fields:
         has = F.col(f).rlike(r"[\p{L}\p{N}]")
         some = has if some is None else some | has
-    return spread(messages.select(key, *fields).filter(some)).mapInPandas(run, schema)
+    # keys go through pandas as text: beside a null they would become floats and lose digits
+    found = spread(messages.filter(some).select(F.col(key).cast("string").alias(key), *fields)).mapInPandas(run, schema)
+    return found.withColumn(key, F.col(key).cast(messages.schema[key].dataType))
 
 
 def redacted(messages: DataFrame, fields: tuple[str, ...] = ("message", "sender_ph")) -> DataFrame:

@@ -140,8 +140,10 @@ def predict(stats: DataFrame, model: Boosted) -> DataFrame:
             yield out
 
     ship()
-    schema = "doc_id long, kind string, " + ", ".join(f"p_{c} double" for c in CLASSES)
-    return stats.filter("has_text").select("doc_id", *NAMES).mapInPandas(run, schema)
+    schema = "doc_id string, kind string, " + ", ".join(f"p_{c} double" for c in CLASSES)
+    # ids go through pandas as text: beside a null they would become floats and lose digits
+    found = stats.filter("has_text").select(F.col("doc_id").cast("string").alias("doc_id"), *NAMES).mapInPandas(run, schema)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def kinds(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

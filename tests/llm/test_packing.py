@@ -70,5 +70,11 @@ def test_pack(spark, chunk):
     assert f["hot"]["containers"] <= f["hot"]["least_possible"] * 1.1 + 1
 
 
+def test_long_positions_survive_beside_nulls(spark):
+    rows = [("hot", "t", "s", "p", p, "m", T0, 5, 5, "x") for p in (2**62 + 1, None, 3)]
+    got = K.pack(spark.createDataFrame(rows, DELTAS).coalesce(1), spark.createDataFrame([("hot", 100, 100, 1)], TARGETS))
+    assert {r["stream_position"] for r in got.collect()} == {2**62 + 1, None, 3}
+
+
 def test_empty(spark):
     assert K.pack(deltas(spark, 5).limit(0), spark.createDataFrame([], TARGETS)).count() == 0

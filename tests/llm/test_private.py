@@ -49,3 +49,5 @@ def test_frames(spark, rows):
     out = P.redacted(df).orderBy("kind").collect()
     assert [r["message"] for r in out] == [None, "ask [NAME], they know", "ask [NAME], they know", ""] and out[2]["sender_ph"] == "12 / [PHONE]" and P.redacted(df).columns == df.columns
     assert P.found_spans(df.limit(0)).count() == 0
+    big = spark.createDataFrame([(2**62 + 1, "a@b.example", None), (None, "a@b.example", None)], "row_id long, message string, sender_ph string").coalesce(1)
+    assert {r["row_id"] for r in P.found_spans(big).collect()} == {2**62 + 1, None}
