@@ -62,17 +62,24 @@ def placed(items: DataFrame) -> DataFrame:
     return items.withColumn("hilbert", hilbert(_axis(features, 11), _axis(features, 23)))
 
 
-def pieces(size: int, records: int, cap_size: int, cap_records: int) -> list[tuple[int, int]]:
-    """The item whole if it fits, else full pieces and a rest; sums are kept exactly."""
-    out = []
+def pieces(size: int, records: int, cap_size: int, cap_records: int, even: bool = False) -> list[tuple[int, int]]:
+    """The item whole if it fits, else the least number of pieces; sums are kept exactly.
+
+    Pieces are full but for the last, or even: even ones leave room in both capacities, so that pieces heavy in one can be
+    packed with those heavy in the other.
+    """
     if (size > 0 and cap_size <= 0) or (records > 0 and cap_records <= 0):
         raise ValueError("an item of positive size needs a positive capacity")
-    while size > cap_size or records > cap_records:
-        f = max(size / cap_size if cap_size else 0, records / cap_records if cap_records else 0)
-        a, b = min(cap_size, int(size / f)), min(cap_records, int(records / f))
-        out.append((a, b))
-        size, records = size - a, records - b
-    return [*out, (size, records)] if size or records or not out else out
+    n = max(1, -(-size // cap_size) if size else 1, -(-records // cap_records) if records else 1)
+    if even:
+        cuts = [(size * k // n, records * k // n) for k in range(n + 1)]
+    else:
+        f = max(size / cap_size if size else 0, records / cap_records if records else 0)
+        a, b = (min(cap_size, int(size / f)), min(cap_records, int(records / f))) if n > 1 else (size, records)
+        cuts = [(a * k, b * k) for k in range(n)] + [(size, records)]
+        if size - a * (n - 1) > cap_size or records - b * (n - 1) > cap_records:  # rounding left too much for the last
+            return pieces(size, records, cap_size, cap_records, even=True)
+    return [(c[0] - d[0], c[1] - d[1]) for d, c in zip(cuts, cuts[1:], strict=False)]
 
 
 def best_fit(sizes: np.ndarray, records: np.ndarray, cap_size: int, cap_records: int) -> np.ndarray:
@@ -100,14 +107,22 @@ def best_fit(sizes: np.ndarray, records: np.ndarray, cap_size: int, cap_records:
 
 
 def _pack_chunk(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
+    """Packs one chunk; of the two ways to divide its oversized items the one with fewer containers is taken."""
     ns, cap_s, cap_r = rows["namespace"].iloc[0], int(rows["capacity_bytes"].iloc[0]), int(rows["capacity_records"].iloc[0])
-    out = []
-    for r in rows.itertuples(index=False):
-        parts = pieces(int(r.bytes), int(r.records), cap_s, cap_r) if r.piece_no < 0 else [(int(r.bytes), int(r.records))]
-        out += [(r.stream_id, r.partition_id, r.stream_position, n if r.piece_no < 0 else r.piece_no, a, b, r.hilbert) for n, (a, b) in enumerate(parts)]
-    x = pd.DataFrame(out, columns=[*KEY, "piece_no", "piece_bytes", "piece_records", "hilbert"])
-    where = best_fit(x["piece_bytes"].to_numpy(np.int64), x["piece_records"].to_numpy(np.int64), cap_s, cap_r)
-    x["_c"] = where
+    best = None
+    for even in (False, True):
+        out, divided = [], False
+        for r in rows.itertuples(index=False):
+            parts = pieces(int(r.bytes), int(r.records), cap_s, cap_r, even) if r.piece_no < 0 else [(int(r.bytes), int(r.records))]
+            divided |= len(parts) > 1
+            out += [(r.stream_id, r.partition_id, r.stream_position, n if r.piece_no < 0 else r.piece_no, a, b, r.hilbert) for n, (a, b) in enumerate(parts)]
+        tried = pd.DataFrame(out, columns=[*KEY, "piece_no", "piece_bytes", "piece_records", "hilbert"])
+        tried["_c"] = best_fit(tried["piece_bytes"].to_numpy(np.int64), tried["piece_records"].to_numpy(np.int64), cap_s, cap_r)
+        if best is None or tried["_c"].max() < best["_c"].max():
+            best = tried
+        if not divided:
+            break
+    x = best
     g = x.groupby("_c")
     fill = np.maximum(g["piece_bytes"].sum() / max(cap_s, 1), g["piece_records"].sum() / max(cap_r, 1))
     first = g.head(1).set_index("_c")

@@ -23,8 +23,10 @@ def test_curve_visits_every_cell_in_steps_of_one(spark):
 def test_pieces():
     assert K.pieces(5, 5, 10, 10) == [(5, 5)] and K.pieces(0, 0, 10, 10) == [(0, 0)]
     for size, records in ((25, 3), (3, 25), (100, 99), (10, 11), (11, 10)):
-        p = K.pieces(size, records, 10, 10)
-        assert sum(a for a, _ in p) == size and sum(b for _, b in p) == records and all(a <= 10 and b <= 10 for a, b in p)
+        for even in (False, True):
+            p = K.pieces(size, records, 10, 10, even)
+            assert sum(a for a, _ in p) == size and sum(b for _, b in p) == records and all(0 <= a <= 10 and 0 <= b <= 10 for a, b in p) and len(p) == max(-(-size // 10), -(-records // 10))
+    assert K.pieces(25, 3, 10, 10)[0][0] == 10 and K.pieces(25, 3, 10, 10, even=True)[0][0] == 8
     with pytest.raises(ValueError):
         K.pieces(5, 0, 0, 10)
 
