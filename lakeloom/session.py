@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,6 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lakeloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(own)
     return own
 
@@ -41,7 +44,9 @@ def ship() -> None:
     if getattr(sc, "_lakeloom_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="lakeloom-code-"), "lakeloom.zip")  # the driver serves it
+    own = tempfile.mkdtemp(prefix="lakeloom-code-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    target = os.path.join(own, "lakeloom.zip")  # the driver serves it
     with zipfile.ZipFile(target, "w") as z:
         for folder, _, names in os.walk(here):
             for n in names:
