@@ -133,6 +133,12 @@ def schemas(schema_fields: DataFrame) -> DataFrame:
     return one
 
 
+def told_of(manifest_entries: DataFrame) -> DataFrame:
+    """(uri, told, meta_content_type): the schema id and content type given for each uri by the smallest entries that have them."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("entry_id")))
+    return manifest_entries.groupBy("uri").agg(first("meta_schema_id").alias("told"), first("meta_content_type").alias("meta_content_type"))
+
+
 def file_schemas(files: DataFrame, manifest_entries: DataFrame, schema_fields: DataFrame) -> DataFrame:
     """(uri, stream_id, stream_position, schema_id, fields): the schema of each file.
 
@@ -140,7 +146,7 @@ def file_schemas(files: DataFrame, manifest_entries: DataFrame, schema_fields: D
     several such the one whose types fit the path statistics best, then the least id. Files without one are left out.
     Of several listings of a uri, a schema id given by the smallest entry counts.
     """
-    listed = manifest_entries.groupBy("uri").agg(F.min_by("meta_schema_id", F.when(F.col("meta_schema_id").isNotNull(), F.col("entry_id"))).alias("told"), F.min_by("meta_content_type", F.when(F.col("meta_content_type").isNotNull(), F.col("entry_id"))).alias("meta_content_type"))
+    listed = told_of(manifest_entries)
     stats = path_statistics(load_rows(files, listed))
     per = stats.groupBy("uri", "stream_id", "stream_position").agg(F.array_sort(F.collect_set("path")).alias("names"), F.collect_list(F.struct("path", *[c for c in stats.columns if c.startswith("n_")])).alias("stats"))
     told = per.join(listed.select("uri", "told"), "uri", "left")
@@ -193,24 +199,47 @@ def drift(files: DataFrame, manifest_entries: DataFrame, schema_fields: DataFram
 TYPES = {"int": "int", "bigint": "bigint", "double": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz"}
 
 
+def _lookups(files: DataFrame, manifest_entries: DataFrame, schema_fields: DataFrame) -> DataFrame:
+    """(uri, exact, near): the fields of each file's schema; for files without one those that its paths may be by name.
+
+    These are the fields of the schema that ``meta_schema_id`` tells, then the names that belong to a single field in all
+    schemas of the stream.
+    """
+    s = schemas(schema_fields)
+    told = s.select("stream_id", F.col("schema_id").alias("told"), F.col("fields").alias("_told"))
+    single = s.select("stream_id", F.explode("fields").alias("f")).groupBy("stream_id", "f.name").agg(F.min("f.field_id").alias("field_id"), F.max("f.field_id").alias("_other"), F.min("f.type").alias("type")).filter("field_id = _other")
+    single = single.groupBy("stream_id").agg(F.collect_list(F.struct("field_id", "name", "type")).alias("_single"))
+    of = file_schemas(files, manifest_entries, schema_fields).select("uri", F.col("fields").alias("exact"))
+    x = files.select("uri", "stream_id").join(told_of(manifest_entries).select("uri", "told"), "uri", "left").join(told, ["stream_id", "told"], "left").join(single, "stream_id", "left").join(of, "uri", "left")
+    none = F.array().cast(s.schema["fields"].dataType)
+    a, b = F.coalesce("_told", none), F.coalesce("_single", none)
+    return x.select("uri", "exact", F.concat(a, F.filter(b, lambda f: ~F.array_contains(F.transform(a, lambda t: t["name"]), f["name"]))).alias("near"))
+
+
 def consistent_cells(files: DataFrame, manifest_entries: DataFrame, schema_fields: DataFrame) -> DataFrame:
     """All rows of all streams in one long table: (stream_id, stream_position, uri, row_no, field_id, name, type, value, cast_failed).
 
     Every cell is cast to the newest type of its field (the schema with the greatest id that has it); ``name`` is the
     newest name. A value that can't be cast comes out as null with ``cast_failed`` true, so nothing is lost silently.
+    In a file whose names are those of no schema each path is matched by name alone; a path that no field fits comes out
+    under its own name and as it is, with null ``field_id`` and ``type``.
     """
-    listed = manifest_entries.groupBy("uri").agg(F.min_by("meta_content_type", "entry_id").alias("meta_content_type"))
-    rows = load_rows(files, listed).filter("row_no > 0")
-    of = file_schemas(files, manifest_entries, schema_fields)
+    rows = load_rows(files, told_of(manifest_entries).select("uri", "meta_content_type")).filter("row_no > 0")
     f = schema_fields.select("stream_id", "field_id", "schema_id", F.lower(F.trim("field_name")).alias("name"), F.lower(F.trim("field_type")).alias("type"))
     newest = f.groupBy("stream_id", "field_id").agg(F.max_by(F.struct("name", "type"), "schema_id").alias("_n")).select("stream_id", "field_id", F.col("_n.name").alias("newest_name"), F.col("_n.type").alias("newest_type"))
-    cells = rows.join(of.select("uri", F.explode("fields").alias("f")), "uri").select("stream_id", "stream_position", "uri", "row_no", "f.field_id", F.try_element_at("fields", F.col("f.name")).alias("cell"))
-    x = cells.join(newest, ["stream_id", "field_id"])
+    x = rows.join(_lookups(files, manifest_entries, schema_fields), "uri", "left")
+    x = x.withColumn("_of", F.coalesce("exact", F.filter("near", lambda f: F.map_contains_key("fields", f["name"]))))
+    matched = F.transform("_of", lambda f: F.struct(f["field_id"].alias("field_id"), f["name"].alias("path"), F.try_element_at("fields", f["name"]).alias("cell")))
+    others = F.filter(F.map_entries("fields"), lambda e: (e["key"] != "") & ~F.array_contains(F.transform("_of", lambda f: f["name"]), e["key"]))
+    unmatched = F.transform(others, lambda e: F.struct(F.lit(None).cast("int").alias("field_id"), e["key"].alias("path"), e["value"].alias("cell")))
+    cells = x.select("stream_id", "stream_position", "uri", "row_no", F.explode(F.concat(matched, unmatched)).alias("c")).select("stream_id", "stream_position", "uri", "row_no", "c.*")
+    x = cells.join(newest, ["stream_id", "field_id"], "left")
     text = F.trim(F.col("cell.value"))
     value = text
     for kind, spark in TYPES.items():
         value = F.when(F.col("newest_type") == kind, text.try_cast(spark).cast("string")).otherwise(value)
-    return x.select("stream_id", "stream_position", "uri", "row_no", "field_id", F.col("newest_name").alias("name"), F.col("newest_type").alias("type"), value.alias("value"), (text.isNotNull() & value.isNull()).alias("cast_failed"))
+    value = F.when(F.col("field_id").isNull(), F.col("cell.value")).otherwise(value)
+    return x.select("stream_id", "stream_position", "uri", "row_no", "field_id", F.coalesce("newest_name", "path").alias("name"), F.col("newest_type").alias("type"), value.alias("value"), (text.isNotNull() & value.isNull()).alias("cast_failed"))
 
 
 def stream_table(cells: DataFrame, stream_id: str, schema_fields: DataFrame) -> DataFrame:

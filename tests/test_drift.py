@@ -42,6 +42,17 @@ def test_cells_and_failed_casts(spark, rows):
     assert rows(wide) == [(1, 1, 1.0, "x", None), (12, 1, 5.0, "w", None), (5, 1, 2.0, "y", None), (9, 1, 3.0, "z", None), (9, 2, 4.5, None, None)]
 
 
+def test_files_of_no_schema_keep_their_rows(spark, rows):
+    files, entries, fields = tables(spark)
+    more = spark.createDataFrame([("v1", "s", 20, '{"id": 6}\n'), ("v2", "s", 21, "id,label,odd\n7,q, w \n"), ("v3", "s", 22, "ID,odd\n8,e\n"), ("v4", None, 23, "z\n9\n")], FILES)
+    told = spark.createDataFrame([(11, "v1", 2, None, None), (12, "v2", 2, None, None)], ENTRIES)
+    cells = drift.consistent_cells(files.union(more), entries.union(told), fields)
+    got = rows(cells.filter("uri like 'v%'").select("uri", "row_no", "field_id", "name", "value", "cast_failed"))
+    assert got == [("v1", 1, 1, "id", "6.0", False), ("v2", 1, 1, "id", "7.0", False), ("v2", 1, 2, "label", "q", False), ("v2", 1, None, "odd", " w ", False), ("v3", 1, 1, "id", "8.0", False), ("v3", 1, None, "odd", "e", False), ("v4", 1, None, "z", "9", False)]
+    assert rows(cells.filter("uri = 'u8'").select("name", "value")) == [("a", "1")]
+    assert rows(drift.stream_table(cells, "s", fields).filter("stream_position >= 20").select("stream_position", "id", "label")) == [(20, 6.0, None), (21, 7.0, "q"), (22, 8.0, None)]
+
+
 def test_long_positions_survive_beside_nulls(spark):
     files, _, _ = tables(spark)
     assert {r["stream_position"] for r in drift.load_rows(files.coalesce(1)).filter("stream_id = 'big'").collect()} == {2**62 + 1, None}
