@@ -6,6 +6,7 @@ import csv
 import io
 import json
 import re
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,7 +56,9 @@ def path_value_rows(content: str | None, kind: str | None):
 
     The content decides: JSON lines if the first sign is a brace, else delimited text whose separator is the one that the
     header holds most often (the declared type breaks ties). Marks of byte order, line ends of all kinds and blank lines
-    are passed over; empty values and \\N are null; a damaged line gives the row {"": (line, "damaged")}.
+    are passed over; empty values and \\N are null. What has no path stands under "": a damaged line gives the row
+    {"": (line, "damaged")} under its own number, and cells without a name of their own (beyond the header, below a blank
+    name or one that a later column repeats) are listed as JSON: (list, "surplus").
     """
     text = (content or "").replace("\x00", "").lstrip("\ufeff\u200b \r\n")
     if not text.strip():
@@ -65,7 +68,9 @@ def path_value_rows(content: str | None, kind: str | None):
             if line.strip():
                 row: dict = {}
                 try:
-                    _flat("", json.loads(line.strip().lstrip("\ufeff")), row)
+                    value = json.loads(line.strip().lstrip("\ufeff"))
+                    if value != {}:
+                        _flat("", value, row)
                 except ValueError:
                     row = {"": (line, "damaged")}
                 yield n, row
@@ -74,26 +79,43 @@ def path_value_rows(content: str | None, kind: str | None):
     told = "\t" if kind and "tsv" in kind.lower() else "|" if kind and "psv" in kind.lower() else ","
     sep = max(SEPARATORS, key=lambda s: (head.count(s), s == told))
     plain = bool(kind) and "unescaped" in kind.lower()
-    lines = csv.reader(io.StringIO(text, newline=""), delimiter=sep, quoting=csv.QUOTE_NONE if plain else csv.QUOTE_MINIMAL)
+    csv.field_size_limit(sys.maxsize)
+    read: list[str] = []  # the lines of the present row
+
+    def source():
+        for line in io.StringIO(text, newline=""):
+            read.append(line)
+            yield line
+
+    lines = csv.reader(source(), delimiter=sep, quoting=csv.QUOTE_NONE if plain else csv.QUOTE_MINIMAL)
     names: list[str] | None = None
+    own: list[bool] = []
     n = 0
     while True:
+        read.clear()
         try:
             cells = next(lines)
         except StopIteration:
             return
         except csv.Error:
-            yield n, {"": (None, "damaged")}
+            n += 1
+            yield n, {"": ("".join(read), "damaged")}
             continue
         if not any(c.strip() for c in cells):
             continue
         if names is None:
             names = [c.strip().strip("\ufeff\u200b").strip('"').lower() for c in cells]
+            last = {x: k for k, x in enumerate(names)}
+            own = [bool(x) and last[x] == k for k, x in enumerate(names)]
             yield 0, {x: (None, "null") for x in names if x}
             continue
         n += 1
         values = [None if c in NULL_MARKS else c for c in cells]
-        yield n, {x: (v, raw_type(v)) for x, v in zip(names, values + [None] * (len(names) - len(values)), strict=False) if x}
+        row = {x: (v, raw_type(v)) for x, v in zip(names, values + [None] * (len(names) - len(values)), strict=False) if x}
+        surplus = [v for k, v in enumerate(values) if v is not None and not (k < len(own) and own[k])]
+        if surplus:
+            row[""] = (json.dumps(surplus, ensure_ascii=False), "surplus")
+        yield n, row
 
 
 def load_rows(files: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -222,15 +244,17 @@ def consistent_cells(files: DataFrame, manifest_entries: DataFrame, schema_field
     Every cell is cast to the newest type of its field (the schema with the greatest id that has it); ``name`` is the
     newest name. A value that can't be cast comes out as null with ``cast_failed`` true, so nothing is lost silently.
     In a file whose names are those of no schema each path is matched by name alone; a path that no field fits comes out
-    under its own name and as it is, with null ``field_id`` and ``type``.
+    under its own name and as it is, with null ``field_id`` and ``type``. So do damaged rows and surplus cells, under an
+    empty name and with ``cast_failed`` true; a damaged row has no other cells.
     """
     rows = load_rows(files, told_of(manifest_entries).select("uri", "meta_content_type")).filter("row_no > 0")
     f = schema_fields.select("stream_id", "field_id", "schema_id", F.lower(F.trim("field_name")).alias("name"), F.lower(F.trim("field_type")).alias("type"))
     newest = f.groupBy("stream_id", "field_id").agg(F.max_by(F.struct("name", "type"), "schema_id").alias("_n")).select("stream_id", "field_id", F.col("_n.name").alias("newest_name"), F.col("_n.type").alias("newest_type"))
     x = rows.join(_lookups(files, manifest_entries, schema_fields), "uri", "left")
-    x = x.withColumn("_of", F.coalesce("exact", F.filter("near", lambda f: F.map_contains_key("fields", f["name"]))))
+    damaged = F.coalesce(F.try_element_at("fields", F.lit(""))["raw"] == "damaged", F.lit(False))
+    x = x.withColumn("_of", F.coalesce(F.when(damaged, F.array().cast(x.schema["near"].dataType)), "exact", F.filter("near", lambda f: F.map_contains_key("fields", f["name"]))))
     matched = F.transform("_of", lambda f: F.struct(f["field_id"].alias("field_id"), f["name"].alias("path"), F.try_element_at("fields", f["name"]).alias("cell")))
-    others = F.filter(F.map_entries("fields"), lambda e: (e["key"] != "") & ~F.array_contains(F.transform("_of", lambda f: f["name"]), e["key"]))
+    others = F.filter(F.map_entries("fields"), lambda e: ~F.array_contains(F.transform("_of", lambda f: f["name"]), e["key"]))
     unmatched = F.transform(others, lambda e: F.struct(F.lit(None).cast("int").alias("field_id"), e["key"].alias("path"), e["value"].alias("cell")))
     cells = x.select("stream_id", "stream_position", "uri", "row_no", F.explode(F.concat(matched, unmatched)).alias("c")).select("stream_id", "stream_position", "uri", "row_no", "c.*")
     x = cells.join(newest, ["stream_id", "field_id"], "left")
@@ -239,7 +263,8 @@ def consistent_cells(files: DataFrame, manifest_entries: DataFrame, schema_field
     for kind, spark in TYPES.items():
         value = F.when(F.col("newest_type") == kind, text.try_cast(spark).cast("string")).otherwise(value)
     value = F.when(F.col("field_id").isNull(), F.col("cell.value")).otherwise(value)
-    return x.select("stream_id", "stream_position", "uri", "row_no", "field_id", F.coalesce("newest_name", "path").alias("name"), F.col("newest_type").alias("type"), value.alias("value"), (text.isNotNull() & value.isNull()).alias("cast_failed"))
+    failed = (text.isNotNull() & value.isNull()) | (F.col("path") == "")
+    return x.select("stream_id", "stream_position", "uri", "row_no", "field_id", F.coalesce("newest_name", "path").alias("name"), F.col("newest_type").alias("type"), value.alias("value"), failed.alias("cast_failed"))
 
 
 def stream_table(cells: DataFrame, stream_id: str, schema_fields: DataFrame) -> DataFrame:

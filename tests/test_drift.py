@@ -53,6 +53,22 @@ def test_files_of_no_schema_keep_their_rows(spark, rows):
     assert rows(drift.stream_table(cells, "s", fields).filter("stream_position >= 20").select("stream_position", "id", "label")) == [(20, 6.0, None), (21, 7.0, "q"), (22, 8.0, None)]
 
 
+def test_damaged_and_surplus_cells_keep_their_text(spark, rows, monkeypatch):
+    long = "x" * 140_000
+    assert dict(drift.path_value_rows(f"a,b\n1,{long}\n2,y\n", "text/csv")) == {0: {"a": (None, "null"), "b": (None, "null")}, 1: {"a": ("1", "long"), "b": (long, "string")}, 2: {"a": ("2", "long"), "b": ("y", "string")}}
+    assert dict(drift.path_value_rows("a,,A\n1,2,3,4,,5\n", "text/csv"))[1] == {"a": ("3", "long"), "": ('["1", "2", "4", "5"]', "surplus")}
+    with monkeypatch.context() as m:
+        m.setattr(drift.sys, "maxsize", 10)
+        got = list(drift.path_value_rows('a,b\n1,x\n2,"too long\na cell"\n3,y\n', "text/csv"))
+    assert [n for n, _ in got] == [0, 1, 2, 3] and got[2][1][""][1] == "damaged" and got[2][1][""][0].startswith('2,"too long')
+    files, entries, fields = tables(spark)
+    more = spark.createDataFrame([("w1", "s", 30, '{"id": 1, "label": "k"}\n{"id": 2, "lab\n{}\n'), ("w2", "s", 31, "id,label\n3,m,n,o\n"), ("w3", "s", 32, f"id,label\n4,{long}\n5,p\n")], FILES)
+    cells = drift.consistent_cells(files.union(more), entries, fields)
+    assert rows(cells.filter("uri like 'w%' and (cast_failed or field_id is null)").select("uri", "row_no", "field_id", "name", "value", "cast_failed")) == [("w1", 2, None, "", '{"id": 2, "lab', True), ("w2", 1, None, "", '["n", "o"]', True)]
+    assert rows(cells.filter("uri = 'w1'").groupBy("row_no").count()) == [(1, 2), (2, 1), (3, 2)]
+    assert rows(cells.filter("uri = 'w3' and name = 'label'").selectExpr("row_no", "length(value)")) == [(1, 140_000), (2, 1)]
+
+
 def test_long_positions_survive_beside_nulls(spark):
     files, _, _ = tables(spark)
     assert {r["stream_position"] for r in drift.load_rows(files.coalesce(1)).filter("stream_id = 'big'").collect()} == {2**62 + 1, None}
