@@ -31,7 +31,7 @@ def latest_per_place(feed: DataFrame) -> DataFrame:
     rest = ["delete_columns", *FIELDS]
     x = feed.select(*PLACE, kind.alias("kind"), *rest, "received_at", "change_id")
     last = x.groupBy(*PLACE).agg(F.max(F.struct("received_at", "change_id", "kind", *rest)).alias("_r"))
-    return last.select(*PLACE, "_r.kind", *[f"_r.{c}" for c in rest], "_r.received_at").filter(F.col("kind").isin("append", "upsert", "delete"))
+    return last.select(*PLACE, "_r.kind", *[f"_r.{c}" for c in rest], "_r.received_at", "_r.change_id").filter(F.col("kind").isin("append", "upsert", "delete"))
 
 
 def delete_fields(names: Column) -> Column:
@@ -46,9 +46,13 @@ def bucket_of(buckets: int) -> Column:
 
 
 def last_sets(sets: DataFrame) -> DataFrame:
-    """The last row that set each key: sort-merge inside the bucket, partially aggregated before the shuffle."""
-    rest = [c for c in sets.columns if c not in {*PARTITION, *KEY, "stream_position", "file_index", "record_index"}]
-    best = sets.groupBy(*PARTITION, *KEY).agg(F.max(F.struct("stream_position", "file_index", "record_index", *rest)).alias("_r"))
+    """The last row that set each key: sort-merge inside the bucket, partially aggregated before the shuffle.
+
+    Of several rows for one place the one received last counts (of equal times the greatest change_id), as in a single batch.
+    """
+    received = [c for c in ("received_at", "change_id") if c in sets.columns]
+    rest = [c for c in sets.columns if c not in {*PARTITION, *KEY, *SEQ, *received}]
+    best = sets.groupBy(*PARTITION, *KEY).agg(F.max(F.struct(*SEQ, *received, *rest)).alias("_r"))
     return best.select(*PARTITION, *KEY, "_r.*")
 
 
@@ -101,7 +105,7 @@ class BucketedTable:
         return self.spark.read.schema(self._schema()).parquet(*paths) if paths else None
 
     def _schema(self) -> str:
-        return "stream_id string, partition_id string, pk1 string, pk2 int, stream_position long, file_index int, record_index int, value long, received_at timestamp_ntz, alive boolean"
+        return "stream_id string, partition_id string, pk1 string, pk2 int, stream_position long, file_index int, record_index int, value long, received_at timestamp_ntz, change_id long, alive boolean"
 
     def apply(self, feed: DataFrame) -> int:
         """Applies a batch of changes in any order and commits; returns the new version.
@@ -110,7 +114,7 @@ class BucketedTable:
         """
         base_version, old = self.store.latest(), self.manifest()
         folded = cut(latest_per_place(feed))
-        sets = folded.filter("kind <> 'delete'").select(*PLACE, *FIELDS, "received_at")
+        sets = folded.filter("kind <> 'delete'").select(*PLACE, *FIELDS, "received_at", "change_id")
         deletes = folded.filter("kind = 'delete'").select(*PLACE, *FIELDS, delete_fields(F.col("delete_columns")).alias("fields"), "received_at")
         kept = self._base(old)
         earlier = self.spark.read.parquet(*old["deletes"]) if old["deletes"] else None

@@ -27,6 +27,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return store.rows().select("stream_id", "partition_id", "stream_position", "file_index", "record_index")
 
 
+def p4_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The feed applied in two batches as it was received; the second rewrites touched buckets of the first and corrects its rows.
+
+    Where a correction asks for it, the table is built again from the whole feed.
+    """
+    feed = table(spark, d, "change_feed")
+    store = changefeed.BucketedTable(spark, shared_path(spark, "change-feed"), buckets=24)
+    middle = feed.agg(F.expr("percentile_approx(received_at, 0.5)")).first()[0]
+    later = F.coalesce(F.col("received_at") > F.lit(middle), F.lit(False))
+    store.apply(feed.filter(~later))
+    try:
+        store.apply(feed.filter(later))
+    except changefeed.NeedsRebuild:
+        store = changefeed.BucketedTable(spark, shared_path(spark, "change-feed"), buckets=24)
+        store.apply(feed)
+    return store.rows().select("stream_id", "partition_id", "pk1", "pk2", "value")
+
+
 def p4_rows(spark: SparkSession, d: str) -> DataFrame:
     """The present rows by plain relational steps, without a store."""
     return changefeed.final_rows(table(spark, d, "change_feed")).select("stream_id", "partition_id", "pk1", "pk2", "value")
@@ -54,7 +72,7 @@ def p7_plan(spark: SparkSession, d: str) -> DataFrame:
     return smallfiles.plan_summary(smallfiles.merge_plan(*_p7(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_by_stream, p4_found, p4_rows, p5_found, p5_table, p7_found, p7_plan)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_by_stream, p4_found, p4_batches, p4_rows, p5_found, p5_table, p7_found, p7_plan)}
 
 _PENDING = """
 WITH runs AS (SELECT stream_id, partition_id, max(as_of) AS as_of FROM run_log WHERE upper(trim(status)) = 'SUCCESS' GROUP BY ALL),
@@ -106,6 +124,7 @@ ORACLES = {
     "p3_found": _PENDING + "SELECT * FROM pending",
     "p3_by_stream": _PENDING + "SELECT stream_id, count(*) AS pending, count(DISTINCT partition_id) AS partitions FROM pending GROUP BY stream_id",
     "p4_found": _FEED + "SELECT stream_id, partition_id, stream_position, file_index, record_index FROM final",
+    "p4_batches": _FEED + "SELECT stream_id, partition_id, pk1, pk2, value FROM final",
     "p4_rows": _FEED + "SELECT stream_id, partition_id, pk1, pk2, value FROM final",
     "p7_found": _SMALL + "SELECT entry_id FROM found",
     "p7_plan": _SMALL + """, r AS (SELECT *, coalesce(meta_record_count, 0) AS rc, sum(meta_content_length) OVER w - meta_content_length AS b0, sum(coalesce(meta_record_count, 0)) OVER w - coalesce(meta_record_count, 0) AS r0

@@ -74,6 +74,23 @@ def test_batches_out_of_order_and_repeated(spark, tmp_path):
     assert places(t.rows()) == model(rows)
 
 
+def values(df):
+    return sorted((tuple(r) for r in df.select("stream_id", "partition_id", "stream_position", "file_index", "record_index", "pk1", "pk2", "value").collect()), key=repr)
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_corrected_values_across_batches(spark, tmp_path, order):
+    first = [[i, "s", "p", i, 0, 0, "upsert", None, "k", i, 5, T0] for i in range(8)] + [[8, "s", "p", 8, 0, 0, "delete", "value", None, None, 2, T0]]
+    later = T0 + dt.timedelta(days=1)
+    mended = [[20, *first[0][1:10], 1, later], [21, *first[1][1:10], None, later], [22, *first[2][1:10], 9, later], [23, *first[3][1:10], 2, later], [24, *first[4][1:10], 3, T0]]
+    t = BucketedTable(spark, str(tmp_path), 4)
+    for batch in [first, mended][::order]:
+        t.apply(spark.createDataFrame(batch, SCHEMA))
+    whole = changefeed.final_rows(spark.createDataFrame(first + mended, SCHEMA))
+    assert values(t.rows()) == values(whole)
+    assert {r["pk2"]: r["value"] for r in t.rows().collect()} == {0: 1, 1: None, 2: 9, 4: 3, 5: 5, 6: 5, 7: 5}
+
+
 def test_untouched_buckets_are_kept_by_reference(spark, tmp_path):
     rows = [[i, "s", "p", i, 0, 0, "upsert", None, f"k{i}", i, i, T0] for i in range(40)]
     t = BucketedTable(spark, str(tmp_path), 8)
