@@ -54,6 +54,14 @@ EMAILS = [
     re.compile(rf"(?<![\w.+@-]){_W}[\w.+%-]{{0,63}} at {_W}[\w-]{{0,62}}(?: dot {_W}[\w-]{{0,62}}){{1,5}}(?![\w@])", re.I),
 ]
 
+#: Score of what has the shape of a payment card or international account; it counts only with the right check digits.
+CARD = 0.3
+#: Usual groupings of payment cards, as lengths of the groups.
+CARD_GROUPS = frozenset({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (4, 4, 4, 1), (4, 4, 4, 2), (4, 4, 4, 3), (4, 3, 3, 3), (6, 7), (6, 13), (4, 5, 6), (4, 4, 5)})
+
+#: First digits of payment cards by length; an ungrouped row of digits with others, or longer than 16 as positions are, needs a context word.
+CARD_STARTS = {13: ("4",), 14: ("30", "36", "38", "39"), 15: ("34", "37", "1800", "2131")}
+
 # (pattern, score without context); the number itself is group 1
 IDS = [
     (re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])"), 0.6),
@@ -62,7 +70,7 @@ IDS = [
     (re.compile(r"(?<![\w-])([A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?!\w)"), 0.6),
     (re.compile(r"(?<![\w-])([A-Z]{1,2}\d{7})(?![\w-])"), 0.5),
     (re.compile(r"(?<![\w-])([A-Z]{2}-\d{6}-\d)(?![\w-])"), 0.6),
-    (re.compile(r"(?<![\w.-])(?<!\d )((?:\d{4}[ -]?){3}\d{4})(?![ -]?\d)(?!\w)"), 0.3),
+    (re.compile(r"(?<![\w.+-])(?<!\d )(\d{13,19}|\d{2,6}(?:[ -]\d{1,13}){1,4})(?![ -]?\d)(?!\w)"), CARD),
     (re.compile(r"(?<![\w-])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"), 0.3),
     (re.compile(r"(?:tax id|steuer-id|steuernummer|passport(?: no\.?)?|id card|national id|ssn|social security no\.?|social|insurance no\.?|ni number)[:#]? {0,2}([A-Z]{0,3}[ -]?\d[\d /-]{3,18}\d(?:-?[A-Z0-9])?)(?!\w)", re.I), 0.5),
 ]
@@ -79,7 +87,7 @@ PHONES = [
     (re.compile(r"(?<![\w+.-])(?<!\d )0\d{2,4} \d{3}[ -]?\d{3,4}(?:[ -]?\d{2,4})?(?! ?\d)(?![\w-])"), 0.6),
     (re.compile(r"(?<![\w+.-])(?<!\d )0\d(?: \d\d){4}(?! ?\d)(?![\w-])"), 0.6),
     (re.compile(r"(?<![\w+.-])(?<!\d )1[2-9]\d{2}[2-9]\d{6}(?![\w-])"), 0.58),
-    (re.compile(r"(?<![\w+.-])(?<!\d )\d{7,12}(?![\w-])"), 0.2),
+    (re.compile(r"(?<![\w+.-])(?<!\d )\d{7,15}(?![\w-])"), 0.2),
 ]
 PHONE_WORDS = re.compile(r"\b(?:call|phone|tel|telefon|number is|mobile|text me|reach me|fax|on call|pager)\b", re.I)
 NUMBER_WORDS = re.compile(r"\b(?:position|build|order|watermark|delta|hash|version|count|rows|says|says it|job|ticket|files|pk)\b", re.I)
@@ -128,32 +136,38 @@ def _words_near(text: str, start: int, end: int, words: re.Pattern) -> bool:
     return bool(words.search(text[max(0, start - NEAR) : start]) or words.search(text[end : end + NEAR // 2]))
 
 
-def _ids(text: str) -> Iterator[Span]:
+def _ids(text: str, phone: bool) -> Iterator[Span]:
     for pattern, base in IDS:
         for m in pattern.finditer(text):
             start, end = m.span(1)
             bare = re.sub(r"[ -]", "", m.group(1))
             score = base + 0.3 * bool(ID_WORDS.search(text[max(0, start - NEAR) : start]))
-            if len(bare) == 16 and bare.isdigit():
-                score += 0.4 * luhn(bare) + 0.2 * (bare != m.group(1))
+            if base == CARD and bare.isdigit():
+                groups = tuple(map(len, re.split(r"[ -]", m.group(1))))
+                if not 13 <= len(bare) <= 19 or not luhn(bare) or (len(groups) > 1 and groups not in CARD_GROUPS):
+                    continue
+                sure = len(bare) == 16 or len(groups) > 1 or (bare.startswith(CARD_STARTS.get(len(bare), ())) and not phone and not NUMBER_WORDS.search(text[max(0, start - 14) : start]))
+                score += 0.4 * sure
             elif len(bare) >= 15 and bare[:2].isalpha() and bare[2:4].isdigit():
-                score += 0.5 * mod97(bare.upper())
+                if not mod97(bare.upper()):
+                    continue
+                score += 0.5
             if sum(c.isdigit() for c in bare) >= 5:
                 yield Span(start, end, "id_number", score)
 
 
-def _phones(text: str) -> Iterator[Span]:
+def _phones(text: str, phone: bool) -> Iterator[Span]:
     for pattern, base in PHONES:
         for m in pattern.finditer(text):
             digits = sum(c.isdigit() for c in m.group())
             if 7 <= digits <= 15:
-                score = base + 0.3 * _words_near(text, *m.span(), PHONE_WORDS)
+                score = base + 0.3 * (phone or _words_near(text, *m.span(), PHONE_WORDS))
                 if base < 0.6:  # a bare row of digits is often a count or a position
                     score -= 0.3 * bool(NUMBER_WORDS.search(text[max(0, m.start() - 14) : m.start()]))
                 yield Span(m.start(), m.end(), "phone", score)
 
 
-def _names(text: str) -> Iterator[Span]:
+def _names(text: str, phone: bool) -> Iterator[Span]:
     for cue in CUES if CUE_WORDS.search(text) else ():
         for m in cue.finditer(text):
             start, end = m.span(1)
@@ -179,7 +193,7 @@ def _names(text: str) -> Iterator[Span]:
 _AT = re.compile(r"\bat\b", re.I)
 
 
-def _emails(text: str) -> Iterator[Span]:
+def _emails(text: str, phone: bool) -> Iterator[Span]:
     spelled = bool(_AT.search(text))
     for n, pattern in enumerate(EMAILS):
         if "@" in text if n == 0 else spelled:
@@ -187,7 +201,7 @@ def _emails(text: str) -> Iterator[Span]:
                 yield Span(*m.span(), "email", 1.0)
 
 
-def _addresses(text: str) -> Iterator[Span]:
+def _addresses(text: str, phone: bool) -> Iterator[Span]:
     for pattern in ADDRESSES:
         for m in pattern.finditer(text):
             yield Span(*m.span(), "address", 0.8)
@@ -202,14 +216,14 @@ SEARCHES = (("\x01", _emails, 0), ("\x03", _ids, 5), ("\x04", _addresses, 1), ("
 SHORT = 200
 
 
-def _search(text: str) -> tuple[Span, ...]:
+def _search(text: str, phone: bool = False) -> tuple[Span, ...]:
     found: list[Span] = []
     work, digits = text, len(_DIGIT.findall(text))
     for mark, search, least in SEARCHES:
         if digits < least:
             continue
         taken: list[tuple[int, Span]] = []  # by start, without overlaps
-        for s in sorted(search(work), key=lambda s: (-s.score, s.start - s.end)):
+        for s in sorted(search(work, phone), key=lambda s: (-s.score, s.start - s.end)):
             at = bisect(taken, (s.start,))
             clear = (at == len(taken) or s.end <= taken[at][0]) and (at == 0 or taken[at - 1][1].end <= s.start)
             if s.score >= THRESHOLD and clear:
@@ -226,23 +240,29 @@ def _search(text: str) -> tuple[Span, ...]:
 _found = lru_cache(maxsize=50_000)(_search)
 
 
-def find(text: str | None) -> list[Span]:
+#: Fields that hold telephone numbers: there a bare row of digits has its context.
+PHONE_FIELDS = frozenset({"sender_ph"})
+
+
+def find(text: str | None, field: str | None = None) -> list[Span]:
     """All findings of one text, in order, without overlaps. Null and empty texts have none.
 
     Kinds are searched from the surest to the least sure; what a kind takes is marked, so a name in an email address or a
     telephone number in a card number is not found again. Within a kind the better score, then the longer span wins.
+    The name of the field is context: one of ``PHONE_FIELDS`` counts as a telephone word.
     """
     if not text:
         return []
-    return list(_found(text) if len(text) <= SHORT else _search(text))
+    phone = field in PHONE_FIELDS
+    return list(_found(text, phone) if len(text) <= SHORT else _search(text, phone))
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, field: str | None = None) -> str | None:
     """The text with each finding replaced by a placeholder of its kind, the rest unchanged; null stays null."""
     if not text:
         return text
     out, at = [], 0
-    for s in find(text):
+    for s in find(text, field):
         out += [text[at : s.start], f"[{s.kind.upper()}]"]
         at = s.end
     return "".join(out) + text[at:]
@@ -257,7 +277,7 @@ def found_spans(messages: DataFrame, key: str = "row_id", fields: tuple[str, ...
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(k, name, s.kind, s.start, s.end) for name in fields for k, text in zip(part[key], part[name], strict=True) if text for s in find(text)]
+            rows = [(k, name, s.kind, s.start, s.end) for name in fields for k, text in zip(part[key], part[name], strict=True) if text for s in find(text, name)]
             yield pd.DataFrame(rows, columns=[key, "field_name", "kind", "start_pos", "end_pos"])
 
     ship()
@@ -275,8 +295,11 @@ def redacted(messages: DataFrame, fields: tuple[str, ...] = ("message", "sender_
 
     ship()
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(redact, na_action="ignore")
+    def run(field: str):
+        @F.pandas_udf("string")
+        def one(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: redact(t, field), na_action="ignore")
+
+        return one(F.col(field))
 
-    return spread(messages).withColumns({f: run(F.col(f)) for f in fields})
+    return spread(messages).withColumns({f: run(f) for f in fields})

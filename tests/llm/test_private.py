@@ -26,6 +26,22 @@ def test_spans(text, want):
     assert spans(text) == want
 
 
+@pytest.mark.parametrize("text", ["447700900923", "2075550160", "07700900923", "5550184"])
+def test_bare_numbers_of_the_phone_field(text):
+    assert [(s.kind, s.start, s.end) for s in P.find(text, "sender_ph")] == [("phone", 0, len(text))] and P.redact(text, "sender_ph") == "[PHONE]" and spans(text) == []
+
+
+@pytest.mark.parametrize("card", ["4222222222222", "378282246310005", "3782 822463 10005", "30569309025904", "4111 1111 1111 1111", "6304 0000 0000 0000 000"])
+def test_cards_of_all_lengths(card):
+    assert spans(f"paid with {card} today") == [("id_number", card)]
+    assert spans("my card 6304000000000000000 today") == [("id_number", "6304000000000000000")] and spans("the one at 4376834997347810821, type upsert") == []
+
+
+@pytest.mark.parametrize("text", ["it is 4111 1111 1111 1112 now", "card 4111-1111-1111-1112", "account GB83 WEST 1234 5698 7654 32 is", "it is 378282246310006 now", "position 4222222222222 hangs"])
+def test_wrong_check_digits_are_no_cards(text):
+    assert "id_number" not in dict(spans(text))
+
+
 def test_positions_count_characters():
     assert P.find("🙂🙂 a@b.example")[0].start == 3
 
