@@ -240,23 +240,45 @@ def range_shards(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(number.alias("shard")).filter("shard IS NOT NULL").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH r AS (SELECT min(o_custkey) AS a, max(o_custkey) - min(o_custkey) AS w FROM orders)
+SELECT shard, count(*) AS n FROM (SELECT CASE WHEN o_custkey IS NULL THEN NULL WHEN o_custkey <= a + w * 1 // 4 THEN 0 WHEN o_custkey <= a + w * 2 // 4 THEN 1 WHEN o_custkey <= a + w * 3 // 4 THEN 2 ELSE 3 END AS shard FROM orders, r) GROUP BY shard""")
+def range_shards_all(spark: SparkSession, d: str) -> DataFrame:
+    """Shards of the whole present key range, so every row is counted; rows without a key are in no shard and counted apart."""
+    o = table(spark, d, "orders").select("o_custkey")
+    low, high = o.agg(F.min("o_custkey"), F.max("o_custkey")).first()
+    shards = [] if low is None else groups.range_shards(low, high, 4)
+    number = F.coalesce(F.lit(None).cast("int"), *[F.when(s.column(F.col("o_custkey")), F.lit(n)) for n, s in enumerate(shards)])
+    return o.select(number.alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_nationkey < 10 THEN 'new' ELSE c_mktsegment END AS c_mktsegment, c_name FROM customer")
 def table_merge_right_wins(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     return groups.merge_tables(c.select("c_custkey", "c_mktsegment", "c_name"), c.filter("c_nationkey < 10").select("c_custkey", F.lit("new").alias("c_mktsegment")), "c_custkey")
 
 
-@query()
-def field_group_dataset(spark: SparkSession, d: str) -> DataFrame:
-    """A dataset written group by group to the shared folder and scanned for two columns and a key range."""
+def _customer_groups(spark: SparkSession, d: str) -> groups.FieldGroups:
     x = table(spark, d, "customer")
     g = groups.FieldGroups(spark, shared_path(spark, "groups"), "c_custkey")
     for name, cols in (("names", ["c_custkey", "c_name"]), ("money", ["c_custkey", "c_acctbal", "c_nationkey"])):
         g.add_schema(name, x.select(*cols).schema)
         g.write(name, x.select(*cols))
+    return g
+
+
+@query()
+def field_group_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """A dataset written group by group to the shared folder and scanned for two columns and a key range."""
+    g = _customer_groups(spark, d)
     return g.scan(["c_custkey", "c_name", "c_acctbal"], low=10, high=500)
 
 
+@query("SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM customer")
+def field_group_dataset_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same dataset merged whole: all keys and all columns of all groups."""
+    return _customer_groups(spark, d).scan(["c_custkey", "c_name", "c_acctbal", "c_nationkey"])
+
+
 ORACLES["field_group_dataset"] = "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey BETWEEN 10 AND 500"
 
 

@@ -45,3 +45,12 @@ def test_shards_cover_every_key_once():
     assert all(a.high == b.low and a.open_end for a, b in zip(s, s[1:], strict=False)) and s[0].low == "aa" and s[-1].high == "zz" and not s[-1].open_end
     assert G.range_shards("a", "a", 3) == [G.Shard("a", "a")]
     assert G.Shard(1, 9).meet(5, 20) == (5, 9, False) and G.Shard(1, 9).meet(10, 20) is None and G.Shard(1, 9).meet() == (1, 9, False)
+
+
+def test_queries_of_shards_count_every_row(spark, tmp_path, rows):
+    from lakeloom.queries import reference
+
+    spark.createDataFrame([(k,) for k in (1, 100, 101, 150, 250, 400, 400)], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(reference.QUERIES["range_shards_all"](spark, str(tmp_path))) == [(0, 2), (1, 2), (2, 1), (3, 2)]
+    spark.createDataFrame([(k, f"n{k}", 1.0, 2) for k in (1, 9, 10, 600)], "c_custkey long, c_name string, c_acctbal double, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    assert rows(reference.QUERIES["field_group_dataset_all"](spark, str(tmp_path)).select("c_custkey", "c_name")) == [(1, "n1"), (10, "n10"), (600, "n600"), (9, "n9")]
