@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -122,8 +124,9 @@ CUES = [
 ]
 #: Every cue has one of these; a text without any is not searched for cues.
 CUE_WORDS = re.compile(r"@|hey |hi |hello |dear |ask |thanks, | by | signed off| 👍|loop in|alk to|peak to|rite to|shows up|i think|deliver to|récupéré|bitte an|: no,|customer|pk \d|on call|contract is|reminder from| saw\b|fwd:|signature block|line \d|->|audit:|\?|my name is|i am|regards,|cheers,|gruß,", re.I)
-_C = r"[A-ZÀ-ÞĄĆĘŁŃÓŚŹŻ][^\W\d_]*(?:['’-][^\W\d_]+)?"
-PROPER = re.compile(rf"(?<![\w@.'’/{_M}-])(?:(?:(?i:{_TITLE}) )?{_C}(?: [A-Z]\.)*(?: {_C}){{1,2}}|{_C}, {_C}(?: [A-Z]\.)?(?=$|[^\w])|(?i:{_TITLE}) {_C}|{_C})(?![\w@])")
+_UPPER = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Lu", "Lt"))
+_C = rf"[{_UPPER}][^\W\d_]*(?:['’-][^\W\d_]+)?"
+PROPER = re.compile(rf"(?<![\w@.'’/{_M}-])(?:(?:(?i:{_TITLE}) )?{_C}(?: [{_UPPER}]\.)*(?: {_C}){{1,2}}|{_C}, {_C}(?: [{_UPPER}]\.)?(?=$|[^\w])|(?i:{_TITLE}) {_C}|{_C})(?![\w@])")
 #: Capital words that are no names in chats of this kind (months, days, units, forms of address alone).
 NO_NAMES = frozenset(
     "i i'd i'm i'll i've ok gib mib kib tib gb mb kb tb apt tel thanks hi hey hello dear passport ssn ni id steuer steuer-id lauf stunden stunde monday tuesday wednesday thursday friday saturday sunday january february march april may june july august "
@@ -131,6 +134,17 @@ NO_NAMES = frozenset(
     "calle rue street road lane avenue court terrace way mill upper old".split()
 )
 
+#: Words of ``NO_NAMES`` that are names of persons as well: alone they are none, beside another word they may be.
+GIVEN = frozenset("april may june august".split())
+SURNAMES = frozenset("mill old lake street lane court".split())
+
+
+def _no_name(words: list[str]) -> bool:
+    """Whether words in lower case are no name: one of ``NO_NAMES`` is among them, save a given name before or a surname behind a word that is none."""
+    if len(words) == 2 and words[0] in GIVEN and words[1] not in NO_NAMES or len(words) == 2 and words[1] in SURNAMES and words[0] not in NO_NAMES:
+        return False
+    return bool(set(words) & NO_NAMES)
+
 
 def _words_near(text: str, start: int, end: int, words: re.Pattern) -> bool:
     return bool(words.search(text[max(0, start - NEAR) : start]) or words.search(text[end : end + NEAR // 2]))
@@ -172,18 +186,18 @@ def _names(text: str, phone: bool) -> Iterator[Span]:
         for m in cue.finditer(text):
             start, end = m.span(1)
             words = re.findall(rf"{_L}{_L}+", m.group(1).lower())  # initials are no words
-            if words and not set(words) & NO_NAMES:
+            if words and not _no_name(words):
                 yield Span(start, end, "name", 0.9)
     for m in PROPER.finditer(text) if text != text.lower() else ():
         start, end = m.span()
         said = m.group()
         # leading words that open a sentence rather than a name
-        while said and (first := re.match(rf"{_L}[\w'’-]*", said)) and first.group().lower() in NO_NAMES:
+        while said and _no_name(re.findall(r"[\w'’-]{2,}", said.lower())) and (first := re.match(rf"{_L}[\w'’-]*", said)) and first.group().lower() in NO_NAMES:
             cut = re.match(r"[^\w]*[\w'’-]+[\s.,]*", said).end()
             said, start = said[cut:], start + cut
         if not said or re.search(rf"(?:[{_M}]),? ?$", text[max(0, start - 3) : start]):
             continue  # the town behind an address
-        if re.match(rf"(?i:{_TITLE})$", said) or set(re.findall(r"[\w'’-]{2,}", said.lower())) & NO_NAMES or len(said) < 2:
+        if re.match(rf"(?i:{_TITLE})$", said) or _no_name(re.findall(r"[\w'’-]{2,}", said.lower())) or len(said) < 2:
             continue
         opens = start == 0 or bool(re.search(r"(?:[.!?:\n]|—|🙂) ?$", text[max(0, start - 2) : start]))
         several = bool(re.search(r"[ ,]", said))

@@ -42,6 +42,15 @@ def test_wrong_check_digits_are_no_cards(text):
     assert "id_number" not in dict(spans(text))
 
 
+@pytest.mark.parametrize("name", ["Čeněk Novák", "Şule İnce", "Анна Петрова", "Ελένη Παππά", "June Miller", "August Brandt", "Wanda Mill"])
+def test_names_of_all_capitals_and_months(name):
+    assert spans(f"we saw that {name} has the key") == [("name", name)] and spans(f"talk to {name} about the plan") == [("name", name)]
+
+
+def test_months_alone_are_no_names():
+    assert spans("it ran in June and in May, we saw") == [] and spans("talk to may about the plan") == []
+
+
 def test_positions_count_characters():
     assert P.find("🙂🙂 a@b.example")[0].start == 3
 
