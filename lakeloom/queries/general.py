@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changefeed, drift, incremental, smallfiles
+from ..plans.store import Conflict
 from ..session import shared_path, table
 
 
@@ -65,14 +66,50 @@ def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return smallfiles.merge_plan(*_p7(spark, d)).select("entry_id")
+    """The files that a partition-local merge of the versioned listing replaces."""
+    return smallfiles.compacted_listing(spark, shared_path(spark, "listing"), *_p7(spark, d)).replaced().select("entry_id")
 
 
 def p7_plan(spark: SparkSession, d: str) -> DataFrame:
     return smallfiles.plan_summary(smallfiles.merge_plan(*_p7(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_by_stream, p4_found, p4_batches, p4_rows, p5_found, p5_table, p7_found, p7_plan)}
+def p7_overfull(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs whose files without the last one reach a capacity; there must be none."""
+    plan = smallfiles.compacted_listing(spark, shared_path(spark, "listing"), *_p7(spark, d)).replaced()
+    x = plan.groupBy("namespace", *smallfiles.PARTITION, "output_no").agg(
+        F.sum("meta_content_length").alias("bytes"), F.max("meta_content_length").alias("b"), F.sum("meta_record_count").alias("records"), F.max("meta_record_count").alias("r"), F.max("capacity_bytes").alias("cb"), F.max("capacity_records").alias("cr"),
+    )
+    return x.filter("bytes - b >= cb OR records - r >= cr").select("namespace", *smallfiles.PARTITION, "output_no", "bytes", "records")
+
+
+def p7_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """Listings written as a folder of many small files per format, merged for good, and counted by format.
+
+    The rows arrive in five appends. A second writer that merges the same files from the same version is refused.
+    """
+    at, e = shared_path(spark, "folder"), table(spark, d, "manifest_entries").select("entry_id", "meta_record_count", F.coalesce(F.lower(F.regexp_extract("meta_content_type", "^[^;]*", 0)), F.lit("none")).alias("format"))
+    one, two = (smallfiles.CompactedFolder(spark, at, "format") for _ in range(2))
+    for k in range(5):
+        one.append(e.filter(F.pmod("entry_id", F.lit(5)) == k))
+    stage, refused = two.store.stage, False
+
+    def other_first() -> str:
+        two.store.stage = stage
+        one.merge_small(1 << 27, 1 << 27)
+        return stage()
+
+    two.store.stage = other_first
+    try:
+        two.merge_small(1 << 27, 1 << 27)
+    except Conflict:
+        refused = True
+    rows = one.read().groupBy("format").agg(F.count(F.lit(1)).alias("entries"), F.sum("meta_record_count").alias("records"))
+    most = one.manifest().groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return rows.select("format", "entries", "records", F.lit(len(one.store.versions())).alias("versions"), F.lit(refused).alias("refused"), F.lit(most).cast("int").alias("most_files"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_by_stream, p4_found, p4_batches, p4_rows, p5_found, p5_table, p7_found, p7_plan, p7_overfull, p7_rewrite)}
 
 _PENDING = """
 WITH runs AS (SELECT stream_id, partition_id, max(as_of) AS as_of FROM run_log WHERE upper(trim(status)) = 'SUCCESS' GROUP BY ALL),
@@ -127,8 +164,11 @@ ORACLES = {
     "p4_batches": _FEED + "SELECT stream_id, partition_id, pk1, pk2, value FROM final",
     "p4_rows": _FEED + "SELECT stream_id, partition_id, pk1, pk2, value FROM final",
     "p7_found": _SMALL + "SELECT entry_id FROM found",
-    "p7_plan": _SMALL + """, r AS (SELECT *, coalesce(meta_record_count, 0) AS rc, sum(meta_content_length) OVER w - meta_content_length AS b0, sum(coalesce(meta_record_count, 0)) OVER w - coalesce(meta_record_count, 0) AS r0
-  FROM found WINDOW w AS (PARTITION BY stream_id, partition_id ORDER BY stream_position, entry_id ROWS UNBOUNDED PRECEDING))
-SELECT namespace, stream_id, partition_id, count(*) AS small_files, count(DISTINCT greatest(b0 // capacity_bytes, r0 // capacity_records)) AS output_files,
-  CAST(sum(meta_content_length) AS BIGINT) AS bytes, CAST(sum(meta_record_count) AS BIGINT) AS records FROM r GROUP BY ALL""",
+    # written apart from the operator: an output begins where the files before reach a further multiple of a capacity
+    "p7_plan": _SMALL + """, r AS (SELECT *, coalesce(meta_record_count, 0) AS rc, row_number() OVER w AS place, coalesce(sum(meta_content_length) OVER b, 0) AS b0, coalesce(sum(coalesce(meta_record_count, 0)) OVER b, 0) AS r0
+  FROM found WINDOW w AS (PARTITION BY stream_id, partition_id ORDER BY stream_position, entry_id), b AS (PARTITION BY stream_id, partition_id ORDER BY stream_position, entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, place = 1 OR (b0 // capacity_bytes) <> lag(b0 // capacity_bytes) OVER w OR (r0 // capacity_records) <> lag(r0 // capacity_records) OVER w AS begins FROM r WINDOW w AS (PARTITION BY stream_id, partition_id ORDER BY stream_position, entry_id))
+SELECT namespace, stream_id, partition_id, count(*) AS small_files, count(*) FILTER (WHERE begins) AS output_files, CAST(sum(meta_content_length) AS BIGINT) AS bytes, CAST(sum(meta_record_count) AS BIGINT) AS records FROM g GROUP BY ALL""",
+    "p7_overfull": "SELECT CAST(NULL AS VARCHAR) AS namespace, CAST(NULL AS VARCHAR) AS stream_id, CAST(NULL AS VARCHAR) AS partition_id, CAST(NULL AS INT) AS output_no, CAST(NULL AS BIGINT) AS bytes, CAST(NULL AS BIGINT) AS records WHERE false",
+    "p7_rewrite": """SELECT coalesce(lower(regexp_extract(meta_content_type, '^[^;]*')), 'none') AS format, count(*) AS entries, CAST(sum(meta_record_count) AS BIGINT) AS records, 6 AS versions, true AS refused, 1 AS most_files FROM manifest_entries GROUP BY ALL""",
 }
