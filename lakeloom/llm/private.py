@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, spread
+from .names import names
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: A span below this score is no finding.
@@ -50,10 +49,11 @@ _W = r"[^\W_]"  # a letter or digit
 _L = r"[^\W\d_]"  # a letter
 _EDGE, _TAIL = r"(?<![\w@.+-])", r"(?![\w@])"
 
+# no repetition can match what follows it, so each is possessive and of any length
 EMAILS = [
-    re.compile(rf"(?<![\w.+@-]){_W}[\w.+%-]{{0,63}}@{_W}[\w-]{{0,62}}(?:\.{_W}[\w-]{{0,62}}){{1,5}}(?![\w@])"),
-    re.compile(rf"(?<![\w.+@-]){_W}[\w.+%-]{{0,63}} ?[\[({{<] ?at ?[\])}}>] ?{_W}[\w-]{{0,62}}(?:(?:\.| ?[\[({{<] ?dot ?[\])}}>] ?){_W}[\w-]{{0,62}}){{1,5}}(?![\w@])", re.I),
-    re.compile(rf"(?<![\w.+@-]){_W}[\w.+%-]{{0,63}} at {_W}[\w-]{{0,62}}(?: dot {_W}[\w-]{{0,62}}){{1,5}}(?![\w@])", re.I),
+    re.compile(rf"(?<![\w.+@-]){_W}[\w.+%-]*+@{_W}[\w-]*+(?:\.{_W}[\w-]*+)++(?![\w@])"),
+    re.compile(rf"(?<![\w.+@-]){_W}[\w.+%-]*+ ?[\[({{<] ?at ?[\])}}>] ?{_W}[\w-]*+(?:(?:\.| ?[\[({{<] ?dot ?[\])}}>] ?){_W}[\w-]*+)++(?![\w@])", re.I),
+    re.compile(rf"(?<![\w.+@-]){_W}[\w.+%-]*+ at {_W}[\w-]*+(?: dot {_W}[\w-]*+)++(?![\w@])", re.I),
 ]
 
 #: Score of what has the shape of a payment card or international account; it counts only with the right check digits.
@@ -94,58 +94,22 @@ PHONES = [
 PHONE_WORDS = re.compile(r"\b(?:call|phone|tel|telefon|number is|mobile|text me|reach me|fax|on call|pager)\b", re.I)
 NUMBER_WORDS = re.compile(r"\b(?:position|build|order|watermark|delta|hash|version|count|rows|says|says it|job|ticket|files|pk)\b", re.I)
 
-#: Kinds of streets.
-_KIND = r"(?:street|st\.?|road|rd\.?|lane|ln\.?|avenue|ave\.?|boulevard|blvd\.?|court|ct\.?|terrace|way|drive|place|square|close|crescent|row|hill|gardens|parade)"
-_WORD = rf"{_L}[\w'’.-]*"
+#: Kinds of streets; those that are everyday words too are told apart.
+_KIND = r"(?:street|st\.?|road|rd\.?|lane|ln\.?|avenue|ave\.?|boulevard|blvd\.?|court|ct\.?|terrace|drive|square|crescent|hill|gardens|parade|grove|mews|parkway|pkwy\.?|highway|hwy\.?|alley|quay|wharf|circle|close|walk)"
+_WEAK_KIND = r"(?:way|place|row|rise|view|green|path|trail|park|bend|point)"
+#: Words that never stand between a house number and the kind of its street.
+_NO_STREET = r"(?!(?:in|a|an|the|of|per|at|on|to|is|are|was|were|and|or|for|from|by|with|rows?|files?|records?|buckets?|workers?|times?|days?|hours?|minutes?|more|new|out|into|over|under|it|this|that|we|i)\b)"
+_WORD = rf"{_NO_STREET}{_L}[\w'’.-]*"
+_PLACED = r"(?:(?<=\bat )|(?<=\bto )|(?<=\bis )|(?<=\bin )|(?<=address )|(?<=address: )|(?<=, )|(?<=; )|(?<=;)|(?<=\n)|(?<=^))"
 ADDRESSES = [
     re.compile(rf"(?<![\w.-])\d{{1,5}}[A-Za-z]?,? (?:{_WORD} ){{1,3}}?{_KIND}(?!\w)(?:,? (?:apt|flat|unit|suite)\.? ?\w{{1,5}})?", re.I),
+    re.compile(rf"(?<![\w.-])\d{{1,5}}[A-Za-z]?,? (?:{_NO_STREET}(?-i:[A-Z]){_L}[\w'’.-]* ){{1,3}}?{_WEAK_KIND}(?!\w)(?:,? (?:apt|flat|unit|suite)\.? ?\w{{1,5}})?", re.I),
+    re.compile(rf"{_PLACED}\d{{1,5}}[A-Za-z]?,? (?:{_WORD} ){{1,3}}?{_WEAK_KIND}(?!\w)(?:,? (?:apt|flat|unit|suite)\.? ?\w{{1,5}})?", re.I),
     re.compile(r"(?<![\w.-])\d{1,5}(?: ?(?:bis|ter|[A-Da-d]))?,? (?:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route) (?:de la |de l['’]|des |du |de |d['’])?" + rf"{_WORD}(?: [A-ZÀ-Þ]{_L}+)?", re.I),
     re.compile(rf"(?<![\w-]){_L}[\w-]{{2,40}}(?:straße|strasse|str\.|weg|gasse|platz|allee|damm|ufer)(?: ?{_W}{{0,0}}) ?\d{{1,4}} ?[a-z]?(?!\w)", re.I),
     re.compile(rf"(?<![\w-])(?:calle|avenida|plaza|paseo|camino|carrera|via|ulica|ul\.) (?:del |de la |de los |de las |de |la |el )?(?:{_WORD} ){{1,3}}?\d{{1,4}}[A-Za-z]?(?!\w)", re.I),
 ]
 
-#: Titles before a surname.
-_TITLE = r"(?:mr|mrs|ms|miss|mx|dr|prof|frau|herr|mme|mlle|sra|sr|señora|señor|pan|pani|sir|dame)\.?"
-_N = rf"{_L}[^\W_]*(?:['’-]{_L}+)?"
-#: A name of any case: title and surname, given name with initials and surname, surname comma given name, or one word.
-_ANY = rf"(?:{_TITLE} )?{_N}(?:(?: {_L}\.)* {_N}|, {_N}(?: {_L}\.)?)?"
-_M = "\x01\x02\x03\x04"  # marks of spans found before: email, phone, id number, address
-_STOP = r"(?=$|[\n.—🙂])"
-#: Words around a name, left and right, that let it be of any case; each cue stands for a way of speaking of a person.
-CUES = [
-    re.compile(p.replace("NAME", f"({_ANY})"), re.I)
-    for p in (
-        r"(?<![\w.+-])@NAME (?:can|could|please|will|would)\b", r"\b(?:hey|hi|hello|dear) NAME(?=[,!:] )", r"\bask NAME(?=, (?:they|she|he)\b)", r"\bthanks, NAME(?=!)", r"\b(?:loaded|written|signed|sent|made) by NAME(?= on\b)",
-        r"(?:^|(?<=[.\n] )|(?<=\n)|(?<=— )|(?<=🙂 ))NAME(?= signed off\b)", r"\bok NAME(?= 👍)", r"\bloop in NAME(?=$|[.\n]| [—🙂])", r"\b(?:talk|speak|write) to NAME(?= about\b)", r"[“\"]NAME(?=[”\"] shows up)", r"\bI think NAME(?= or\b)",
-        rf"\bI think {_ANY} or NAME(?=$|[.\n]| [—🙂])", rf"\bdeliver to NAME(?=, [{_M}])", rf"récupéré : NAME(?=, [{_M}])", r"\bbitte an NAME(?= schicken)", r"(?:^|(?<=[.\n] )|(?<=\n)|(?<=— )|(?<=🙂 ))NAME(?=: no,)", r": no, NAME(?= is on call)", r"\bcustomer NAME(?= called)",
-        rf"\bpk \d+, NAME(?=, [{_M}])", rf"\bon call tonight: NAME(?=, [{_M}\d])", rf"\bcontract is with NAME(?= \(?[{_M}])", r"\breminder from NAME(?=:)", rf"[{_M}] - NAME(?= saw\b)", rf"\bfwd: [\"“]NAME(?= <?[{_M}])", r"\bsignature block says\s+NAME(?=\s*\n)",
-        rf"\bline \d+: NAME(?=;[{_M}])", rf"-> ?NAME(?=[|;,][{_M}])", r"\bfor the audit: NAME(?=, born)", rf"(?:^|(?<=[.\n] )|(?<=\n)|(?<=— )|(?<=🙂 ))NAME(?=\?(?:$|[\n]| [—🙂]))", r"\b(?:my name is|i am|regards,|cheers,|gruß,) NAME" + _STOP,
-    )
-]
-#: Every cue has one of these; a text without any is not searched for cues.
-CUE_WORDS = re.compile(r"@|hey |hi |hello |dear |ask |thanks, | by | signed off| 👍|loop in|alk to|peak to|rite to|shows up|i think|deliver to|récupéré|bitte an|: no,|customer|pk \d|on call|contract is|reminder from| saw\b|fwd:|signature block|line \d|->|audit:|\?|my name is|i am|regards,|cheers,|gruß,", re.I)
-_UPPER = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Lu", "Lt"))
-_C = rf"[{_UPPER}][^\W\d_]*(?:['’-][^\W\d_]+)?"
-PROPER = re.compile(rf"(?<![\w@.'’/{_M}-])(?:(?:(?i:{_TITLE}) )?{_C}(?: [{_UPPER}]\.)*(?: {_C}){{1,2}}|{_C}, {_C}(?: [{_UPPER}]\.)?(?=$|[^\w])|(?i:{_TITLE}) {_C}|{_C})(?![\w@])")
-#: Capital words that are no names in chats of this kind (months, days, units, forms of address alone).
-NO_NAMES = frozenset(
-    "i i'd i'm i'll i've ok gib mib kib tib gb mb kb tb apt tel thanks hi hey hello dear passport ssn ni id steuer steuer-id lauf stunden stunde monday tuesday wednesday thursday friday saturday sunday january february march april may june july august "
-    "september october november december the a an we you they he she it and or but if is are was not no yes please see job lake ops po schema build version s3 null utc json csv sql api url error select count this that there what when where which who why how der die das le la les el los "
-    "calle rue street road lane avenue court terrace way mill upper old".split()
-)
-
-#: Words of ``NO_NAMES`` that are names of persons as well: alone they are none, beside another word they may be.
-GIVEN = frozenset("april may june august".split())
-SURNAMES = frozenset("mill old lake street lane court".split())
-
-
-def _no_name(words: list[str]) -> bool:
-    """Whether words in lower case are no name: one of ``NO_NAMES`` is among them, save a given name before or a surname behind a word that is none."""
-    if len(words) == 2 and words[0] in GIVEN and words[1] not in NO_NAMES or len(words) == 2 and words[1] in SURNAMES and words[0] not in NO_NAMES:
-        return False
-    return bool(set(words) & NO_NAMES)
-
-
 def _words_near(text: str, start: int, end: int, words: re.Pattern) -> bool:
     return bool(words.search(text[max(0, start - NEAR) : start]) or words.search(text[end : end + NEAR // 2]))
 
@@ -182,26 +146,8 @@ def _phones(text: str, phone: bool) -> Iterator[Span]:
 
 
 def _names(text: str, phone: bool) -> Iterator[Span]:
-    for cue in CUES if CUE_WORDS.search(text) else ():
-        for m in cue.finditer(text):
-            start, end = m.span(1)
-            words = re.findall(rf"{_L}{_L}+", m.group(1).lower())  # initials are no words
-            if words and not _no_name(words):
-                yield Span(start, end, "name", 0.9)
-    for m in PROPER.finditer(text) if text != text.lower() else ():
-        start, end = m.span()
-        said = m.group()
-        # leading words that open a sentence rather than a name
-        while said and _no_name(re.findall(r"[\w'’-]{2,}", said.lower())) and (first := re.match(rf"{_L}[\w'’-]*", said)) and first.group().lower() in NO_NAMES:
-            cut = re.match(r"[^\w]*[\w'’-]+[\s.,]*", said).end()
-            said, start = said[cut:], start + cut
-        if not said or re.search(rf"(?:[{_M}]),? ?$", text[max(0, start - 3) : start]):
-            continue  # the town behind an address
-        if re.match(rf"(?i:{_TITLE})$", said) or _no_name(re.findall(r"[\w'’-]{2,}", said.lower())) or len(said) < 2:
-            continue
-        opens = start == 0 or bool(re.search(r"(?:[.!?:\n]|—|🙂) ?$", text[max(0, start - 2) : start]))
-        several = bool(re.search(r"[ ,]", said))
-        yield Span(start, start + len(said), "name", 0.7 if several else 0.55 if not opens else 0.4)
+    for start, end, score in names(text):
+        yield Span(start, end, "name", score)
 
 
 _AT = re.compile(r"\bat\b", re.I)

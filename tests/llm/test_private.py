@@ -51,6 +51,36 @@ def test_months_alone_are_no_names():
     assert spans("it ran in June and in May, we saw") == [] and spans("talk to may about the plan") == []
 
 
+#: Sentences and names written apart from the detector and from the test tables.
+FRAMES = [
+    "please escalate this to {} before noon", "{} reset the cluster password yesterday", "I had lunch with {} near the depot", "according to {} the bucket is empty", "let's wait until {} is back", "the ticket belongs to {}", "can you forward the invoice to {}?", "{} hasn't answered since monday",
+    "sorry {}, wrong channel", "did {} approve the rollout", "I just met {} at the gate", "ping {} when it is green", "regards, {}", "the patient, {}, arrived late", "our new analyst {} starts next week", "good morning {}", "{} and the team will look into it", "this was reported by {}", "see the note from {}",
+    "{}'s laptop is broken", "I work for {} now", "we should thank {} for the fix", "the parcel was signed for by {}", "no idea, maybe {} knows", "{} wrote that the table is stale", "assigned: {}", "{} please restart it", "he married {} last year", "reach out to {} if it fails again", "the interview with {} is on tuesday",
+]
+PEOPLE = ["Agnieszka Wojcik", "Thabo Mokoena", "Ingrid", "Rajesh Iyer", "Yusuf Demir", "Chloe Dubois", "Dr. Okonkwo", "Matteo Ricci", "Siobhan Kelly", "Nikolai", "Lakshmi Menon", "Mrs. Haverford", "Kwame", "Beatriz Figueiredo", "Hiroshi Tanaka"]
+
+
+@pytest.mark.parametrize(("form", "least"), [(str, 0.95), (str.lower, 0.9)])
+def test_names_in_other_sentences(form, least):
+    said = [(form(f.format(p)), f.index("{")) for i, f in enumerate(FRAMES) for p in (PEOPLE[(i * 7 + j * 3) % len(PEOPLE)] for j in range(5))]
+    assert sum(any(s.kind == "name" and s.start == at for s in P.find(t)) for t, at in said) >= least * len(said)
+
+
+@pytest.mark.parametrize("text", ["we run Apache Spark here", "moved to Microsoft Azure", "Paris is nice", "we use Snapshot Isolation", "Kafka and Flink are up", "the Delta Lake table", "by Friday", "from kinesis to redshift", "the retry has a backfill", "NO ROWS LOST THIS TIME", "4 in a row, 530 rows in place", "12 rows merged. row 3 is late", "don't can't we'll", "clave ausente en los archivos pequeños"])
+def test_no_persons(text):
+    assert spans(text) == []
+
+
+@pytest.mark.parametrize(("text", "want"), [("john smith lives at 12 elm grove", [("name", "john smith"), ("address", "12 elm grove")]), ("Yesterday Marta Kowalska left", [("name", "Marta Kowalska")]), ("Anna has the key.", [("name", "Anna")]), ("the reviewer was nadia petrova", [("name", "nadia petrova")]), ("gestern hat Herr Schmidt bezahlt", [("name", "Herr Schmidt")]), ("contact dr. lin tomorrow", [("name", "dr. lin")])])
+def test_sentences(text, want):
+    assert spans(text) == want
+
+
+def test_long_mail_names_are_taken_whole():
+    for mail in ("a" * 90 + "@mail.example", "jo@" + ".".join("abcdefgh") + ".example", "jo [at] " + " [dot] ".join("abcdefgh")):
+        assert spans(f"to {mail} now") == [("email", mail)]
+
+
 def test_positions_count_characters():
     assert P.find("🙂🙂 a@b.example")[0].start == 3
 
