@@ -30,6 +30,15 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "deltas"), table(spark, d, "compaction_targets")).drop("capacity_bytes", "capacity_records")
 
 
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every newest committed delta with the sums and the number of its pieces, and whether all its containers keep their capacities."""
+    x = packing.pack(table(spark, d, "deltas"), table(spark, d, "compaction_targets"))
+    full = x.groupBy("namespace", "container_id").agg((F.coalesce(F.sum("piece_bytes") <= F.max("capacity_bytes"), F.lit(True)) & F.coalesce(F.sum("piece_records") <= F.max("capacity_records"), F.lit(True))).alias("kept"))
+    on = (F.col("x.namespace") == F.col("f.namespace")) & F.col("x.container_id").eqNullSafe(F.col("f.container_id"))
+    each = x.alias("x").join(full.alias("f"), on, "left").groupBy(*[F.col(f"x.{k}") for k in packing.KEY])
+    return each.agg(F.count(F.lit(1)).alias("pieces"), F.sum("piece_bytes").alias("bytes"), F.sum("piece_records").alias("records"), F.min("kept").alias("kept"))
+
+
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, d, "deltas"), table(spark, d, "compaction_targets")))
 
@@ -58,7 +67,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.col("n_words").cast("long").alias("n_words"), *[F.round(c, 6).alias(c) for c in ("mean_word", "symbol_ratio", "punct_line_share", "common_share")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_redacted, p6_containers, p6_fill, p8_ids, p8_sizes, p9_found, p10_found, p10_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_turns, p2_found, p2_redacted, p6_containers, p6_whole, p6_fill, p8_ids, p8_sizes, p9_found, p10_found, p10_stats)}
 
 _V = "[^\\s\\p{Z}\\p{Cc}\\p{Cf}" + conversations.BLANKS + "]"
 _EDGE = "[\\s\\p{Z}\\p{Cc}\\p{Cf}" + conversations.BLANKS + "]+"
@@ -75,6 +84,10 @@ turns AS (SELECT t.group_id, t.root AS root_msg_id, CAST(row_number() OVER (PART
 _COMMON = ", ".join(f"'{w}'" for w in quality.COMMON)
 
 ORACLES = {
+    "p6_whole": """
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY stream_id, partition_id, stream_position ORDER BY committed_at DESC, manifest_id DESC) AS rn FROM deltas WHERE committed_at IS NOT NULL),
+n AS (SELECT d.stream_id, d.partition_id, d.stream_position, greatest(coalesce(d.content_length, 0), 0) AS bytes, greatest(coalesce(d.record_count, 0), 0) AS records, t.capacity_bytes AS cb, t.capacity_records AS cr FROM d LEFT JOIN compaction_targets t ON d.namespace = t.namespace WHERE rn = 1)
+SELECT stream_id, partition_id, stream_position, CAST(coalesce(greatest(1, ceil(bytes / cb), ceil(records / cr)), 1) AS BIGINT) AS pieces, bytes, records, true AS kept FROM n""",
     "p1_found": _TURNS + "SELECT group_id, root_msg_id, turn, msg_id FROM turns",
     "p1_turns": _TURNS + "SELECT * FROM turns",
     "p9_found": """

@@ -31,11 +31,40 @@ def test_pieces():
         K.pieces(5, 0, 0, 10)
 
 
-def test_best_fit_is_close_to_the_least():
+def test_windows_are_close_to_the_least():
     rng = np.random.default_rng(1)
     s, r = rng.integers(1, 400, 3000), rng.integers(1, 300, 3000)
-    c = K.best_fit(s, r, 1000, 1000)
-    assert np.bincount(c, s).max() <= 1000 and np.bincount(c, r).max() <= 1000 and c.max() + 1 <= np.ceil(s.sum() / 1000) * 1.03
+    p = K.Packer(1000, 1000)
+    c = np.concatenate([p.window(s[k : k + 1000], r[k : k + 1000]) for k in range(0, 3000, 1000)])
+    assert np.bincount(c, s).max() <= 1000 and np.bincount(c, r).max() <= 1000 and c.max() + 1 <= np.ceil(s.sum() / 1000) * 1.05
+
+
+def test_at_most_so_many_containers_stay_open():
+    p = K.Packer(1000, 1000, 8)
+    for k in range(5):  # no two fit together
+        numbers = p.window(np.full(100, 501), np.zeros(100, dtype=np.int64))
+        assert sorted(numbers) == list(range(100 * k, 100 * k + 100)) and len(p.ids) == 8
+    assert len(p.window(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))) == 0
+
+
+def test_neighbours_share_containers():
+    """Two windows of the curve share a container only if it was left open."""
+    rng = np.random.default_rng(2)
+    p, seen = K.Packer(1000, 1000, 4), []
+    for _ in range(6):
+        seen.append(set(p.window(rng.integers(1, 300, 200), rng.integers(1, 300, 200)).tolist()))
+    assert all(len(a & b) <= 4 for n, a in enumerate(seen) for b in seen[n + 1 :])
+
+
+def test_items_over_half_a_container(spark):
+    """No two items fit together: every container holds one, and no task gets more rows than it should."""
+    rows = [("hot", "t", "s", f"p{i % 7}", i, "m", T0, 51 + i % 40, 1, "x") for i in range(3000)]
+    d = spark.createDataFrame(rows, DELTAS)
+    got = K.pack(d, spark.createDataFrame([("hot", 100, 200, 1)], TARGETS), chunk=300, window=64).toPandas()
+    assert len(got) == 3000 and got["container_id"].nunique() == 3000
+    items = K.placed(K.newest_items(d)).withColumn("key", F.concat_ws("|", *K.KEY))
+    sizes = K.ranged(items, K.ranges(3000, 300, 4, 64)).groupBy(F.spark_partition_id().alias("p")).count().toPandas()["count"]
+    assert sizes.max() <= 300 and sizes.sum() == 3000
 
 
 def deltas(spark, n=600):
