@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.store import VersionedFolder
-from ..session import cut
+from ..session import bounded_broadcast, cut, shared_path, shuffles_removed
 from . import merkle
 
 KEY = ["stream_id", "partition_id", "stream_position"]
@@ -37,54 +40,94 @@ def versions(deltas: DataFrame, run_log: DataFrame) -> DataFrame:
     return x.groupBy(*KEY).agg(F.max(v).alias("v"), F.max(seen).alias("s")).select(*KEY, F.col("v.m.manifest_id").alias("now"), F.col("s.m.manifest_id").alias("seen"), F.col("s").isNotNull().alias("was_seen"))
 
 
-def pending(deltas: DataFrame, run_log: DataFrame) -> DataFrame:
+def pending(deltas: DataFrame, run_log: DataFrame, path: str | None = None) -> DataFrame:
     """Deltas to process next: (stream_id, partition_id, stream_position, manifest_id).
 
-    The saved side of the Merkle comparison is what the last successful runs saw; only leaves whose digests differ are
-    read again. Failed, running and paused runs change nothing, so a failure neither skips nor repeats a delta.
-    Uncommitted versions are ignored; null keys are keys like others; empty tables give no rows.
+    The state that the last successful runs saw is published as a saved version (records and Merkle tree below ``path``,
+    a fresh folder if None); the next run compares its tree with the saved one, reads only leaves that differ, and
+    publishes its output, tree and records together. Failed, running and paused runs change nothing, so a failure
+    neither skips nor repeats a delta. Uncommitted versions are ignored; null keys are keys like others; empty tables
+    give no rows.
     """
+    spark = deltas.sparkSession
     both = cut(versions(deltas, run_log))
-    now = both.select(*KEY, F.col("now").alias("manifest_id"))
-    saved = both.filter("was_seen").select(*KEY, F.col("seen").alias("manifest_id"))
-    return merkle.changed(now, saved, KEY, STATE, merkle.Shape.for_rows(both.count()))
+    run = IncrementalRun(spark, path or shared_path(spark, "incremental"), KEY, STATE, merkle.Shape.for_rows(both.count()))
+    run.run(both.filter("was_seen").select(*KEY, F.col("seen").alias("manifest_id")))
+    run.run(both.select(*KEY, F.col("now").alias("manifest_id")))
+    return run.output().filter(F.col("change") == UPSERTED).drop("change")
+
+
+UPSERTED, REMOVED = "upserted", "removed"
 
 
 class IncrementalRun:
-    """A repeatable run over a keyed table whose output and tree are published together.
+    """A repeatable run over a keyed table whose output, records and tree are published together.
 
-    Output, records and tree are written below one new version folder; creating the version's commit file is the only
-    visible step. A run that dies before it leaves nothing visible, and the next run starts from the same saved tree.
+    A version holds the records by segments of the hash space, and the tree over them. A run cuts its input once,
+    descends the two trees where their digests differ, and reads saved records of segments with a differing leaf only;
+    only these segments are written again, the others are taken over by reference. Creating the version's commit file is the
+    only visible step: a run that dies before it leaves nothing visible, and the next starts from the same saved tree.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], state: list[str], shape: merkle.Shape | None = None):
-        self.spark, self.store, self.keys, self.state = spark, VersionedFolder(spark, path), keys, state
-        self.shape = shape or merkle.Shape()
+        self.spark, self.store, self.keys, self.state, self._shape = spark, VersionedFolder(spark, path), keys, state, shape
 
-    def _saved(self) -> tuple[DataFrame, DataFrame] | None:
+    def _info(self) -> tuple[int | None, dict | None]:
         version = self.store.latest()
-        if version is None:
-            return None
-        at = self.store.folder(version)
-        return self.spark.read.parquet(f"{at}/records"), self.spark.read.parquet(f"{at}/tree")
+        return version, None if version is None else self.store.commit(version)
 
-    def changes(self, now: DataFrame) -> DataFrame:
-        saved = self._saved()
-        if saved is None:
-            return now
-        return merkle.changed(now, saved[0], self.keys, self.state, self.shape, (merkle.tree(now, self.keys, self.state, self.shape), saved[1]))
+    def _leaf(self, df: DataFrame, shape: merkle.Shape) -> DataFrame:
+        return df.withColumn("_leaf", merkle.leaf_of(self.keys, shape))
 
-    def run(self, now: DataFrame, process) -> int:
-        """Processes the changed records with ``process(DataFrame) -> DataFrame`` and publishes; returns the version.
+    def run(self, now: DataFrame, process: Callable[[DataFrame], DataFrame] = lambda changes: changes) -> int:
+        """Processes the changes since the last version and publishes; returns the new version.
 
-        Raises ``store.Conflict`` if another run published in between.
+        ``process`` gets the columns of ``now`` and ``change``: UPSERTED for records that are new or have another state,
+        REMOVED for keys that are gone (other columns than keys and state are null). ``now`` should hold keys, state and
+        little else, as it is written once before it is compared. Raises ``store.Conflict`` if another run published in
+        between. Repeated records count once if they are equal.
         """
-        base = self.store.latest()
+        base, info = self._info()
+        now = cut(now)
+        shape = merkle.Shape(*info["shape"]) if info else self._shape or merkle.Shape.for_rows(now.count())
         at = self.store.stage()
-        process(self.changes(now)).write.parquet(f"{at}/output")
-        now.select(*self.keys, *self.state).write.parquet(f"{at}/records")
-        merkle.tree(now, self.keys, self.state, self.shape).write.parquet(f"{at}/tree")
-        return self.store.publish(at, base)
+        tree = merkle.tree(now, self.keys, self.state, shape)
+        with shuffles_removed(self.spark):
+            tree.write.parquet(f"{at}/tree")
+        fresh, kept = self._leaf(now, shape), {}
+        if info is None:
+            changes = now.withColumn("change", F.lit(UPSERTED))
+        else:
+            tree, saved = self.spark.read.parquet(f"{at}/tree"), self.spark.read.parquet(info["tree"])
+            leaves = cut(merkle.differing_leaves(tree, saved, shape))
+            touched = {r[0] for r in leaves.select(merkle.segment_of(F.col("node"), shape)).distinct().collect()}  # at most 2 ** segment_bits
+            kept = {s: p for s, p in info["segments"].items() if int(s) not in touched}
+            paths = [p for s, p in info["segments"].items() if int(s) in touched]
+            some = bounded_broadcast(leaves.withColumnRenamed("node", "_node"))
+            differing = lambda df: self._leaf(df, shape).join(some, F.col("_leaf") == F.col("_node"), "left_semi").drop("_leaf")
+            changes = self._changes(differing(now), differing(self.spark.read.schema(info["schema"]).parquet(*paths)) if paths else None)
+            fresh = fresh.filter(merkle.segment_of(F.col("_leaf"), shape).isin(sorted(touched)))
+        records = fresh.withColumn("_segment", merkle.segment_of(F.col("_leaf"), shape)).select("_segment", *self.keys, *self.state)
+        with shuffles_removed(self.spark):
+            process(changes).write.parquet(f"{at}/output")
+            records.repartition("_segment").write.partitionBy("_segment").parquet(f"{at}/records")
+        new = {n[9:]: f"{at}/records/{n}" for n in self.store.files.list(f"{at}/records") if n.startswith("_segment=")}
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.select(*self.keys, *self.state).schema)
+        return self.store.publish(at, base, tree=f"{at}/tree", segments=kept | new, shape=[shape.depth, shape.bits, shape.segment_bits], schema=ddl, rewritten=sorted(new))
+
+    def _changes(self, now: DataFrame, saved: DataFrame | None) -> DataFrame:
+        if saved is None:
+            return now.withColumn("change", F.lit(UPSERTED))
+        on = lambda a, b, cols: reduce(lambda x, c: x & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), cols, F.lit(True))
+        new = now.alias("n").join(saved.alias("s"), on("n", "s", [*self.keys, *self.state]), "left_anti")
+        gone = saved.alias("s").join(now.select(*self.keys).alias("n"), on("s", "n", self.keys), "left_anti")
+        return new.withColumn("change", F.lit(UPSERTED)).unionByName(gone.withColumn("change", F.lit(REMOVED)), allowMissingColumns=True)
 
     def output(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.store.folder(self.store.latest() if version is None else version)}/output")
+
+    def records(self, version: int | None = None) -> DataFrame:
+        """The keys and states of a version, from all its segments."""
+        info = self.store.commit(self.store.latest() if version is None else version)
+        paths = list(info["segments"].values())
+        return self.spark.read.schema(info["schema"]).parquet(*paths) if paths else self.spark.createDataFrame([], info["schema"])

@@ -20,26 +20,33 @@ from ..session import cut
 class Shape:
     """Tree shape: both sides of a comparison must have the same."""
 
-    depth: int = 4
-    bits: int = 4  # fan-out 16: 65,536 leaves at depth 4
+    depth: int = 2
+    bits: int = 6  # fan-out 64: 4,096 leaves at depth 2
+    segment_bits: int = 2  # ranges of the hash space that are stored and rewritten as one
 
     @property
     def leaf_bits(self) -> int:
         return self.depth * self.bits
 
     @staticmethod
-    def for_rows(rows: int, leaf_rows: int = 64) -> Shape:
-        """A shape whose leaves hold about ``leaf_rows`` records."""
-        depth = 1
-        while depth < 8 and 16**depth * leaf_rows < rows:
+    def for_rows(rows: int, leaf_rows: int = 64, segment_rows: int = 1_000_000) -> Shape:
+        """A shape whose leaves hold about ``leaf_rows`` records and whose segments at most about ``segment_rows``."""
+        depth, segments = 1, 2
+        while depth < 6 and 64**depth * leaf_rows < rows:
             depth += 1
-        return Shape(depth=depth)
+        while segments < min(12, 6 * depth) and 2**segments * segment_rows < rows:
+            segments += 1
+        return Shape(depth=depth, segment_bits=segments)
 
 
 def leaf_of(keys: list[str], shape: Shape) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 64 - shape.leaf_bits)
 
 
+def segment_of(leaf: Column, shape: Shape) -> Column:
+    return F.shiftrightunsigned(leaf, shape.leaf_bits - shape.segment_bits).cast("int")
+
+
 def leaves(records: DataFrame, keys: list[str], state: list[str], shape: Shape) -> DataFrame:
     """(node, digest) of the lowest level; sums are partially aggregated before the shuffle."""
     # nulls do not change a hash; their positions are therefore hashed beside the values
@@ -54,8 +61,11 @@ def leaves(records: DataFrame, keys: list[str], state: list[str], shape: Shape)
 
 
 def tree(records: DataFrame, keys: list[str], state: list[str], shape: Shape) -> DataFrame:
-    """All levels: (level, node, digest), level 0 is the root. An empty input gives an empty tree."""
-    level = leaves(records, keys, state, shape)
+    """All levels: (level, node, digest), level 0 is the root. An empty input gives an empty tree.
+
+    The leaves are written first, so the records are read once for all levels above.
+    """
+    level = cut(leaves(records, keys, state, shape))
     levels = [level.select(F.lit(shape.depth).alias("level"), "node", "digest")]
     for k in range(shape.depth - 1, -1, -1):
         level = (

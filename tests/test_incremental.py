@@ -69,9 +69,63 @@ def test_runs_publish_output_and_tree_together(spark, rows, tmp_path):
     with pytest.raises(RuntimeError):
         run.run(b, broken)
     assert run.store.latest() == 0  # nothing is visible of the failed run
-    assert run.run(b, lambda df: df) == 1 and rows(run.output()) == [(2, "c"), (3, "d")]
+    assert run.run(b, lambda df: df) == 1 and rows(run.output()) == [(2, "c", "upserted"), (3, "d", "upserted")]
     run.run(b, lambda df: df)
+    assert run.output().count() == 0 and rows(run.records()) == rows(b)
+
+
+def test_a_failure_between_output_and_commit(spark, rows, tmp_path):
+    run = incremental.IncrementalRun(spark, str(tmp_path), ["k"], ["v"])
+    run.run(spark.createDataFrame([(1, "a")], "k int, v string"))
+    b, real = spark.createDataFrame([(1, "b")], "k int, v string"), run.store.publish
+
+    def dies(*_, **__):
+        raise OSError("driver lost")
+
+    run.store.publish = dies
+    with pytest.raises(OSError):
+        run.run(b)
+    run.store.publish = real
+    assert run.store.latest() == 0 and rows(run.records()) == [(1, "a")]
+    assert run.run(b) == 1 and rows(run.output()) == [(1, "b", "upserted")]
+
+
+def test_removed_records_are_passed_on_once(spark, rows, tmp_path):
+    run = incremental.IncrementalRun(spark, str(tmp_path), ["k"], ["v"])
+    schema = "k int, v string, payload string"
+    run.run(spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (None, None, "z")], schema))
+    now = spark.createDataFrame([(1, "a", "other")], schema)
+    run.run(now)
+    assert rows(run.output()) == [(2, "b", None, "removed"), (None, None, None, "removed")]
+    run.run(now)
     assert run.output().count() == 0
+    run.run(now.limit(0))
+    assert rows(run.output()) == [(1, "a", None, "removed")] and run.records().count() == 0
+    run.run(now)
+    assert rows(run.output()) == [(1, "a", "other", "upserted")]
+
+
+def test_only_segments_with_changes_are_written(spark, tmp_path):
+    run = incremental.IncrementalRun(spark, str(tmp_path), ["k"], ["v"], merkle.Shape(depth=2, segment_bits=4))
+    a = spark.range(400).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    run.run(a)
+    run.run(a.withColumn("v", F.when(F.col("k") == 7, "b").otherwise(F.col("v"))))
+    first, second = run.store.commit(0), run.store.commit(1)
+    assert len(first["rewritten"]) == 16 and len(second["rewritten"]) == 1 and second["segments"].keys() == first["segments"].keys() and run.records().count() == 400
+
+
+def test_a_source_that_changes_is_read_once(spark, rows, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def one(x):
+        calls.add(1)
+        return x
+
+    run = incremental.IncrementalRun(spark, str(tmp_path), ["k"], ["v"])
+    run.run(spark.createDataFrame([(1, "a")], "k int, v string"))
+    now = spark.createDataFrame([(1, "b")], "k int, v string").withColumn("v", F.udf(one, "string").asNondeterministic()("v"))
+    run.run(now)
+    assert calls.value == 1 and rows(run.output()) == [(1, "b", "upserted")]
 
 
 def test_two_runs_cannot_publish_one_version(spark, tmp_path):
