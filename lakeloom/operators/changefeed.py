@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.store import VersionedFolder
-from ..session import bounded_broadcast, cut, shuffles_removed
+from ..session import bounded_broadcast, cut, scratch, shuffles_removed
 
 PARTITION = ["stream_id", "partition_id"]
 PLACE = [*PARTITION, "stream_position", "file_index", "record_index"]
@@ -17,10 +17,6 @@ FIELDS = ["pk1", "pk2", "value"]
 SEQ = ["stream_position", "file_index", "record_index"]
 
 
-class NeedsRebuild(Exception):
-    """A correction moves an applied change to another key or kind; only the whole feed tells what it hid."""
-
-
 def latest_per_place(feed: DataFrame) -> DataFrame:
     """One row per place: the one received last (of equal times the greatest change_id).
 
@@ -84,20 +80,37 @@ def final_rows(feed: DataFrame) -> DataFrame:
     return with_alive(sets, folded.filter("kind = 'delete'").select(*PLACE, *FIELDS, delete_fields(F.col("delete_columns")).alias("fields"))).filter("alive").drop("alive")
 
 
+#: Columns of the log of changes: one row per place and batch.
+LOG = [*PLACE, "kind", "fields", *FIELDS, "received_at", "change_id"]
+#: Kind of a log row that takes back what an earlier version of the same place did to a key.
+MOVED = "moved"
+
+
 class BucketedTable:
-    """Copy-on-write table: the last set row of every key, hashed by key into buckets of files, and all deletes.
+    """Copy-on-write table: the last set row of every key, hashed by key into buckets of files, beside a log of the changes.
 
     A version's manifest lists the folder of each bucket. ``apply`` rewrites only buckets that a change touches; others
     are taken over by reference. Rows stay stored when a delete hides them (``alive`` false), so that late changes can't
-    bring an older value of the key back. Nulls in any column, empty feeds, repeated and late changes are allowed.
+    bring an older value of the key back.
+
+    The log has every change as it was received last in its batch. It is read only for places at or before the
+    highest one that their partition had: there a batch may repeat or correct an applied change. A change older than the applied one is
+    dropped; a correction that takes a change away from its key leaves a mark in the log, and the key is set anew from its
+    log rows; a corrected delete wakes the rows that it hid. So batches may come in any order and cut.
+    Nulls in any column, empty feeds, repeated and late changes are allowed.
+
+    The number of buckets follows from the number of rows and doubles when they have outgrown it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.store, self.buckets = spark, VersionedFolder(spark, path), buckets
+    #: Folders of the log and of the deletes that are folded to one when there are more.
+    FOLD = 16
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, bucket_rows: int = 500_000):
+        self.spark, self.store, self._buckets, self.bucket_rows = spark, VersionedFolder(spark, path), buckets, bucket_rows
 
     def manifest(self) -> dict:
         version = self.store.latest()
-        return {"buckets": {}, "deletes": []} if version is None else self.store.commit(version)
+        return {"buckets": {}, "log": [], "deletes": [], "high": None, "n": None, "rows": 0} if version is None else self.store.commit(version)
 
     def _base(self, manifest: dict, buckets=None) -> DataFrame | None:
         """``buckets`` None: all."""
@@ -107,51 +120,135 @@ class BucketedTable:
     def _schema(self) -> str:
         return "stream_id string, partition_id string, pk1 string, pk2 int, stream_position long, file_index int, record_index int, value long, received_at timestamp_ntz, change_id long, alive boolean"
 
+    def _bucket_count(self, old: dict, rows: int) -> int:
+        n = old["n"] or self._buckets or max(24, -(-rows // self.bucket_rows))
+        while old["n"] and rows > 2 * n * self.bucket_rows:
+            n *= 2
+        return n
+
     def apply(self, feed: DataFrame) -> int:
-        """Applies a batch of changes in any order and commits; returns the new version.
+        """Applies a batch of changes in any order and commits; returns the new version. Raises Conflict if another writer committed first."""
+        with scratch(self.spark):
+            return self._apply(feed)
 
-        Raises Conflict if another writer committed first, NeedsRebuild if a correction moves an applied change.
-        """
+    def _apply(self, feed: DataFrame) -> int:
         base_version, old = self.store.latest(), self.manifest()
-        folded = cut(latest_per_place(feed))
-        sets = folded.filter("kind <> 'delete'").select(*PLACE, *FIELDS, "received_at", "change_id")
-        deletes = folded.filter("kind = 'delete'").select(*PLACE, *FIELDS, delete_fields(F.col("delete_columns")).alias("fields"), "received_at")
-        kept = self._base(old)
-        earlier = self.spark.read.parquet(*old["deletes"]) if old["deletes"] else None
-        touched = None
-        if kept is not None:
-            self._refuse_moves(kept, earlier, folded)
-            lost = with_alive(kept.filter("alive").drop("alive"), deletes).filter("NOT alive")
-            routed = sets.select(bucket_of(self.buckets).alias("b")).union(lost.select(bucket_of(self.buckets).alias("b"))).distinct()
-            touched = {r["b"] for r in routed.collect()}  # at most the number of buckets
-        all_deletes = deletes if earlier is None else earlier.unionByName(deletes)
-        rows = sets
-        if touched is not None and (part := self._base(old, touched)) is not None:
-            rows = sets.unionByName(part.drop("alive"))
-        best = cut(last_sets(rows))
         at = self.store.stage()
-        out = with_alive(best, all_deletes).withColumn("_bucket", bucket_of(self.buckets))
         with shuffles_removed(self.spark):
-            out.repartition(self.buckets, "_bucket").sortWithinPartitions(*PARTITION, *KEY).write.partitionBy("_bucket").parquet(f"{at}/rows")
+            latest_per_place(feed).withColumn("fields", F.when(F.col("kind") == "delete", delete_fields(F.col("delete_columns")))).select(*LOG).write.parquet(f"{at}/log")
+        batch = self.spark.read.parquet(f"{at}/log")
+        log, rows = [*old["log"], f"{at}/log"], old["rows"] + batch.count()
+        n = self._bucket_count(old, rows)
+        sets, deletes = batch.filter("kind <> 'delete'"), batch.filter("kind = 'delete'")
+        moved, woken = None, False
+        met = self._met(old, batch)
+        if met is not None:
+            stale = met.filter("NOT newer").select(*PLACE)
+            sets, deletes = (x.alias("n").join(bounded_broadcast(stale).alias("s"), _matches("n", "s", PLACE), "left_anti") for x in (sets, deletes))
+            newer = met.filter("newer")
+            left = newer.filter((F.col("was.kind") != "delete") & ((F.col("kind") == "delete") | ~(F.col("was.pk1").eqNullSafe(F.col("pk1")) & F.col("was.pk2").eqNullSafe(F.col("pk2")))))
+            mark = lambda df: df.select(*PLACE, F.lit(MOVED).alias("kind"), F.lit(None).cast("string").alias("fields"), *[F.col(f"was.{c}").alias(c) for c in FIELDS], "received_at", "change_id")
+            left = cut(mark(left))
+            if not left.isEmpty():
+                left.write.parquet(f"{at}/moved")
+                log.append(f"{at}/moved")
+                moved = cut(left.select(*PARTITION, *KEY).distinct())
+            undone = newer.filter(F.col("was.kind") == "delete")
+            woken = not undone.isEmpty()
+            deletes = deletes.select(*LOG).unionByName(mark(undone.filter("kind <> 'delete'")))
+        with shuffles_removed(self.spark):
             deletes.write.parquet(f"{at}/deletes")
+        delete_paths = [*old["deletes"], f"{at}/deletes"]
+        all_deletes = cut(self._standing(delete_paths)) if len(delete_paths) > 1 else self.spark.read.parquet(f"{at}/deletes")
+        touched = self._touched(old, n, sets, self.spark.read.parquet(f"{at}/deletes"), all_deletes, moved, woken)
+        new = [*PLACE, *FIELDS, "received_at", "change_id"]
+        out = sets.select(*new)
+        if touched is not None and (part := self._base(old, touched)) is not None:
+            part = part.select(*new)
+            if moved is not None:
+                part = part.alias("r").join(bounded_broadcast(moved).alias("m"), _matches("r", "m", [*PARTITION, *KEY]), "left_anti")
+            out = out.unionByName(part)
+        if moved is not None:
+            out = out.unionByName(self._from_log(log, moved).select(*new))
+        out = with_alive(last_sets(out), all_deletes).withColumn("_bucket", bucket_of(n))
+        with shuffles_removed(self.spark):
+            out.repartition(n, "_bucket").sortWithinPartitions(*PARTITION, *KEY).write.partitionBy("_bucket").parquet(f"{at}/rows")
+            self._high(old, batch).write.parquet(f"{at}/high")
         files = self.store.files
-        fresh = {n[8:]: f"{at}/rows/{n}" for n in files.list(f"{at}/rows") if n.startswith("_bucket=")}
-        buckets = {b: p for b, p in old["buckets"].items() if touched is None or int(b) not in touched} | fresh
-        return self.store.publish(at, base_version, buckets=buckets, deletes=[*old["deletes"], f"{at}/deletes"], rewritten=sorted(map(int, fresh)))
-
-    def _refuse_moves(self, kept: DataFrame, earlier: DataFrame | None, folded: DataFrame) -> None:
-        a, n = kept.alias("a"), folded.alias("n")
-        same = _matches("a", "n", PLACE)
-        moved = a.join(n, same & ((F.col("n.kind") == "delete") | ~_matches("a", "n", KEY)), "left_semi")
-        if not moved.isEmpty():
-            raise NeedsRebuild("a correction moves an applied row to another key or kind")
-        if earlier is not None:
-            d = earlier.alias("a").join(n, same & ((F.col("n.kind") != "delete") | ~_matches("a", "n", FIELDS)), "left_semi")
-            if not d.isEmpty():
-                raise NeedsRebuild("a correction changes an applied delete")
+        fresh = {x[8:]: f"{at}/rows/{x}" for x in files.list(f"{at}/rows") if x.startswith("_bucket=")}
+        buckets = {b: p for b, p in old["buckets"].items() if touched is not None and int(b) not in touched} | fresh
+        if len(log) > self.FOLD:
+            whole = self.spark.read.parquet(*log).groupBy(*PLACE, *KEY).agg(F.max(F.struct("received_at", "change_id", "kind", "fields", "value")).alias("_r"))
+            whole.select(*PLACE, "_r.kind", "_r.fields", *KEY, "_r.value", "_r.received_at", "_r.change_id").select(*LOG).write.parquet(f"{at}/whole-log")
+            log = [f"{at}/whole-log"]
+        if len(delete_paths) > self.FOLD:
+            all_deletes.write.parquet(f"{at}/whole-deletes")
+            delete_paths = [f"{at}/whole-deletes"]
+        return self.store.publish(at, base_version, buckets=buckets, log=log, deletes=delete_paths, high=f"{at}/high", n=n, rows=rows, rewritten=sorted(map(int, fresh)))
+
+    def _high(self, old: dict, batch: DataFrame) -> DataFrame:
+        """The highest place of each partition."""
+        mine = batch.groupBy(*PARTITION).agg(F.max(F.struct(*SEQ)).alias("top"))
+        return mine if old["high"] is None else mine.unionByName(self.spark.read.parquet(old["high"])).groupBy(*PARTITION).agg(F.max("top").alias("top"))
+
+    def _met(self, old: dict, batch: DataFrame) -> DataFrame | None:
+        """Changes of the batch whose place was applied before, with ``was`` (the applied version) and whether they are ``newer``."""
+        if old["high"] is None:
+            return None
+        high = bounded_broadcast(self.spark.read.parquet(old["high"]))
+        late = cut(batch.alias("n").join(high.alias("h"), _matches("n", "h", PARTITION)).filter(F.struct(*[F.col(f"n.{c}") for c in SEQ]) <= F.col("h.top")).select("n.*"))
+        seen = self.spark.read.parquet(*old["log"]).alias("l").join(bounded_broadcast(late.select(*PLACE)).alias("n"), _matches("l", "n", PLACE), "left_semi").filter(F.col("kind") != MOVED)
+        was = seen.groupBy(*PLACE).agg(F.max(F.struct("received_at", "change_id", "kind", *FIELDS)).alias("was"))
+        met = cut(late.alias("n").join(was.alias("w"), _matches("n", "w", PLACE)).select("n.*", "w.was").withColumn("newer", F.struct("received_at", "change_id") > F.struct("was.received_at", "was.change_id")))
+        return None if met.isEmpty() else met
+
+    def _standing(self, paths: list[str]) -> DataFrame:
+        """The deletes that stand: of each place the version received last, unless that is none."""
+        rest = ["kind", "fields", *FIELDS]
+        last = self.spark.read.parquet(*paths).groupBy(*PLACE).agg(F.max(F.struct("received_at", "change_id", *rest)).alias("_r"))
+        return last.select(*PLACE, *[f"_r.{c}" for c in rest], "_r.received_at", "_r.change_id").filter("kind = 'delete'").select(*LOG)
+
+    def _from_log(self, log: list[str], keys: DataFrame) -> DataFrame:
+        """The set rows of some keys in the whole log, each place as it was received last."""
+        rows = self.spark.read.parquet(*log).filter("kind <> 'delete'").alias("l").join(bounded_broadcast(keys).alias("k"), _matches("l", "k", [*PARTITION, *KEY]), "left_semi")
+        last = rows.groupBy(*PLACE, *KEY).agg(F.max(F.struct("received_at", "change_id", "kind", "value")).alias("_r"))
+        return last.select(*PLACE, *KEY, "_r.kind", "_r.value", "_r.received_at", "_r.change_id").filter(F.col("kind") != MOVED)
+
+    def _touched(self, old: dict, n: int, sets: DataFrame, deletes: DataFrame, all_deletes: DataFrame, moved: DataFrame | None, woken: bool) -> set[int] | None:
+        """Buckets to rewrite (at most their number comes to the driver); None: all, as there are none yet."""
+        state = self._base(old)
+        if state is None:
+            return None
+        if n != old["n"]:
+            return set(map(int, old["buckets"]))
+        routed = sets.select(bucket_of(n).alias("b"))
+        if moved is not None:
+            routed = routed.union(moved.select(bucket_of(n).alias("b")))
+        touched = {r["b"] for r in routed.distinct().collect()}
+        rest = self._base(old, set(map(int, old["buckets"])) - touched)
+        if rest is None:
+            return touched
+        changed = with_alive(rest.filter("alive").drop("alive"), deletes.filter("kind = 'delete'")).filter("NOT alive").select(bucket_of(n).alias("b"))
+        if woken:
+            changed = changed.union(with_alive(rest.filter("NOT alive").drop("alive"), all_deletes).filter("alive").select(bucket_of(n).alias("b")))
+        return touched | {r["b"] for r in changed.distinct().collect()}
+
+    def expire(self, keep: int = 1) -> int:
+        """Deletes the bucket folders that only versions before the last ``keep`` name; returns how many. Readers of those versions lose them."""
+        versions = self.store.versions()
+        used = {p for v in versions[-keep:] for p in self.store.commit(v)["buckets"].values()}
+        gone = {p for v in versions[:-keep] for p in self.store.commit(v)["buckets"].values()} - used
+        return sum(self.store.files.delete(p) for p in gone)
 
     def rows(self) -> DataFrame:
         """The present rows of every partition, with the place of the change that set each."""
         found = self._base(self.manifest())
         empty = self.spark.createDataFrame([], self._schema())
         return (empty if found is None else found).filter("alive").drop("alive")
+
+
+def received_parts(feed: DataFrame, parts: int) -> list[DataFrame]:
+    """``feed`` cut by the time of receipt into batches of about equal size; rows without a time are in the first."""
+    cuts = feed.agg(F.percentile_approx("received_at", [k / parts for k in range(1, parts)])).first()[0] or []
+    number = sum((F.coalesce(F.col("received_at") > F.lit(c), F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    return [feed.filter(number == k) for k in range(len(set(cuts)) + 1)]

@@ -89,11 +89,31 @@ def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     if replaces is not None and (old := getattr(replaces, "_cut_path", None)):
-        p = spark._jvm.org.apache.hadoop.fs.Path(old)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove(spark, old)
+    for paths in _scratch[-1:]:
+        paths.append(path)
     return out
 
 
+_scratch: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The cuts made inside are deleted at the end, so a step that has published its result leaves nothing else behind."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (Spark then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

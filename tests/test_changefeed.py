@@ -6,7 +6,7 @@ import random
 import pytest
 
 from lakeloom.operators import changefeed
-from lakeloom.operators.changefeed import BucketedTable, NeedsRebuild
+from lakeloom.operators.changefeed import BucketedTable
 
 SCHEMA = "change_id long, stream_id string, partition_id string, stream_position long, file_index int, record_index int, delta_type string, delete_columns string, pk1 string, pk2 int, value long, received_at timestamp_ntz"
 T0 = dt.datetime(2024, 1, 1)
@@ -101,12 +101,51 @@ def test_untouched_buckets_are_kept_by_reference(spark, tmp_path):
     assert sum(before[b] != after[b] for b in before) == 1 and t.rows().count() == 40
 
 
-def test_moving_correction_is_refused(spark, tmp_path):
-    row = [1, "s", "p", 1, 0, 0, "upsert", None, "a", 1, 1, T0]
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_corrections_across_batches_in_any_order(spark, tmp_path, seed):
+    """Corrections move rows to other keys, turn sets into deletes and deletes into sets, and arrive before or after what they correct."""
+    out, again, mended = feed(seed)
+    rng = random.Random(seed)
+    turned = [[3000 + r[0], *r[1:6], "delete", rng.choice([None, "value", "pk1"]), *r[8:11], r[-1] + dt.timedelta(days=3)] for r in rng.sample(out, 12)]
+    turned += [[4000 + r[0], *r[1:6], "upsert", None, *r[8:11], r[-1] + dt.timedelta(days=4)] for r in out if "elete" in r[6].lower() and rng.random() < 0.4]
+    rows = out + again + mended + turned
+    rng.shuffle(rows)
+    t = BucketedTable(spark, str(tmp_path), 4)
+    t.FOLD = 3  # the log and the deletes are folded in between
+    for k in range(4):
+        t.apply(spark.createDataFrame(rows[k::4], SCHEMA))
+    assert places(t.rows()) == model(rows)
+    t.expire()
+    assert places(t.rows()) == model(rows)
+
+
+def test_a_moved_correction_sets_the_key_anew(spark, tmp_path):
+    rows = [[1, "s", "p", 1, 0, 0, "upsert", None, "a", 1, 1, T0], [2, "s", "p", 2, 0, 0, "upsert", None, "a", 1, 2, T0]]
     t = BucketedTable(spark, str(tmp_path), 2)
-    t.apply(spark.createDataFrame([row], SCHEMA))
-    with pytest.raises(NeedsRebuild):
-        t.apply(spark.createDataFrame([[2, *row[1:8], "b", 1, 1, T0 + dt.timedelta(1)]], SCHEMA))
+    t.apply(spark.createDataFrame(rows, SCHEMA))
+    t.apply(spark.createDataFrame([[3, *rows[1][1:8], "b", 1, 2, T0 + dt.timedelta(1)]], SCHEMA))
+    assert sorted((r["pk1"], r["value"]) for r in t.rows().collect()) == [("a", 1), ("b", 2)]
+    t.apply(spark.createDataFrame(rows, SCHEMA))  # repeated late: older than the correction
+    assert sorted((r["pk1"], r["value"]) for r in t.rows().collect()) == [("a", 1), ("b", 2)]
+
+
+def test_buckets_double_when_outgrown(spark, tmp_path):
+    rows = [[i, "s", "p", i, 0, 0, "upsert", None, f"k{i}", i, i, T0] for i in range(60)]
+    t = BucketedTable(spark, str(tmp_path), 2, bucket_rows=5)
+    for k in range(0, 60, 20):
+        t.apply(spark.createDataFrame(rows[k : k + 20], SCHEMA))
+    assert t.manifest()["n"] == 8 and t.rows().count() == 60
+
+
+def test_replay_of_upserts_and_deletes(spark, tmp_path):
+    """Upserts, a delete without effect, deletes by value, upserts again and a delete of several values, as five batches."""
+    up = lambda n, rows: [[n * 10 + i, "s", "p", n, 0, i, "upsert", None, str(k), k, v, T0] for i, (k, v) in enumerate(rows)]
+    down = lambda n, values: [[n * 10 + i, "s", "p", n, 0, i, "delete", "value", None, None, v, T0] for i, v in enumerate(values)]
+    batches = [up(0, [(k, 100 + k) for k in range(6)]), up(1, [(k, k) for k in range(6)]), down(2, [-1]), down(3, [1]), up(4, [(2, 20), (3, 30), (6, 60), (7, 70)]), down(5, [60, 30, 20])]
+    t = BucketedTable(spark, str(tmp_path), 4)
+    for b in batches:
+        t.apply(spark.createDataFrame(b, SCHEMA))
+    assert sorted((r["pk2"], r["value"]) for r in t.rows().collect()) == [(0, 0), (4, 4), (5, 5), (7, 70)]
 
 
 def test_empty_feed(spark, tmp_path):
