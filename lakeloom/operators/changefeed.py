@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.store import VersionedFolder
-from ..session import bounded_broadcast, cut, scratch, shuffles_removed
+from ..session import BROADCAST_ROWS, bounded_broadcast, cut, scratch, shuffles_removed
 
 PARTITION = ["stream_id", "partition_id"]
 PLACE = [*PARTITION, "stream_position", "file_index", "record_index"]
@@ -25,9 +25,10 @@ def latest_per_place(feed: DataFrame) -> DataFrame:
     """
     kind = F.lower(F.trim("delta_type"))
     rest = ["delete_columns", *FIELDS]
-    x = feed.select(*PLACE, kind.alias("kind"), *rest, "received_at", "change_id")
-    last = x.groupBy(*PLACE).agg(F.max(F.struct("received_at", "change_id", "kind", *rest)).alias("_r"))
-    return last.select(*PLACE, "_r.kind", *[f"_r.{c}" for c in rest], "_r.received_at", "_r.change_id").filter(F.col("kind").isin("append", "upsert", "delete"))
+    # a number leads the grouping, so that sorting compares numbers instead of texts
+    x = feed.select(F.xxhash64(*PLACE).alias("place"), *PLACE, kind.alias("kind"), *rest, "received_at", "change_id")
+    last = x.groupBy("place", *PLACE).agg(F.max(F.struct("received_at", "change_id", "kind", *rest)).alias("_r"))
+    return last.select("place", *PLACE, "_r.kind", *[f"_r.{c}" for c in rest], "_r.received_at", "_r.change_id").filter(F.col("kind").isin("append", "upsert", "delete"))
 
 
 def delete_fields(names: Column) -> Column:
@@ -38,7 +39,8 @@ def delete_fields(names: Column) -> Column:
 
 
 def bucket_of(buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*PARTITION, *KEY), F.lit(buckets)).cast("int")
+    """The hash by which a shuffle on the key is partitioned: rows aggregated by key are in the task of their bucket already."""
+    return F.pmod(F.hash(*PARTITION, *KEY), F.lit(buckets)).cast("int")
 
 
 def last_sets(sets: DataFrame) -> DataFrame:
@@ -56,18 +58,20 @@ def _matches(a: str, b: str, columns: list[str]) -> Column:
     return reduce(lambda x, c: x & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), columns, F.lit(True))
 
 
-def with_alive(rows: DataFrame, deletes: DataFrame) -> DataFrame:
+def with_alive(rows: DataFrame, deletes: DataFrame, small: bool | None = None) -> DataFrame:
     """``rows`` with ``alive``: false where a later delete equals the row in its fields (null equals null).
 
     Deletes are first reduced to the last one per compared values, so each field set is one left join that adds no rows;
     there are at most 7 field sets. Fields, not keys, decide, so this is right for deletes on non-key fields as well.
+    ``small``: whether all deletes together were found to be few enough for a broadcast (None: counted here).
     """
     present = [r[0] for r in deletes.select("fields").distinct().collect()]  # at most 2 ** 3 - 1 values
     rows = rows.withColumn("alive", F.lit(True))
     for fields in sorted(x for x in present if x):
         on = fields.split(",")
         last = deletes.filter(F.col("fields") == fields).groupBy(*PARTITION, *on).agg(F.max(F.struct(*SEQ)).alias("at"))
-        r, d = rows.alias("r"), bounded_broadcast(last).alias("d")
+        last = bounded_broadcast(last) if small is None else F.broadcast(last) if small else last
+        r, d = rows.alias("r"), last.alias("d")
         later = F.coalesce(F.col("d.at") > F.struct(*[f"r.{c}" for c in SEQ]), F.lit(False))
         rows = r.join(d, _matches("r", "d", [*PARTITION, *on]), "left").select(*[F.col(f"r.{c}") for c in rows.columns if c != "alive"], (F.col("r.alive") & ~later).alias("alive"))
     return rows
@@ -81,7 +85,7 @@ def final_rows(feed: DataFrame) -> DataFrame:
 
 
 #: Columns of the log of changes: one row per place and batch.
-LOG = [*PLACE, "kind", "fields", *FIELDS, "received_at", "change_id"]
+LOG = ["place", *PLACE, "kind", "fields", *FIELDS, "received_at", "change_id"]
 #: Kind of a log row that takes back what an earlier version of the same place did to a key.
 MOVED = "moved"
 
@@ -121,8 +125,13 @@ class BucketedTable:
         return "stream_id string, partition_id string, pk1 string, pk2 int, stream_position long, file_index int, record_index int, value long, received_at timestamp_ntz, change_id long, alive boolean"
 
     def _bucket_count(self, old: dict, rows: int) -> int:
-        n = old["n"] or self._buckets or max(24, -(-rows // self.bucket_rows))
-        while old["n"] and rows > 2 * n * self.bucket_rows:
+        """Buckets for so many rows; halves or doubles of the number of shuffle partitions, so that few tasks write to one bucket."""
+        if not old["n"] and self._buckets:
+            return self._buckets
+        need, n = max(8, -(-rows // self.bucket_rows)), old["n"] or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        while not old["n"] and n % 2 == 0 and n // 2 >= need:
+            n //= 2
+        while need > (2 * n if old["n"] else n):
             n *= 2
         return n
 
@@ -147,7 +156,7 @@ class BucketedTable:
             sets, deletes = (x.alias("n").join(bounded_broadcast(stale).alias("s"), _matches("n", "s", PLACE), "left_anti") for x in (sets, deletes))
             newer = met.filter("newer")
             left = newer.filter((F.col("was.kind") != "delete") & ((F.col("kind") == "delete") | ~(F.col("was.pk1").eqNullSafe(F.col("pk1")) & F.col("was.pk2").eqNullSafe(F.col("pk2")))))
-            mark = lambda df: df.select(*PLACE, F.lit(MOVED).alias("kind"), F.lit(None).cast("string").alias("fields"), *[F.col(f"was.{c}").alias(c) for c in FIELDS], "received_at", "change_id")
+            mark = lambda df: df.select("place", *PLACE, F.lit(MOVED).alias("kind"), F.lit(None).cast("string").alias("fields"), *[F.col(f"was.{c}").alias(c) for c in FIELDS], "received_at", "change_id")
             left = cut(mark(left))
             if not left.isEmpty():
                 left.write.parquet(f"{at}/moved")
@@ -160,7 +169,8 @@ class BucketedTable:
             deletes.write.parquet(f"{at}/deletes")
         delete_paths = [*old["deletes"], f"{at}/deletes"]
         all_deletes = cut(self._standing(delete_paths)) if len(delete_paths) > 1 else self.spark.read.parquet(f"{at}/deletes")
-        touched = self._touched(old, n, sets, self.spark.read.parquet(f"{at}/deletes"), all_deletes, moved, woken)
+        small = all_deletes.count() <= BROADCAST_ROWS
+        touched = self._touched(old, n, sets, self.spark.read.parquet(f"{at}/deletes"), all_deletes, small, moved, woken)
         new = [*PLACE, *FIELDS, "received_at", "change_id"]
         out = sets.select(*new)
         if touched is not None and (part := self._base(old, touched)) is not None:
@@ -170,16 +180,18 @@ class BucketedTable:
             out = out.unionByName(part)
         if moved is not None:
             out = out.unionByName(self._from_log(log, moved).select(*new))
-        out = with_alive(last_sets(out), all_deletes).withColumn("_bucket", bucket_of(n))
+        out = with_alive(last_sets(out), all_deletes, small).withColumn("_bucket", bucket_of(n))
+        if not small:  # joins by shuffle have spread the keys anew
+            out = out.repartition(n, "_bucket")
         with shuffles_removed(self.spark):
-            out.repartition(n, "_bucket").sortWithinPartitions(*PARTITION, *KEY).write.partitionBy("_bucket").parquet(f"{at}/rows")
+            out.write.partitionBy("_bucket").parquet(f"{at}/rows")
             self._high(old, batch).write.parquet(f"{at}/high")
         files = self.store.files
         fresh = {x[8:]: f"{at}/rows/{x}" for x in files.list(f"{at}/rows") if x.startswith("_bucket=")}
         buckets = {b: p for b, p in old["buckets"].items() if touched is not None and int(b) not in touched} | fresh
         if len(log) > self.FOLD:
-            whole = self.spark.read.parquet(*log).groupBy(*PLACE, *KEY).agg(F.max(F.struct("received_at", "change_id", "kind", "fields", "value")).alias("_r"))
-            whole.select(*PLACE, "_r.kind", "_r.fields", *KEY, "_r.value", "_r.received_at", "_r.change_id").select(*LOG).write.parquet(f"{at}/whole-log")
+            whole = self.spark.read.parquet(*log).groupBy("place", *PLACE, *KEY).agg(F.max(F.struct("received_at", "change_id", "kind", "fields", "value")).alias("_r"))
+            whole.select("place", *PLACE, "_r.kind", "_r.fields", *KEY, "_r.value", "_r.received_at", "_r.change_id").select(*LOG).write.parquet(f"{at}/whole-log")
             log = [f"{at}/whole-log"]
         if len(delete_paths) > self.FOLD:
             all_deletes.write.parquet(f"{at}/whole-deletes")
@@ -187,26 +199,34 @@ class BucketedTable:
         return self.store.publish(at, base_version, buckets=buckets, log=log, deletes=delete_paths, high=f"{at}/high", n=n, rows=rows, rewritten=sorted(map(int, fresh)))
 
     def _high(self, old: dict, batch: DataFrame) -> DataFrame:
-        """The highest place of each partition."""
-        mine = batch.groupBy(*PARTITION).agg(F.max(F.struct(*SEQ)).alias("top"))
+        """The highest position of each partition."""
+        mine = batch.groupBy(*PARTITION).agg(F.max("stream_position").alias("top"))
         return mine if old["high"] is None else mine.unionByName(self.spark.read.parquet(old["high"])).groupBy(*PARTITION).agg(F.max("top").alias("top"))
 
     def _met(self, old: dict, batch: DataFrame) -> DataFrame | None:
-        """Changes of the batch whose place was applied before, with ``was`` (the applied version) and whether they are ``newer``."""
+        """Changes of the batch whose place was applied before, with ``was`` (the applied version) and whether they are ``newer``.
+
+        Places that may have been met are found by their hashes alone; only the rows of these are read whole.
+        """
         if old["high"] is None:
             return None
         high = bounded_broadcast(self.spark.read.parquet(old["high"]))
-        late = cut(batch.alias("n").join(high.alias("h"), _matches("n", "h", PARTITION)).filter(F.struct(*[F.col(f"n.{c}") for c in SEQ]) <= F.col("h.top")).select("n.*"))
-        seen = self.spark.read.parquet(*old["log"]).alias("l").join(bounded_broadcast(late.select(*PLACE)).alias("n"), _matches("l", "n", PLACE), "left_semi").filter(F.col("kind") != MOVED)
-        was = seen.groupBy(*PLACE).agg(F.max(F.struct("received_at", "change_id", "kind", *FIELDS)).alias("was"))
-        met = cut(late.alias("n").join(was.alias("w"), _matches("n", "w", PLACE)).select("n.*", "w.was").withColumn("newer", F.struct("received_at", "change_id") > F.struct("was.received_at", "was.change_id")))
+        log = self.spark.read.parquet(*old["log"]).filter(F.col("kind") != MOVED)
+        late = batch.select("place", *PARTITION, "stream_position").alias("n").join(high.alias("h"), _matches("n", "h", PARTITION)).filter((F.col("n.stream_position") <= F.col("h.top")) | F.col("n.stream_position").isNull())
+        hits = cut(late.select("n.place").join(log.select("place"), "place", "left_semi"))
+        if hits.isEmpty():
+            return None
+        hits = bounded_broadcast(hits)
+        late, seen = batch.join(hits, "place", "left_semi"), log.join(hits, "place", "left_semi")
+        was = seen.groupBy("place", *PLACE).agg(F.max(F.struct("received_at", "change_id", "kind", *FIELDS)).alias("was"))
+        met = cut(late.alias("n").join(was.alias("w"), _matches("n", "w", ["place", *PLACE])).select("n.*", "w.was").withColumn("newer", F.struct("received_at", "change_id") > F.struct("was.received_at", "was.change_id")))
         return None if met.isEmpty() else met
 
     def _standing(self, paths: list[str]) -> DataFrame:
         """The deletes that stand: of each place the version received last, unless that is none."""
         rest = ["kind", "fields", *FIELDS]
-        last = self.spark.read.parquet(*paths).groupBy(*PLACE).agg(F.max(F.struct("received_at", "change_id", *rest)).alias("_r"))
-        return last.select(*PLACE, *[f"_r.{c}" for c in rest], "_r.received_at", "_r.change_id").filter("kind = 'delete'").select(*LOG)
+        last = self.spark.read.parquet(*paths).groupBy("place", *PLACE).agg(F.max(F.struct("received_at", "change_id", *rest)).alias("_r"))
+        return last.select("place", *PLACE, *[f"_r.{c}" for c in rest], "_r.received_at", "_r.change_id").filter("kind = 'delete'").select(*LOG)
 
     def _from_log(self, log: list[str], keys: DataFrame) -> DataFrame:
         """The set rows of some keys in the whole log, each place as it was received last."""
@@ -214,7 +234,7 @@ class BucketedTable:
         last = rows.groupBy(*PLACE, *KEY).agg(F.max(F.struct("received_at", "change_id", "kind", "value")).alias("_r"))
         return last.select(*PLACE, *KEY, "_r.kind", "_r.value", "_r.received_at", "_r.change_id").filter(F.col("kind") != MOVED)
 
-    def _touched(self, old: dict, n: int, sets: DataFrame, deletes: DataFrame, all_deletes: DataFrame, moved: DataFrame | None, woken: bool) -> set[int] | None:
+    def _touched(self, old: dict, n: int, sets: DataFrame, deletes: DataFrame, all_deletes: DataFrame, small: bool, moved: DataFrame | None, woken: bool) -> set[int] | None:
         """Buckets to rewrite (at most their number comes to the driver); None: all, as there are none yet."""
         state = self._base(old)
         if state is None:
@@ -228,9 +248,9 @@ class BucketedTable:
         rest = self._base(old, set(map(int, old["buckets"])) - touched)
         if rest is None:
             return touched
-        changed = with_alive(rest.filter("alive").drop("alive"), deletes.filter("kind = 'delete'")).filter("NOT alive").select(bucket_of(n).alias("b"))
+        changed = with_alive(rest.filter("alive").drop("alive"), deletes.filter("kind = 'delete'"), small).filter("NOT alive").select(bucket_of(n).alias("b"))
         if woken:
-            changed = changed.union(with_alive(rest.filter("NOT alive").drop("alive"), all_deletes).filter("alive").select(bucket_of(n).alias("b")))
+            changed = changed.union(with_alive(rest.filter("NOT alive").drop("alive"), all_deletes, small).filter("alive").select(bucket_of(n).alias("b")))
         return touched | {r["b"] for r in changed.distinct().collect()}
 
     def expire(self, keep: int = 1) -> int:
