@@ -58,30 +58,41 @@ def _matches(a: str, b: str, columns: list[str]) -> Column:
     return reduce(lambda x, c: x & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")), columns, F.lit(True))
 
 
-def with_alive(rows: DataFrame, deletes: DataFrame, small: bool | None = None) -> DataFrame:
+def last_deletes(deletes: DataFrame) -> DataFrame:
+    """(PARTITION, fields, FIELDS, ``at``): the last delete per compared values; fields that a delete does not compare are null.
+
+    Written once, so that each field set is a filter of a small table.
+    """
+    used = lambda c: F.when(F.array_contains(F.split("fields", ","), c), F.col(c)).alias(c)
+    x = deletes.filter(F.col("fields") != "").select(*PARTITION, "fields", *[used(c) for c in FIELDS], F.struct(*SEQ).alias("at"))
+    return cut(x.groupBy(*PARTITION, "fields", *FIELDS).agg(F.max("at").alias("at")))
+
+
+def with_alive(rows: DataFrame, last: DataFrame) -> tuple[DataFrame, bool]:
     """``rows`` with ``alive``: false where a later delete equals the row in its fields (null equals null).
 
-    Deletes are first reduced to the last one per compared values, so each field set is one left join that adds no rows;
-    there are at most 7 field sets. Fields, not keys, decide, so this is right for deletes on non-key fields as well.
-    ``small``: whether all deletes together were found to be few enough for a broadcast (None: counted here).
+    ``last`` is of ``last_deletes``, so each field set is one left join that adds no rows; there are at most 7 field sets.
+    Fields, not keys, decide, so this is right for deletes on non-key fields as well. Also returns whether all joins
+    could broadcast the deletes, after their number was counted.
     """
-    present = [r[0] for r in deletes.select("fields").distinct().collect()]  # at most 2 ** 3 - 1 values
+    sets = {r["fields"]: r["count"] for r in last.groupBy("fields").count().collect()}  # at most 2 ** 3 - 1 values
+    small = sum(sets.values()) <= BROADCAST_ROWS
     rows = rows.withColumn("alive", F.lit(True))
-    for fields in sorted(x for x in present if x):
+    for fields in sorted(sets):
         on = fields.split(",")
-        last = deletes.filter(F.col("fields") == fields).groupBy(*PARTITION, *on).agg(F.max(F.struct(*SEQ)).alias("at"))
-        last = bounded_broadcast(last) if small is None else F.broadcast(last) if small else last
-        r, d = rows.alias("r"), last.alias("d")
+        some = last.filter(F.col("fields") == fields).select(*PARTITION, *on, "at")
+        r, d = rows.alias("r"), (F.broadcast(some) if small else some).alias("d")
         later = F.coalesce(F.col("d.at") > F.struct(*[f"r.{c}" for c in SEQ]), F.lit(False))
         rows = r.join(d, _matches("r", "d", [*PARTITION, *on]), "left").select(*[F.col(f"r.{c}") for c in rows.columns if c != "alive"], (F.col("r.alive") & ~later).alias("alive"))
-    return rows
+    return rows, small
 
 
 def final_rows(feed: DataFrame) -> DataFrame:
     """The rows that stand at the end of the whole feed, with the place of the change that set each, without a store."""
     folded = latest_per_place(feed)
     sets = last_sets(folded.filter("kind <> 'delete'").select(*PLACE, *FIELDS))
-    return with_alive(sets, folded.filter("kind = 'delete'").select(*PLACE, *FIELDS, delete_fields(F.col("delete_columns")).alias("fields"))).filter("alive").drop("alive")
+    deletes = folded.filter("kind = 'delete'").select(*PLACE, *FIELDS, delete_fields(F.col("delete_columns")).alias("fields"))
+    return with_alive(sets, last_deletes(deletes))[0].filter("alive").drop("alive")
 
 
 #: Columns of the log of changes: one row per place and batch.
@@ -168,9 +179,13 @@ class BucketedTable:
         with shuffles_removed(self.spark):
             deletes.write.parquet(f"{at}/deletes")
         delete_paths = [*old["deletes"], f"{at}/deletes"]
-        all_deletes = cut(self._standing(delete_paths)) if len(delete_paths) > 1 else self.spark.read.parquet(f"{at}/deletes")
-        small = all_deletes.count() <= BROADCAST_ROWS
-        touched = self._touched(old, n, sets, self.spark.read.parquet(f"{at}/deletes"), all_deletes, small, moved, woken)
+        standing = self._standing(delete_paths) if len(delete_paths) > 1 else self.spark.read.parquet(f"{at}/deletes")
+        if len(delete_paths) > self.FOLD:
+            standing.write.parquet(f"{at}/whole-deletes")
+            delete_paths = [f"{at}/whole-deletes"]
+            standing = self.spark.read.parquet(*delete_paths)
+        last = last_deletes(standing)
+        touched = self._touched(old, n, sets, self.spark.read.parquet(f"{at}/deletes"), last, moved, woken)
         new = [*PLACE, *FIELDS, "received_at", "change_id"]
         out = sets.select(*new)
         if touched is not None and (part := self._base(old, touched)) is not None:
@@ -180,7 +195,8 @@ class BucketedTable:
             out = out.unionByName(part)
         if moved is not None:
             out = out.unionByName(self._from_log(log, moved).select(*new))
-        out = with_alive(last_sets(out), all_deletes, small).withColumn("_bucket", bucket_of(n))
+        out, small = with_alive(last_sets(out), last)
+        out = out.withColumn("_bucket", bucket_of(n))
         if not small:  # joins by shuffle have spread the keys anew
             out = out.repartition(n, "_bucket")
         with shuffles_removed(self.spark):
@@ -193,9 +209,6 @@ class BucketedTable:
             whole = self.spark.read.parquet(*log).groupBy("place", *PLACE, *KEY).agg(F.max(F.struct("received_at", "change_id", "kind", "fields", "value")).alias("_r"))
             whole.select("place", *PLACE, "_r.kind", "_r.fields", *KEY, "_r.value", "_r.received_at", "_r.change_id").select(*LOG).write.parquet(f"{at}/whole-log")
             log = [f"{at}/whole-log"]
-        if len(delete_paths) > self.FOLD:
-            all_deletes.write.parquet(f"{at}/whole-deletes")
-            delete_paths = [f"{at}/whole-deletes"]
         return self.store.publish(at, base_version, buckets=buckets, log=log, deletes=delete_paths, high=f"{at}/high", n=n, rows=rows, rewritten=sorted(map(int, fresh)))
 
     def _high(self, old: dict, batch: DataFrame) -> DataFrame:
@@ -234,7 +247,7 @@ class BucketedTable:
         last = rows.groupBy(*PLACE, *KEY).agg(F.max(F.struct("received_at", "change_id", "kind", "value")).alias("_r"))
         return last.select(*PLACE, *KEY, "_r.kind", "_r.value", "_r.received_at", "_r.change_id").filter(F.col("kind") != MOVED)
 
-    def _touched(self, old: dict, n: int, sets: DataFrame, deletes: DataFrame, all_deletes: DataFrame, small: bool, moved: DataFrame | None, woken: bool) -> set[int] | None:
+    def _touched(self, old: dict, n: int, sets: DataFrame, deletes: DataFrame, last: DataFrame, moved: DataFrame | None, woken: bool) -> set[int] | None:
         """Buckets to rewrite (at most their number comes to the driver); None: all, as there are none yet."""
         state = self._base(old)
         if state is None:
@@ -248,9 +261,9 @@ class BucketedTable:
         rest = self._base(old, set(map(int, old["buckets"])) - touched)
         if rest is None:
             return touched
-        changed = with_alive(rest.filter("alive").drop("alive"), deletes.filter("kind = 'delete'"), small).filter("NOT alive").select(bucket_of(n).alias("b"))
+        changed = with_alive(rest.filter("alive").drop("alive"), last_deletes(deletes.filter("kind = 'delete'")))[0].filter("NOT alive").select(bucket_of(n).alias("b"))
         if woken:
-            changed = changed.union(with_alive(rest.filter("NOT alive").drop("alive"), all_deletes, small).filter("alive").select(bucket_of(n).alias("b")))
+            changed = changed.union(with_alive(rest.filter("NOT alive").drop("alive"), last)[0].filter("alive").select(bucket_of(n).alias("b")))
         return touched | {r["b"] for r in changed.distinct().collect()}
 
     def expire(self, keep: int = 1) -> int:
