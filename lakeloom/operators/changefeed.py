@@ -97,8 +97,8 @@ def final_rows(feed: DataFrame) -> DataFrame:
 
 #: Columns of the log of changes: one row per place and batch.
 LOG = ["place", *PLACE, "kind", "fields", *FIELDS, "received_at", "change_id"]
-#: Kind of a log row that takes back what an earlier version of the same place did to a key.
-MOVED = "moved"
+#: Kinds of log rows that take back what an earlier version of the same place did: a set row of a key, a delete.
+MOVED, UNDONE = "moved", "undone"
 
 
 class BucketedTable:
@@ -108,8 +108,8 @@ class BucketedTable:
     are taken over by reference. Rows stay stored when a delete hides them (``alive`` false), so that late changes can't
     bring an older value of the key back.
 
-    The log has every change as it was received last in its batch. It is read only for places at or before the
-    highest one that their partition had: there a batch may repeat or correct an applied change. A change older than the applied one is
+    The log has every change as it was received last in its batch. Of it only folders are searched whose range of
+    positions meets that of the batch: there a batch may repeat or correct an applied change. A change older than the applied one is
     dropped; a correction that takes a change away from its key leaves a mark in the log, and the key is set anew from its
     log rows; a corrected delete wakes the rows that it hid. So batches may come in any order and cut.
     Nulls in any column, empty feeds, repeated and late changes are allowed.
@@ -117,7 +117,7 @@ class BucketedTable:
     The number of buckets follows from the number of rows and doubles when they have outgrown it.
     """
 
-    #: Folders of the log and of the deletes that are folded to one when there are more.
+    #: Folders of the log that are folded to one when there are more.
     FOLD = 16
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, bucket_rows: int = 500_000):
@@ -125,7 +125,7 @@ class BucketedTable:
 
     def manifest(self) -> dict:
         version = self.store.latest()
-        return {"buckets": {}, "log": [], "deletes": [], "high": None, "n": None, "rows": 0} if version is None else self.store.commit(version)
+        return {"buckets": {}, "log": [], "n": None, "rows": 0} if version is None else self.store.commit(version)
 
     def _base(self, manifest: dict, buckets=None) -> DataFrame | None:
         """``buckets`` None: all."""
@@ -157,35 +157,31 @@ class BucketedTable:
         with shuffles_removed(self.spark):
             latest_per_place(feed).withColumn("fields", F.when(F.col("kind") == "delete", delete_fields(F.col("delete_columns")))).select(*LOG).write.parquet(f"{at}/log")
         batch = self.spark.read.parquet(f"{at}/log")
-        log, rows = [*old["log"], f"{at}/log"], old["rows"] + batch.count()
+        count, known, lo, hi = batch.agg(F.count(F.lit(1)), F.count("stream_position"), F.min("stream_position"), F.max("stream_position")).first()
+        span = [lo, hi] if known == count else [None, None]  # rows without a position may meet anything
+        log, rows = [*old["log"], [f"{at}/log", *span]], old["rows"] + count
         n = self._bucket_count(old, rows)
         sets, deletes = batch.filter("kind <> 'delete'"), batch.filter("kind = 'delete'")
         moved, woken = None, False
-        met = self._met(old, batch)
+        met = self._met(old, batch, span)
         if met is not None:
-            stale = met.filter("NOT newer").select(*PLACE)
-            sets, deletes = (x.alias("n").join(bounded_broadcast(stale).alias("s"), _matches("n", "s", PLACE), "left_anti") for x in (sets, deletes))
-            newer = met.filter("newer")
-            left = newer.filter((F.col("was.kind") != "delete") & ((F.col("kind") == "delete") | ~(F.col("was.pk1").eqNullSafe(F.col("pk1")) & F.col("was.pk2").eqNullSafe(F.col("pk2")))))
-            mark = lambda df: df.select("place", *PLACE, F.lit(MOVED).alias("kind"), F.lit(None).cast("string").alias("fields"), *[F.col(f"was.{c}").alias(c) for c in FIELDS], "received_at", "change_id")
-            left = cut(mark(left))
-            if not left.isEmpty():
-                left.write.parquet(f"{at}/moved")
-                log.append(f"{at}/moved")
-                moved = cut(left.select(*PARTITION, *KEY).distinct())
-            undone = newer.filter(F.col("was.kind") == "delete")
-            woken = not undone.isEmpty()
-            deletes = deletes.select(*LOG).unionByName(mark(undone.filter("kind <> 'delete'")))
-        with shuffles_removed(self.spark):
-            deletes.write.parquet(f"{at}/deletes")
-        delete_paths = [*old["deletes"], f"{at}/deletes"]
-        standing = self._standing(delete_paths) if len(delete_paths) > 1 else self.spark.read.parquet(f"{at}/deletes")
-        if len(delete_paths) > self.FOLD:
-            standing.write.parquet(f"{at}/whole-deletes")
-            delete_paths = [f"{at}/whole-deletes"]
-            standing = self.spark.read.parquet(*delete_paths)
-        last = last_deletes(standing)
-        touched = self._touched(old, n, sets, self.spark.read.parquet(f"{at}/deletes"), last, moved, woken)
+            stale = bounded_broadcast(met.filter("NOT newer").select(*PLACE))
+            sets, deletes = (x.alias("n").join(stale.alias("s"), _matches("n", "s", PLACE), "left_anti") for x in (sets, deletes))
+            newer, was = met.filter("newer"), lambda c: F.col(f"was.{c}")
+            left = newer.filter((was("kind") != "delete") & ((F.col("kind") == "delete") | ~(was("pk1").eqNullSafe(F.col("pk1")) & was("pk2").eqNullSafe(F.col("pk2")))))
+            undone = newer.filter((was("kind") == "delete") & (F.col("kind") != "delete"))
+            late = met.filter(~F.col("newer") & (F.col("kind") == "delete") & (was("kind") != "delete"))  # a set row is known there since
+            mark = lambda df, kind, when: df.select("place", *PLACE, F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("fields"), *[was(c).alias(c) for c in FIELDS], *[(was(c) if when == "was" else F.col(c)).alias(c) for c in ("received_at", "change_id")])
+            mark(left, MOVED, "now").unionByName(mark(undone, UNDONE, "now")).unionByName(mark(late, UNDONE, "was")).write.parquet(f"{at}/marks")
+            marks = self.spark.read.parquet(f"{at}/marks")
+            kinds = {r[0] for r in marks.select("kind").distinct().collect()}  # at most 2
+            if kinds:
+                log.append([f"{at}/marks", *span])
+            if MOVED in kinds:
+                moved = cut(marks.filter(F.col("kind") == MOVED).select(*PARTITION, *KEY).distinct())
+            woken = not newer.filter(was("kind") == "delete").isEmpty()
+        last = last_deletes(self._standing(log))
+        touched = self._touched(old, n, sets, deletes, last, moved, woken)
         new = [*PLACE, *FIELDS, "received_at", "change_id"]
         out = sets.select(*new)
         if touched is not None and (part := self._base(old, touched)) is not None:
@@ -201,32 +197,31 @@ class BucketedTable:
             out = out.repartition(n, "_bucket")
         with shuffles_removed(self.spark):
             out.write.partitionBy("_bucket").parquet(f"{at}/rows")
-            self._high(old, batch).write.parquet(f"{at}/high")
         files = self.store.files
         fresh = {x[8:]: f"{at}/rows/{x}" for x in files.list(f"{at}/rows") if x.startswith("_bucket=")}
         buckets = {b: p for b, p in old["buckets"].items() if touched is not None and int(b) not in touched} | fresh
         if len(log) > self.FOLD:
-            whole = self.spark.read.parquet(*log).groupBy("place", *PLACE, *KEY).agg(F.max(F.struct("received_at", "change_id", "kind", "fields", "value")).alias("_r"))
+            x = self._read(log).withColumn("_takes", F.col("kind").isin("delete", UNDONE))
+            whole = x.groupBy("place", *PLACE, *KEY, "_takes").agg(F.max(F.struct("received_at", "change_id", "kind", "fields", "value")).alias("_r"))
             whole.select("place", *PLACE, "_r.kind", "_r.fields", *KEY, "_r.value", "_r.received_at", "_r.change_id").select(*LOG).write.parquet(f"{at}/whole-log")
-            log = [f"{at}/whole-log"]
-        return self.store.publish(at, base_version, buckets=buckets, log=log, deletes=delete_paths, high=f"{at}/high", n=n, rows=rows, rewritten=sorted(map(int, fresh)))
+            bounds = [e[1:] for e in log]
+            log = [[f"{at}/whole-log", *([None, None] if any(b[0] is None for b in bounds) else [min(b[0] for b in bounds), max(b[1] for b in bounds)])]]
+        return self.store.publish(at, base_version, buckets=buckets, log=log, n=n, rows=rows, rewritten=sorted(map(int, fresh)))
 
-    def _high(self, old: dict, batch: DataFrame) -> DataFrame:
-        """The highest position of each partition."""
-        mine = batch.groupBy(*PARTITION).agg(F.max("stream_position").alias("top"))
-        return mine if old["high"] is None else mine.unionByName(self.spark.read.parquet(old["high"])).groupBy(*PARTITION).agg(F.max("top").alias("top"))
+    def _read(self, log: list[list]) -> DataFrame:
+        return self.spark.read.parquet(*[e[0] for e in log])
 
-    def _met(self, old: dict, batch: DataFrame) -> DataFrame | None:
+    def _met(self, old: dict, batch: DataFrame, span: list) -> DataFrame | None:
         """Changes of the batch whose place was applied before, with ``was`` (the applied version) and whether they are ``newer``.
 
         Places that may have been met are found by their hashes alone; only the rows of these are read whole.
         """
-        if old["high"] is None:
+        apart = lambda e: None not in (e[1], span[0]) and (e[2] < span[0] or span[1] < e[1])
+        some = [e for e in old["log"] if not apart(e)]
+        if not some:
             return None
-        high = bounded_broadcast(self.spark.read.parquet(old["high"]))
-        log = self.spark.read.parquet(*old["log"]).filter(F.col("kind") != MOVED)
-        late = batch.select("place", *PARTITION, "stream_position").alias("n").join(high.alias("h"), _matches("n", "h", PARTITION)).filter((F.col("n.stream_position") <= F.col("h.top")) | F.col("n.stream_position").isNull())
-        hits = cut(late.select("n.place").join(log.select("place"), "place", "left_semi"))
+        log = self._read(some).filter(~F.col("kind").isin(MOVED, UNDONE))
+        hits = cut(batch.select("place").join(log.select("place"), "place", "left_semi"))
         if hits.isEmpty():
             return None
         hits = bounded_broadcast(hits)
@@ -235,15 +230,18 @@ class BucketedTable:
         met = cut(late.alias("n").join(was.alias("w"), _matches("n", "w", ["place", *PLACE])).select("n.*", "w.was").withColumn("newer", F.struct("received_at", "change_id") > F.struct("was.received_at", "was.change_id")))
         return None if met.isEmpty() else met
 
-    def _standing(self, paths: list[str]) -> DataFrame:
-        """The deletes that stand: of each place the version received last, unless that is none."""
+    def _standing(self, log: list[list]) -> DataFrame:
+        """The deletes that stand: of each place the version received last, unless that is taken back."""
+        rows = self._read(log).filter(F.col("kind").isin("delete", UNDONE))
+        if len(log) == 1:  # one row a place
+            return rows.filter("kind = 'delete'")
         rest = ["kind", "fields", *FIELDS]
-        last = self.spark.read.parquet(*paths).groupBy("place", *PLACE).agg(F.max(F.struct("received_at", "change_id", *rest)).alias("_r"))
-        return last.select("place", *PLACE, *[f"_r.{c}" for c in rest], "_r.received_at", "_r.change_id").filter("kind = 'delete'").select(*LOG)
+        last = rows.groupBy("place", *PLACE).agg(F.max(F.struct("received_at", "change_id", *rest)).alias("_r"))
+        return last.select(*PLACE, *[f"_r.{c}" for c in rest]).filter("kind = 'delete'")
 
-    def _from_log(self, log: list[str], keys: DataFrame) -> DataFrame:
+    def _from_log(self, log: list[list], keys: DataFrame) -> DataFrame:
         """The set rows of some keys in the whole log, each place as it was received last."""
-        rows = self.spark.read.parquet(*log).filter("kind <> 'delete'").alias("l").join(bounded_broadcast(keys).alias("k"), _matches("l", "k", [*PARTITION, *KEY]), "left_semi")
+        rows = self._read(log).filter(~F.col("kind").isin("delete", UNDONE)).alias("l").join(bounded_broadcast(keys).alias("k"), _matches("l", "k", [*PARTITION, *KEY]), "left_semi")
         last = rows.groupBy(*PLACE, *KEY).agg(F.max(F.struct("received_at", "change_id", "kind", "value")).alias("_r"))
         return last.select(*PLACE, *KEY, "_r.kind", "_r.value", "_r.received_at", "_r.change_id").filter(F.col("kind") != MOVED)
 
