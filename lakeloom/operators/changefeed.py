@@ -40,7 +40,7 @@ def delete_fields(names: Column) -> Column:
 
 def bucket_of(buckets: int) -> Column:
     """The hash by which a shuffle on the key is partitioned: rows aggregated by key are in the task of their bucket already."""
-    return F.pmod(F.hash(*PARTITION, *KEY), F.lit(buckets)).cast("int")
+    return F.pmod(F.hash(F.xxhash64(*PARTITION, *KEY), *PARTITION, *KEY), F.lit(buckets)).cast("int")
 
 
 def last_sets(sets: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def last_sets(sets: DataFrame) -> DataFrame:
     """
     received = [c for c in ("received_at", "change_id") if c in sets.columns]
     rest = [c for c in sets.columns if c not in {*PARTITION, *KEY, *SEQ, *received}]
-    best = sets.groupBy(*PARTITION, *KEY).agg(F.max(F.struct(*SEQ, *received, *rest)).alias("_r"))
+    # a number leads the grouping, so that sorting compares numbers instead of texts
+    best = sets.withColumn("_key", F.xxhash64(*PARTITION, *KEY)).groupBy("_key", *PARTITION, *KEY).agg(F.max(F.struct(*SEQ, *received, *rest)).alias("_r"))
     return best.select(*PARTITION, *KEY, "_r.*")
 
 

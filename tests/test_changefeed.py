@@ -35,7 +35,9 @@ def model(rows):
     state = {}
     for p in sorted(last, key=lambda p: p[2:]):
         r = last[p]
-        kind, part = r[6].strip().lower(), (r[1], r[2])
+        kind, part = (r[6] or "").strip().lower(), (r[1], r[2])
+        if kind not in ("append", "upsert", "delete"):
+            continue
         if kind != "delete":
             state[part, r[8], r[9]] = (p, r[10])
         else:
@@ -108,6 +110,7 @@ def test_corrections_across_batches_in_any_order(spark, tmp_path, seed):
     rng = random.Random(seed)
     turned = [[3000 + r[0], *r[1:6], "delete", rng.choice([None, "value", "pk1"]), *r[8:11], r[-1] + dt.timedelta(days=3)] for r in rng.sample(out, 12)]
     turned += [[4000 + r[0], *r[1:6], "upsert", None, *r[8:11], r[-1] + dt.timedelta(days=4)] for r in out if "elete" in r[6].lower() and rng.random() < 0.4]
+    turned += [[5000 + r[0], *r[1:6], rng.choice(["unknown", None]), None, *r[8:11], r[-1] + dt.timedelta(days=rng.choice([-1, 5]))] for r in rng.sample(out, 8)]
     rows = out + again + mended + turned
     rng.shuffle(rows)
     t = BucketedTable(spark, str(tmp_path), 4)
