@@ -17,18 +17,25 @@ FIELDS = ["pk1", "pk2", "value"]
 SEQ = ["stream_position", "file_index", "record_index"]
 
 
-def latest_per_place(feed: DataFrame) -> DataFrame:
-    """One row per place: the one received last (of equal times the greatest change_id).
+#: Kinds that set the row of a key.
+SETS = ("append", "upsert")
+
+
+def last_received(feed: DataFrame) -> DataFrame:
+    """One row per place: the one received last (of equal times the greatest change_id), its kind trimmed and in lower case.
 
-    Deliveries repeated any number of times are folded by a partial aggregation before the shuffle. Kinds are trimmed and
-    lower-cased; kinds other than append, upsert and delete change nothing and are dropped.
+    Deliveries repeated any number of times are folded by a partial aggregation before the shuffle.
     """
-    kind = F.lower(F.trim("delta_type"))
-    rest = ["delete_columns", *FIELDS]
+    rest = ["kind", "delete_columns", *FIELDS]
     # a number leads the grouping, so that sorting compares numbers instead of texts
-    x = feed.select(F.xxhash64(*PLACE).alias("place"), *PLACE, kind.alias("kind"), *rest, "received_at", "change_id")
-    last = x.groupBy("place", *PLACE).agg(F.max(F.struct("received_at", "change_id", "kind", *rest)).alias("_r"))
-    return last.select("place", *PLACE, "_r.kind", *[f"_r.{c}" for c in rest], "_r.received_at", "_r.change_id").filter(F.col("kind").isin("append", "upsert", "delete"))
+    x = feed.select(F.xxhash64(*PLACE).alias("place"), *PLACE, F.lower(F.trim("delta_type")).alias("kind"), *rest[1:], "received_at", "change_id")
+    last = x.groupBy("place", *PLACE).agg(F.max(F.struct("received_at", "change_id", *rest)).alias("_r"))
+    return last.select("place", *PLACE, *[f"_r.{c}" for c in rest], "_r.received_at", "_r.change_id")
+
+
+def latest_per_place(feed: DataFrame) -> DataFrame:
+    """``last_received`` of the places that change something: kinds other than append, upsert and delete change nothing."""
+    return last_received(feed).filter(F.col("kind").isin(*SETS, "delete"))
 
 
 def delete_fields(names: Column) -> Column:
@@ -156,22 +163,23 @@ class BucketedTable:
         base_version, old = self.store.latest(), self.manifest()
         at = self.store.stage()
         with shuffles_removed(self.spark):
-            latest_per_place(feed).withColumn("fields", F.when(F.col("kind") == "delete", delete_fields(F.col("delete_columns")))).select(*LOG).write.parquet(f"{at}/log")
+            last_received(feed).withColumn("fields", F.when(F.col("kind") == "delete", delete_fields(F.col("delete_columns")))).select(*LOG).write.parquet(f"{at}/log")
         batch = self.spark.read.parquet(f"{at}/log")
         count, known, lo, hi = batch.agg(F.count(F.lit(1)), F.count("stream_position"), F.min("stream_position"), F.max("stream_position")).first()
         span = [lo, hi] if known == count else [None, None]  # rows without a position may meet anything
         log, rows = [*old["log"], [f"{at}/log", *span]], old["rows"] + count
         n = self._bucket_count(old, rows)
-        sets, deletes = batch.filter("kind <> 'delete'"), batch.filter("kind = 'delete'")
+        sets, deletes = batch.filter(F.col("kind").isin(*SETS)), batch.filter("kind = 'delete'")
         moved, woken = None, False
         met = self._met(old, batch, span)
         if met is not None:
             stale = bounded_broadcast(met.filter("NOT newer").select(*PLACE))
             sets, deletes = (x.alias("n").join(stale.alias("s"), _matches("n", "s", PLACE), "left_anti") for x in (sets, deletes))
             newer, was = met.filter("newer"), lambda c: F.col(f"was.{c}")
-            left = newer.filter((was("kind") != "delete") & ((F.col("kind") == "delete") | ~(was("pk1").eqNullSafe(F.col("pk1")) & was("pk2").eqNullSafe(F.col("pk2")))))
-            undone = newer.filter((was("kind") == "delete") & (F.col("kind") != "delete"))
-            late = met.filter(~F.col("newer") & (F.col("kind") == "delete") & (was("kind") != "delete"))  # a set row is known there since
+            other = lambda c, *kinds: ~F.coalesce(c.isin(*kinds), F.lit(False))
+            left = newer.filter(was("kind").isin(*SETS) & (other(F.col("kind"), *SETS) | ~(was("pk1").eqNullSafe(F.col("pk1")) & was("pk2").eqNullSafe(F.col("pk2")))))
+            undone = newer.filter((was("kind") == "delete") & other(F.col("kind"), "delete"))
+            late = met.filter(~F.col("newer") & (F.col("kind") == "delete") & other(was("kind"), "delete"))  # known to be something else since
             mark = lambda df, kind, when: df.select("place", *PLACE, F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("fields"), *[was(c).alias(c) for c in FIELDS], *[(was(c) if when == "was" else F.col(c)).alias(c) for c in ("received_at", "change_id")])
             mark(left, MOVED, "now").unionByName(mark(undone, UNDONE, "now")).unionByName(mark(late, UNDONE, "was")).write.parquet(f"{at}/marks")
             marks = self.spark.read.parquet(f"{at}/marks")
@@ -202,7 +210,7 @@ class BucketedTable:
         fresh = {x[8:]: f"{at}/rows/{x}" for x in files.list(f"{at}/rows") if x.startswith("_bucket=")}
         buckets = {b: p for b, p in old["buckets"].items() if touched is not None and int(b) not in touched} | fresh
         if len(log) > self.FOLD:
-            x = self._read(log).withColumn("_takes", F.col("kind").isin("delete", UNDONE))
+            x = self._read(log).withColumn("_takes", F.coalesce(F.col("kind").isin("delete", UNDONE), F.lit(False)))
             whole = x.groupBy("place", *PLACE, *KEY, "_takes").agg(F.max(F.struct("received_at", "change_id", "kind", "fields", "value")).alias("_r"))
             whole.select("place", *PLACE, "_r.kind", "_r.fields", *KEY, "_r.value", "_r.received_at", "_r.change_id").select(*LOG).write.parquet(f"{at}/whole-log")
             bounds = [e[1:] for e in log]
@@ -221,7 +229,7 @@ class BucketedTable:
         some = [e for e in old["log"] if not apart(e)]
         if not some:
             return None
-        log = self._read(some).filter(~F.col("kind").isin(MOVED, UNDONE))
+        log = self._read(some).filter(~F.coalesce(F.col("kind").isin(MOVED, UNDONE), F.lit(False)))
         hits = cut(batch.select("place").join(log.select("place"), "place", "left_semi"))
         if hits.isEmpty():
             return None
@@ -242,7 +250,7 @@ class BucketedTable:
 
     def _from_log(self, log: list[list], keys: DataFrame) -> DataFrame:
         """The set rows of some keys in the whole log, each place as it was received last."""
-        rows = self._read(log).filter(~F.col("kind").isin("delete", UNDONE)).alias("l").join(bounded_broadcast(keys).alias("k"), _matches("l", "k", [*PARTITION, *KEY]), "left_semi")
+        rows = self._read(log).filter(F.col("kind").isin(*SETS, MOVED)).alias("l").join(bounded_broadcast(keys).alias("k"), _matches("l", "k", [*PARTITION, *KEY]), "left_semi")
         last = rows.groupBy(*PLACE, *KEY).agg(F.max(F.struct("received_at", "change_id", "kind", "value")).alias("_r"))
         return last.select(*PLACE, *KEY, "_r.kind", "_r.value", "_r.received_at", "_r.change_id").filter(F.col("kind") != MOVED)
 
