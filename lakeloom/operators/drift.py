@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 from .ordered import previous
 
 ROW = "uri string, stream_id string, stream_position string, row_no int, fields map<string,struct<value:string,raw:string>>"
@@ -204,7 +204,7 @@ def drift(files: DataFrame, manifest_entries: DataFrame, schema_fields: DataFram
     The order of one stream is cut into pieces where a stream holds very many files. Fields are matched by id, names
     compared without case; a field renamed and retyped at once gives both rows; the first file of a stream gives none.
     """
-    typed = file_schemas(files, manifest_entries, schema_fields)
+    typed = cut(file_schemas(files, manifest_entries, schema_fields))  # read twice below, and files are parsed for it
     prev = previous(typed, ["stream_id"], ["stream_position", "uri"], "fields", "was")
     x = prev.filter(F.col("was").isNotNull() & ~F.col("was").eqNullSafe(F.col("fields")))
     ids = F.array_distinct(F.concat(F.transform("was", lambda f: f["field_id"]), F.transform("fields", lambda f: f["field_id"])))

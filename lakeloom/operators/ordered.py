@@ -25,7 +25,7 @@ def _pieces(df: DataFrame, keys: list[str], along: str, piece_rows: int) -> tupl
     spark, kinds = df.sparkSession, df.select(*keys).schema
     named = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], kinds)
     most = max(r["__n"] for r in hot)
-    cuts = min(10_000, most // piece_rows + 1)
+    cuts = most // piece_rows + 1
     on = _same("_a", "_b", keys)
     found = (
         df.select(*keys, along).alias("_a").join(F.broadcast(named).alias("_b"), on).groupBy(*[F.col(f"_a.{k}").alias(k) for k in keys])

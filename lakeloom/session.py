@@ -114,8 +114,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (Spark then shuffles)."""
+def bounded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (BROADCAST_ROWS if None), else unchanged (Spark then shuffles)."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
