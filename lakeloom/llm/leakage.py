@@ -48,29 +48,40 @@ def passages(items: DataFrame) -> DataFrame:
     return out
 
 
+def _blocks(documents: DataFrame) -> DataFrame:
+    """(doc_id, s, own, w): words of a document in blocks with enough overlap for any passage, so one huge document spreads over rows."""
+    d = documents.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK))
+    first = F.greatest(F.col("s") - PASSAGE, F.lit(0))
+    return d.select("doc_id", "w", F.explode(starts).alias("s")).select("doc_id", "s", (F.col("s") - first).alias("own"), F.slice("w", first + 1, F.col("s") - first + BLOCK + PASSAGE).alias("w"))
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents that give an item away, once per pair.
 
-    The sketch table is broadcast only after its size is checked, else joined by shuffle on the hash. Documents are cut
-    into blocks of words with enough overlap for any passage, so one huge document spreads over rows. Documents with null
-    or empty texts, and items without words, give nothing. Repeated documents and items are each reported.
+    First only numbers go about: the shingles of each block, with their places, against the sketches (broadcast after
+    their size is checked, else joined by shuffle on the hash). The words of the few blocks that were hit are then
+    fetched to verify them. Documents with null or empty texts, and items without words, give nothing. Repeated
+    documents and items are each reported.
     """
     q = cut(passages(items))
     widths = sorted(r["width"] for r in q.select("width").distinct().collect())  # at most SHINGLE values
-    margin = PASSAGE
-    d = spread(documents.select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK))
-    first = F.greatest(F.col("s") - margin, F.lit(0))
-    blocks = d.select("doc_id", "w", F.explode(starts).alias("s")).select("doc_id", (F.col("s") - first).alias("own"), F.slice("w", first + 1, F.col("s") - first + BLOCK + margin).alias("w"))
-    found = None
+    if not widths:
+        return documents.select("doc_id").join(items.select("item_id"), F.lit(False)).distinct()
+    docs = documents.select("doc_id", "text")
+    blocks, hits = _blocks(spread(docs)), None
     for width in widths:
-        side = bounded_broadcast(q.filter(F.col("width") == width).select("item_id", "size", "sketch", "at", "passage"))
-        hashed = blocks.select("doc_id", "own", "w", F.posexplode(_shingles(F.col("w"), width)).alias("pos", "h"))
+        side = bounded_broadcast(q.filter(F.col("width") == width).select(F.col("sketch").alias("h")).distinct())
+        hashed = blocks.select("doc_id", "s", "own", F.posexplode(_shingles(F.col("w"), width)).alias("pos", "h"))
         # the first ``own`` words belong to the block before, those after BLOCK to the next
-        hashed = hashed.filter((F.col("pos") >= F.col("own")) & (F.col("pos") < F.col("own") + BLOCK))
-        begin = F.col("pos") - F.col("at") + 2  # 1-based place of the passage
-        hit = hashed.join(side, hashed["h"] == side["sketch"]).filter((begin >= 1) & (F.slice("w", F.greatest(begin, F.lit(1)), F.col("size")) == F.col("passage"))).select("doc_id", "item_id")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        return documents.select("doc_id").join(items.select("item_id"), F.lit(False)).distinct()
-    return found.distinct()
+        hashed = hashed.filter((F.col("pos") >= F.col("own")) & (F.col("pos") < F.col("own") + BLOCK)).drop("own")
+        hit = hashed.join(side, "h", "left_semi").withColumn("width", F.lit(width))
+        hits = hit if hits is None else hits.unionByName(hit)
+    hits = cut(hits)
+    named = bounded_broadcast(hits.select("doc_id").distinct()).alias("k")
+    some = docs.alias("d").join(named, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    at = _blocks(some).alias("b").join(bounded_broadcast(hits).alias("t"), F.col("b.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("b.s") == F.col("t.s"))).select("b.doc_id", "b.w", "t.pos", "t.h", "t.width")
+    side = bounded_broadcast(q.select("item_id", "size", "sketch", "at", "passage", F.col("width").alias("_width")))
+    begin = F.col("pos") - F.col("at") + 2  # 1-based place of the passage
+    found = at.join(side, (F.col("h") == F.col("sketch")) & (F.col("width") == F.col("_width")))
+    return found.filter((begin >= 1) & (F.slice("w", F.greatest(begin, F.lit(1)), F.col("size")) == F.col("passage"))).select("doc_id", "item_id").distinct()

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from lakeloom import session
 from lakeloom.llm import leakage as L
 
 ITEMS = "item_id long, text string, task string"
@@ -28,9 +29,11 @@ def brute(docs, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [16, 512])
-def test_against_brute_force(spark, rows, monkeypatch, block):
+@pytest.mark.parametrize(("block", "broadcast"), [(16, 250_000), (512, 250_000), (64, 0)])
+def test_against_brute_force(spark, rows, monkeypatch, block, broadcast):
+    """Also with nothing small enough for a broadcast."""
     monkeypatch.setattr(L, "BLOCK", block)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", broadcast)
     rng = random.Random(2)
     vocabulary = [f"w{n}" for n in range(60)]
     items = [(n, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 11, 12, 13, 30]))), "t") for n in range(40)]
