@@ -52,8 +52,10 @@ def _blocks(documents: DataFrame) -> DataFrame:
     """(doc_id, s, own, w): words of a document in blocks with enough overlap for any passage, so one huge document spreads over rows."""
     d = documents.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(BLOCK))
-    first = F.greatest(F.col("s") - PASSAGE, F.lit(0))
-    return d.select("doc_id", "w", F.explode(starts).alias("s")).select("doc_id", "s", (F.col("s") - first).alias("own"), F.slice("w", first + 1, F.col("s") - first + BLOCK + PASSAGE).alias("w"))
+    first = lambda s: F.greatest(s - PASSAGE, F.lit(0))
+    # each block is made by the explosion itself: as an expression below it would be cut out again for every shingle
+    block = F.transform(starts, lambda s: F.struct(s.alias("s"), (s - first(s)).alias("own"), F.slice("w", first(s) + 1, s - first(s) + BLOCK + PASSAGE).alias("w")))
+    return d.select("doc_id", F.explode(block).alias("_b")).select("doc_id", "_b.s", "_b.own", "_b.w")
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -69,14 +71,12 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     if not widths:
         return documents.select("doc_id").join(items.select("item_id"), F.lit(False)).distinct()
     docs = documents.select("doc_id", "text")
-    blocks, hits = _blocks(spread(docs)), None
-    for width in widths:
-        side = bounded_broadcast(q.filter(F.col("width") == width).select(F.col("sketch").alias("h")).distinct())
-        hashed = blocks.select("doc_id", "s", "own", F.posexplode(_shingles(F.col("w"), width)).alias("pos", "h"))
-        # the first ``own`` words belong to the block before, those after BLOCK to the next
-        hashed = hashed.filter((F.col("pos") >= F.col("own")) & (F.col("pos") < F.col("own") + BLOCK)).drop("own")
-        hit = hashed.join(side, "h", "left_semi").withColumn("width", F.lit(width))
-        hits = hit if hits is None else hits.unionByName(hit)
+    side = bounded_broadcast(q.select("width", F.col("sketch").alias("h")).distinct())
+    of_width = F.array(*[F.struct(F.lit(k).alias("width"), _shingles(F.col("w"), k).alias("hs")) for k in widths])
+    hashed = _blocks(spread(docs)).select("doc_id", "s", "own", F.explode(of_width).alias("_w")).select("doc_id", "s", "own", "_w.width", F.posexplode("_w.hs").alias("pos", "h"))
+    # the first ``own`` words belong to the block before, those after BLOCK to the next
+    hashed = hashed.filter((F.col("pos") >= F.col("own")) & (F.col("pos") < F.col("own") + BLOCK)).drop("own")
+    hits = hashed.join(side, ["h", "width"], "left_semi")
     hits = cut(hits)
     named = bounded_broadcast(hits.select("doc_id").distinct()).alias("k")
     some = docs.alias("d").join(named, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
