@@ -17,12 +17,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.expressions import Predicate, to_column
+from .functions.expressions import fields as fields_of
 from .functions.transforms import Transform, check_sort_keys, hash_bucket, sort_columns
 from .operators import merge
 from .operators.evolution import AUTO, DISABLED, NONE, Field, Schema, Update, apply_updates, coerce_read, coerce_write
 from .plans.log import Log, Transaction, janitor
 from .plans.store import Conflict
 from .sources import formats
+from .sources.files import copy_all
+from .sources.footers import footers, may_match
 
 DEFAULT_NAMESPACE = "DEFAULT"
 #: Table properties and their defaults.
@@ -388,15 +392,13 @@ class Catalog:
         return self._commit_delta(t, info, kind, entries, columns, sorted(given) if kind == "UPSERT" else None, schema)
 
     def _entries(self, files: list[tuple[str, int]], content_type: str, schema: Schema | None, info: TableInfo) -> list[dict]:
-        counts: dict[str, int] = {}
-        if files and content_type == formats.PARQUET:
-            rows = self.spark.read.parquet(*[f for f, _ in files]).groupBy(F.col("_metadata.file_path").alias("f")).count().collect()  # one row per file, from footers
-            counts = {r["f"].split(":", 1)[-1].lstrip("/"): r["count"] for r in rows}
+        found = footers(self.spark, [f for f, _ in files]) if files and content_type == formats.PARQUET else {}
         out = []
         for n, (path, size) in enumerate(files):
             folders = dict(x.split("=", 1) for x in path.split("/") if x.startswith("_p_") and "=" in x)
+            rows, bounds = found.get(path, (None, {}))
             out.append({
-                "id": uuid.uuid4().hex, "order": n, "path": path, "bytes": size, "records": counts.get(path.split(":", 1)[-1].lstrip("/"), 0 if content_type == formats.PARQUET else None), "content_type": content_type,
+                "id": uuid.uuid4().hex, "order": n, "path": path, "bytes": size, "records": rows, "bounds": bounds, "content_type": content_type,
                 "schema_id": schema.id if schema else None, "kind": "DATA", "partition": {k[3:]: v for k, v in folders.items()}, "bucket": next((int(x[9:]) for x in path.split("/") if x.startswith("__bucket=")), None),
             })
         return out
@@ -454,10 +456,14 @@ class Catalog:
 
     def read(
         self, table: str, namespace: str = DEFAULT_NAMESPACE, version: str | None = None, columns: Sequence[str] | None = None, partition_filter: dict[str, Sequence[Any]] | None = None, as_of: int | None = None,
-        file_path_column: str | None = None, ordered: bool = False, read_as: str = "spark",
+        file_path_column: str | None = None, ordered: bool = False, read_as: str = "spark", row_filter: Predicate | None = None, limit: int | None = None,
     ) -> Any:
         """The table's rows in a snapshot. Deltas not yet compacted are merged on read; ``partition_filter`` prunes files.
 
+        ``row_filter`` keeps rows for which it is true; files whose bounds rule that out are not planned (of keyed tables
+        with deltas not yet compacted only by the merge keys, as the last row of a key decides). ``limit`` plans no more files
+        than hold so many rows where nothing else has to be read. ``file_path_column`` names the file that each row comes
+        from, ``ordered`` sorts by position, file and row; both hold for merged rows as well.
         ``as_of`` (nanoseconds) sees transactions that ended strictly before. ``read_as``: spark, pandas, arrow, numpy or files.
         """
         with self._snapshot(as_of) as t:
@@ -465,9 +471,13 @@ class Catalog:
             if info.schema is None:
                 df = self.manifest(table, namespace, version, as_of)
             elif read_as == "files":
-                return [e["path"] for _, d in self._deltas(t, info) for e in self._load(d)]
+                return [e["path"] for _, d in self._deltas(t, info) for e in self._planned(info, d, self._load(d), partition_filter, row_filter, self._settled(info, self._deltas(t, info)))]
             else:
-                df = self._rows(t, info, partition_filter, file_path_column, ordered)
+                df = self._rows(t, info, partition_filter, file_path_column, ordered, row_filter=row_filter, limit=limit)
+                if row_filter is not None:
+                    df = df.filter(to_column(row_filter))
+        if limit is not None:
+            df = df.limit(limit)
         if columns is not None:
             df = formats.project(df, [*columns, *([file_path_column] if file_path_column and file_path_column not in columns else [])])
         return {"spark": lambda: df, "pandas": df.toPandas, "arrow": df.toArrow, "numpy": lambda: df.toPandas().to_numpy()}[read_as]()
@@ -492,36 +502,66 @@ class Catalog:
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return out
 
-    def _rows(self, t: Transaction, info: TableInfo, partition_filter: dict | None = None, file_path_column: str | None = None, ordered: bool = False, bucket: set[int] | None = None, deltas: list | None = None) -> DataFrame:
+    @staticmethod
+    def _settled(info: TableInfo, deltas: list) -> bool:
+        """Whether every stored row stands by itself: there are no keys, or nothing but compacted deltas."""
+        return not info.schema.merge_keys or all(d["type"] == "COMPACTED" for _, d in deltas)
+
+    def _planned(self, info: TableInfo, delta: dict, entries: list[dict], partition_filter: dict | None, row_filter: Predicate | None, settled: bool) -> list[dict]:
+        """The entries that a scan must read."""
+        if partition_filter:
+            entries = [e for e in entries if all(k not in e["partition"] or e["partition"][k] in {str(x) for x in v} for k, v in partition_filter.items())]
+        if row_filter is None or delta["type"] == "DELETE" or not (settled or fields_of(row_filter) <= set(info.schema.merge_keys)):
+            return entries
+        # bounds go by the names of the file's own schema, so only files of the present one are left out
+        return [e for e in entries if e["schema_id"] != info.schema.id or may_match(row_filter, e.get("bounds") or {})]
+
+    def _rows(self, t: Transaction, info: TableInfo, partition_filter: dict | None = None, file_path_column: str | None = None, ordered: bool = False, bucket: set[int] | None = None, deltas: list | None = None, row_filter: Predicate | None = None, limit: int | None = None) -> DataFrame:
         schema = info.schema
         keys, names = schema.merge_keys, [f.name for f in schema.fields]
         found = self._deltas(t, info) if deltas is None else deltas
-        parts = []
+        settled = self._settled(info, found)
+        parts, planned = [], 0
         for p, d in found:
-            entries = self._load(d)
-            if partition_filter:
-                entries = [e for e in entries if all(k not in e["partition"] or e["partition"][k] in {str(x) for x in v} for k, v in partition_filter.items())]
+            entries = self._planned(info, d, self._load(d), partition_filter, row_filter, settled)
             if bucket is not None and d["type"] == "COMPACTED":
                 entries = [e for e in entries if e["bucket"] in bucket]
+            if limit is not None and settled and row_filter is None and not ordered:
+                some = []
+                for e in entries:
+                    if planned >= limit:
+                        break
+                    some.append(e)
+                    planned += e["records"] or 0
+                entries = some
             if entries:
                 parts.append((p, d, self._scan(info, d, p, entries, system=True)))
-        empty = self.spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.struct().fields]))
+        traced = bool(file_path_column or ordered)
         if not parts:
+            empty = self.spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.struct().fields]))
             return empty.withColumn(file_path_column, F.lit(None).cast("string")) if file_path_column else empty
-        if not keys or all(d["type"] == "COMPACTED" for _, d, _ in parts):
+        if settled:
             df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x for _, _, x in parts])
-            if ordered:
-                df = df.orderBy("__pos", "__file", "__row")
-            extra = [F.col("__file").alias(file_path_column)] if file_path_column else []
-            return df.select(*[f"`{n}`" for n in names], *extra)
-        return self._merge_on_read(schema, parts, names, keys)
-
-    def _merge_on_read(self, schema: Schema, parts: list, names: list[str], keys: list[str]) -> DataFrame:
+            df = df.withColumn("__source", F.struct("__pos", "__file", "__row")) if traced else df
+        else:
+            df = self._merge_on_read(schema, parts, names, keys, traced)
+        if ordered:
+            df = df.orderBy("__source")
+        extra = [F.col("__source.__file").alias(file_path_column)] if file_path_column else []
+        return df.select(*[f"`{n}`" for n in names], *extra)
+
+    def _merge_on_read(self, schema: Schema, parts: list, names: list[str], keys: list[str], traced: bool = False) -> DataFrame:
+        """``traced``: with ``__source``, the position, file and row number of the row that was merged last into each."""
+        kind = "struct<__pos:bigint,__file:string,__row:bigint>"
+        if traced:
+            names = [*names, "__source"]
+            parts = [(p, d, x if d["type"] == "DELETE" else x.withColumn("__source", F.struct(F.col("__pos").cast("long").alias("__pos"), "__file", "__row"))) for p, d, x in parts]
         orders = [merge.MergeOrder(n, asc) for n, asc in schema.merge_orders]
         seq = [*([schema.event_time] if schema.event_time and not orders else []), "__file", "__row"]
         state: DataFrame | None = None
         defaults = {f.name: f.future_default for f in schema.fields}
         full = {n.lower() for n in names}
+        nothing = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in schema.struct().fields], *([T.StructField("__source", T._parse_datatype_string(kind), True)] if traced else [])])
         run: list = []
 
         def flush() -> None:
@@ -535,7 +575,7 @@ class Catalog:
                 state = merge.dedupe_merge_order(rows, keys, orders, order) if orders else merge.dedupe_last(rows, keys, order)
                 state = state.select(*[f"`{n}`" for n in names])
             elif partial:
-                base = state if state is not None else self.spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.struct().fields]))
+                base = state if state is not None else self.spark.createDataFrame([], nothing)
                 state = merge.upsert_partial(base, rows, keys, order, defaults).select(*[f"`{n}`" for n in names])
             else:
                 state = merge.upsert(state, rows, keys, order, orders).select(*[f"`{n}`" for n in names])
@@ -553,7 +593,7 @@ class Catalog:
                     flush()  # batches that give other columns are merged apart
                 run.append((p, d, df))
         flush()
-        return state
+        return state if state is not None else self.spark.createDataFrame([], nothing)
 
     # services
 
@@ -579,10 +619,10 @@ class Catalog:
         deltas = self._deltas(t, info)
         stream = t.get(*info.path, "stream")
         at = [*info.path, "streams", stream]
-        n = int(info.properties["default_compaction_hash_bucket_count"])
         keys = info.schema.merge_keys
         old = next((d for _, d in deltas if d["type"] == "COMPACTED"), None)
         round_info = t.get(*at, "round", default={})
+        n = self._buckets(info, deltas, round_info)
         if old and round_info.get("buckets") not in (None, n) and keys:
             old = None  # another bucket count: everything is rewritten
         new = [(p, d) for p, d in deltas if d["type"] != "COMPACTED"]
@@ -613,6 +653,17 @@ class Catalog:
         t.put([*at, "round"], done, "COMPACT")
         return done
 
+    @staticmethod
+    def _buckets(info: TableInfo, deltas: list, round_info: dict) -> int:
+        """Hash buckets of a compaction: the table's property if it is set, else so many that a bucket is about one file; never fewer than before."""
+        n = int(info.properties["default_compaction_hash_bucket_count"])
+        if "default_compaction_hash_bucket_count" in info.data.get("properties", {}):
+            return n
+        rows = sum(d["records"] or 0 for _, d in deltas)
+        while n * info.properties["records_per_compacted_file"] < rows:
+            n *= 2
+        return max(n, round_info.get("buckets") or n)
+
     def rebase(self, table: str, source: str, namespace: str = DEFAULT_NAMESPACE, source_namespace: str | None = None) -> dict:
         """Compacts the deltas of ``source`` into a new stream of ``table``, whatever was compacted there before."""
         with self._work(f"rebase {namespace}.{table} from {source}") as t:
@@ -708,12 +759,13 @@ class Catalog:
                 for p, d in self._deltas(t, info):
                     folder = f"{target.root}/data/{uuid.uuid4().hex}"
                     o.stage(folder)
-                    entries = []
+                    entries, pairs = [], []
                     for e in self._load(d):
                         keep = "/".join(x for x in e["path"].split("/")[:-1] if x.startswith(("_p_", "__bucket=")))
                         to = "/".join(x for x in (folder, keep, e["path"].rsplit("/", 1)[1]) if x)
-                        self.log.files.copy(e["path"], to)
+                        pairs.append((e["path"], to))
                         entries.append(e | {"path": to})
+                    copy_all(self.spark, pairs)
                     target._commit_delta(o, made, d["type"], entries, d["columns"], d["given"], made.schema, position=p)
                 done += 1
         return done

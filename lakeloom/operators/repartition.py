@@ -25,11 +25,13 @@ def range_number(column: str, ranges: Sequence[int]) -> Column:
 def range_repartition(df: DataFrame, column: str, ranges: Sequence[int], path: str, records_per_file: int = 4_000_000) -> list[str]:
     """Writes one folder per range, files of at most ``records_per_file`` rows; returns the folders.
 
-    A range is spread over tasks by the salted second key, so one range with most rows is not one task.
+    A range is spread by the salted second key over as many tasks as a shuffle has for each range, so one range with
+    most rows is not one task.
     """
     n = len(ranges) + 1
+    salts = max(4, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n))
     x = df.withColumn("_range", range_number(column, ranges))
-    x.repartition(n * 4, "_range", F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns if not df.schema[c].dataType.simpleString().startswith("map")]), F.lit(4))).write.option("maxRecordsPerFile", records_per_file).partitionBy("_range").parquet(path)
+    x.repartition(n * salts, "_range", F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns if not df.schema[c].dataType.simpleString().startswith("map")]), F.lit(salts))).write.option("maxRecordsPerFile", records_per_file).partitionBy("_range").parquet(path)
     return [f"{path}/_range={k}" for k in range(n)]
 
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-import time
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-#: A claim older than this was left by a writer that died.
-CLAIM_MS = 60_000
+#: Schemes of file systems on which one of several writers of a name wins.
+EXCLUSIVE = frozenset({"file", "hdfs", "viewfs", "abfs", "abfss"})
 
 
 class Conflict(Exception):
@@ -22,15 +21,22 @@ class Files:
     """The few file operations that metadata needs, through Hadoop's file systems (local, HDFS or object stores)."""
 
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.jvm, self.conf, self.gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.conf), p
 
     def create(self, path: str, text: str) -> bool:
-        """Creates the file unless it is there; False if it is. Written whole before it appears under its name."""
+        """Creates the file unless it is there; False if it is. Written whole before it appears under its name.
+
+        Of several writers exactly one wins: locally by a hard link, on HDFS and hierarchical stores by a rename that
+        refuses an existing target. Stores whose rename copies, or whose create looks first, can't promise that and are refused.
+        """
         fs, p = self._at(path)
+        scheme = fs.getScheme()
+        if scheme not in EXCLUSIVE:
+            raise NotImplementedError(f"commits need a file system with exclusive creation ({', '.join(sorted(EXCLUSIVE))}), not {scheme}")
         if fs.exists(p):
             return False
         tmp = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
@@ -38,20 +44,23 @@ class Files:
         out = fs.create(tmp, False)
         out.write(bytearray(text.encode()))
         out.close()
-        claim = self.jvm.org.apache.hadoop.fs.Path(f"{path}.claim")
-        if fs.exists(claim) and time.time() * 1000 - fs.getFileStatus(claim).getModificationTime() > CLAIM_MS:
-            fs.delete(claim, False)  # its writer died between claim and rename
         try:
-            if fs.getScheme() == "file":  # Hadoop's local file system looks before it creates, which two writers can do at once
-                os.close(os.open(claim.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            if scheme == "file":
+                os.link(tmp.toUri().getPath(), p.toUri().getPath())
             else:
-                fs.create(claim, False).close()  # exclusive: one writer wins
+                rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+                options = self.gateway.new_array(rename, 1)
+                options[0] = rename.NONE
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf).rename(tmp, p, options)
+            return True
+        except FileExistsError:
+            return False
         except Exception:
+            if fs.exists(p):
+                return False
+            raise
+        finally:
             fs.delete(tmp, False)
-            return False
-        done = not fs.exists(p) and bool(fs.rename(tmp, p))
-        fs.delete(claim, False)
-        return done
 
     def read(self, path: str) -> str:
         fs, p = self._at(path)

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.feather as feather
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from ..plans.store import Files
+from ..session import ship
+from . import avro
+from .files import open_input, write_whole
 
 #: Content types.
 PARQUET, CSV, TSV, PSV, RAW_TSV, JSON, ORC, FEATHER, AVRO, TEXT, XML, BINARY = (
@@ -29,7 +36,7 @@ CODECS = {"gz": "gzip", "gzip": "gzip", "bz2": "bzip2", "zst": "zstd", "zstd": "
 #: Sources and sinks that need a connector on the class path.
 CONNECTORS = {
     "bigquery": "spark-bigquery", "clickhouse": "clickhouse-spark", "databricks": "delta-spark", "delta_lake": "delta-spark", "delta_sharing": "delta-sharing-spark", "hudi": "hudi-spark", "iceberg": "iceberg-spark-runtime", "lance": "lance-spark",
-    "mongo": "mongo-spark-connector", "avro": "spark-avro", "tfrecords": "spark-tfrecord", "webdataset": "a tar reader", "warc": "a warc reader", "audio": "an audio decoder", "videos": "a video decoder", "hdf": "pytables", "html": "an html parser",
+    "mongo": "mongo-spark-connector", "tfrecords": "spark-tfrecord", "webdataset": "a tar reader", "warc": "a warc reader", "audio": "an audio decoder", "videos": "a video decoder", "hdf": "pytables", "html": "an html parser",
 }
 
 
@@ -62,12 +69,14 @@ class Delimited:
     escape: str = '"'
     booleans: tuple[str, str] | None = None
     all_text: bool = False
+    #: No cell holds a line end, so a large file may be split between tasks.
+    line_per_row: bool = False
 
 
 def read_delimited(spark: SparkSession, paths: Sequence[str], kind: str = CSV, schema: T.StructType | None = None, options: Delimited = Delimited()) -> DataFrame:
     """Delimited text; with a schema decimals are read as text, rounded half to even to the field's scale, and fail on overflow."""
     o = options
-    r = spark.read.option("header", o.header).option("sep", o.delimiter or DELIMITED[kind]).option("escape", o.escape).option("multiLine", kind != RAW_TSV)
+    r = spark.read.option("header", o.header).option("sep", o.delimiter or DELIMITED[kind]).option("escape", o.escape).option("multiLine", kind != RAW_TSV and not o.line_per_row)
     r = r.option("quote", "" if kind == RAW_TSV else o.quote)
     r = r.option("nullValue", "" if o.null_as is None else o.null_as).option("mode", "FAILFAST")
     if schema is None:
@@ -95,23 +104,34 @@ def rounded_decimal(text, kind: T.DecimalType):
     return F.bround(wide, kind.scale).cast(kind)
 
 
-def _feather_rows(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Feather files: the schema from the first, the rows by one task per file through Arrow batches."""
-    import pyarrow.feather as feather
-
-    local = [p.removeprefix("file:") for p in paths]
-    files = [f for p in local for f in ([x.removeprefix("file:") for x, _ in Files(spark).sizes(p)] or [p])]
-    schema = feather.read_table(files[0], memory_map=True).slice(0, 0).schema
+def _file_rows(spark: SparkSession, paths: Sequence[str], kind: str) -> DataFrame:
+    """Feather or Avro files: the schema from the first, the rows by tasks that read whole files in Arrow batches."""
+    files = [f for p in paths for f in ([x for x, _ in Files(spark).sizes(p)] or [p])]
+    ship()
+    if kind == FEATHER:
+        with open_input(files[0]) as f:
+            arrow = pa.ipc.open_file(f).schema
+        schema = from_arrow_schema(arrow)
+    else:
+        with open_input(files[0]) as f:
+            schema = avro.spark_type(avro.header(f)[0])
+        arrow = to_arrow_schema(schema, timezone="UTC")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
-                yield from feather.read_table(path).select(schema.names).cast(schema).to_batches(max_chunksize=10_000)
+                with open_input(path) as f:
+                    if kind == FEATHER:
+                        source = pa.ipc.open_file(f)
+                        for n in range(source.num_record_batches):
+                            yield from pa.Table.from_batches([source.get_batch(n)]).select(arrow.names).cast(arrow).to_batches(max_chunksize=10_000)
+                    else:
+                        for part in avro.rows(f):
+                            for k in range(0, len(part), avro.ROWS):
+                                yield pa.RecordBatch.from_pylist(part[k : k + avro.ROWS], arrow)
 
     listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files))
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    return listed.mapInArrow(rows, from_arrow_schema(schema))
+    return listed.mapInArrow(rows, schema)
 
 
 def connector(spark: SparkSession, name: str) -> str:
@@ -136,16 +156,16 @@ def read(spark: SparkSession, paths: Sequence[str] | str, kind: str | None = Non
         df = with_schema(spark.read.options(**options)).json(paths)
     elif kind in DELIMITED:
         df = read_delimited(spark, paths, kind, schema, Delimited(**options))
-    elif kind == FEATHER:
-        df = _feather_rows(spark, paths)
+    elif kind in (FEATHER, AVRO):
+        df = _file_rows(spark, paths, kind)
     elif kind == TEXT:
         df = spark.read.options(**options).text(paths)
     elif kind == XML:
         df = with_schema(spark.read.format("xml").options(**{"rowTag": "row", **options})).load(paths)
     elif kind == BINARY:
         df = spark.read.format("binaryFile").options(**options).load(paths)
-    elif kind == AVRO or kind in CONNECTORS:
-        df = spark.read.format(connector(spark, "avro" if kind == AVRO else kind)).options(**options).load(paths)
+    elif kind in CONNECTORS:
+        df = spark.read.format(connector(spark, kind)).options(**options).load(paths)
     else:
         raise ValueError(f"unknown content type {kind}")
     return df if columns is None else project(df, columns)
@@ -167,8 +187,8 @@ def with_file_path(df: DataFrame, name: str = "file_path") -> DataFrame:
 def write(df: DataFrame, path: str, kind: str = PARQUET, records_per_file: int | None = None, codec: str | None = None) -> list[tuple[str, int]]:
     """Writes ``df`` and returns (file, bytes); files hold at most ``records_per_file`` rows."""
     spark = df.sparkSession
-    if kind == FEATHER:
-        _write_feather(df, path, records_per_file)
+    if kind in (FEATHER, AVRO):
+        _write_whole_files(df, path, kind, records_per_file)
         return Files(spark).sizes(path)
     w = df.write.mode("errorifexists")
     if records_per_file:
@@ -188,29 +208,33 @@ def write(df: DataFrame, path: str, kind: str = PARQUET, records_per_file: int |
     elif kind == XML:
         w.format("xml").option("rowTag", "row").save(path)
     else:
-        w.format(connector(spark, "avro" if kind == AVRO else kind)).save(path)
+        w.format(connector(spark, kind)).save(path)
     return Files(spark).sizes(path)
 
 
-def _write_feather(df: DataFrame, path: str, records_per_file: int | None) -> None:
-    import os
+def _write_whole_files(df: DataFrame, path: str, kind: str, records_per_file: int | None) -> None:
+    """Feather or Avro: each task writes its rows in files of at most so many, each under its name only when it is whole.
 
-    folder = path.removeprefix("file:")
-    os.makedirs(folder, exist_ok=False)
-    per = records_per_file or 4_000_000
+    A task that is run again writes the same names, so a lost executor leaves no rows twice.
+    """
+    if Files(df.sparkSession).exists(path):
+        raise FileExistsError(path)
+    per, schema, run = records_per_file or 1_000_000, df.schema, uuid.uuid4().hex
+    ship()
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        import pyarrow.feather as feather
-
         held: list[pa.RecordBatch] = []
-        names = []
+        names: list[str] = []
+        task = TaskContext.get().partitionId()
 
         def flush() -> None:
-            name = f"{folder}/part-{uuid.uuid4().hex}.feather"
-            feather.write_feather(pa.Table.from_batches(held), name + ".tmp")
-            os.rename(name + ".tmp", name)
+            name = f"{path}/part-{task:05d}-{len(names):05d}-{run}.{'feather' if kind == FEATHER else 'avro'}"
+            if kind == FEATHER:
+                out = pa.BufferOutputStream()
+                feather.write_feather(pa.Table.from_batches(held), out)
+                write_whole(name, out.getvalue())
+            else:
+                write_whole(name, avro.packed(schema, held))
             names.append(name)
             held.clear()
 

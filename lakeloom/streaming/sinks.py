@@ -15,18 +15,21 @@ from ..operators.changefeed import BucketedTable
 def upsert_stream(stream: DataFrame, catalog: Catalog, table: str, checkpoint: str, namespace: str = "DEFAULT", event_time: str | None = None, lateness: str | None = None, once: bool = True) -> StreamingQuery:
     """Writes each micro-batch to a keyed table; a batch that is repeated after a failure changes nothing.
 
-    The batch number is kept in the transaction's message, so a batch already committed is passed over. With
-    ``event_time`` and ``lateness`` a watermark drops nothing here but bounds the state of operators before the sink.
+    The number of the last batch is kept in the table's state by checkpoint and committed with the rows, so a batch
+    already committed is passed over without a look at the history. Within a batch the table's event time decides
+    between rows of one key; a later batch wins over earlier ones. With ``event_time`` and ``lateness`` a watermark
+    bounds the state of operators before the sink.
     """
     if event_time and lateness:
         stream = stream.withWatermark(event_time, lateness)
 
     def write(batch: DataFrame, number: int) -> None:
-        mark = f"stream {checkpoint} batch {number}"
-        if any(catalog.log.commit(v)["message"] == mark for v in catalog.log.versions()):
-            return
-        with catalog.transaction(mark):
-            catalog.write(batch, table, namespace, mode="merge" if catalog.table_exists(table, namespace) else "auto")
+        with catalog.transaction(f"stream {checkpoint} batch {number}") as t:
+            exists = catalog.table_exists(table, namespace)
+            if exists and number <= t.get(*catalog.get_table(table, namespace).path, "batches", checkpoint, default=-1):
+                return
+            catalog.write(batch, table, namespace, mode="merge" if exists else "auto")
+            t.put([*catalog.get_table(table, namespace).path, "batches", checkpoint], number)
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

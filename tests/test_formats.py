@@ -37,9 +37,9 @@ def test_decimals_are_rounded_half_even_and_overflow_fails(spark, rows, tmp_path
 
 
 def test_missing_connectors_say_so(spark):
-    for name in ("iceberg", "avro"):
+    for name in ("iceberg", "hudi"):
         with pytest.raises(S.ConnectorUnavailable):
-            S.read(spark, ["x"], name if name != "avro" else S.AVRO)
+            S.read(spark, ["x"], name)
 
 
 def test_projection_ignores_case(spark):
