@@ -71,15 +71,16 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     if not widths:
         return documents.select("doc_id").join(items.select("item_id"), F.lit(False)).distinct()
     docs = documents.select("doc_id", "text")
-    side = bounded_broadcast(q.select("width", F.col("sketch").alias("h")).distinct())
+    side = bounded_broadcast(q.select(F.col("sketch").alias("h")).distinct())  # one number is the fastest key; widths are compared with the words
     of_width = F.array(*[F.struct(F.lit(k).alias("width"), _shingles(F.col("w"), k).alias("hs")) for k in widths])
     hashed = _blocks(spread(docs)).select("doc_id", "s", "own", F.explode(of_width).alias("_w")).select("doc_id", "s", "own", "_w.width", F.posexplode("_w.hs").alias("pos", "h"))
     # the first ``own`` words belong to the block before, those after BLOCK to the next
     hashed = hashed.filter((F.col("pos") >= F.col("own")) & (F.col("pos") < F.col("own") + BLOCK)).drop("own")
-    hits = hashed.join(side, ["h", "width"], "left_semi")
+    hits = hashed.join(side, "h", "left_semi")
     hits = cut(hits)
     named = bounded_broadcast(hits.select("doc_id").distinct()).alias("k")
-    some = docs.alias("d").join(named, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    # written, as the filter on the number of words would else be moved before this join and split every text again
+    some = cut(docs.alias("d").join(named, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi"))
     at = _blocks(some).alias("b").join(bounded_broadcast(hits).alias("t"), F.col("b.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("b.s") == F.col("t.s"))).select("b.doc_id", "b.w", "t.pos", "t.h", "t.width")
     side = bounded_broadcast(q.select("item_id", "size", "sketch", "at", "passage", F.col("width").alias("_width")))
     begin = F.col("pos") - F.col("at") + 2  # 1-based place of the passage
