@@ -482,6 +482,18 @@ class Catalog:
             df = formats.project(df, [*columns, *([file_path_column] if file_path_column and file_path_column not in columns else [])])
         return {"spark": lambda: df, "pandas": df.toPandas, "arrow": df.toArrow, "numpy": lambda: df.toPandas().to_numpy()}[read_as]()
 
+    def read_window(self, table: str, after: int, upto: int, namespace: str = DEFAULT_NAMESPACE, version: str | None = None, as_of: int | None = None) -> DataFrame:
+        """The rows written by the deltas with positions in (after, upto], each under its position; deletes and compacted deltas are left out."""
+        with self._snapshot(as_of) as t:
+            info = self._info(t, table, namespace, version)
+            found = [(p, d) for p, d in self._deltas(t, info) if after < p <= upto and d["type"] not in ("DELETE", "COMPACTED")]
+            parts = [x for p, d in found if (x := self._scan(info, d, p, self._load(d), system=True)) is not None]
+        names = [f.name for f in info.schema.fields]
+        if not parts:
+            return self.spark.createDataFrame([], T.StructType([*[T.StructField(f.name, f.dataType, True) for f in info.schema.struct().fields], T.StructField("stream_position", T.LongType())]))
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return df.select(*[f"`{n}`" for n in names], F.col("__pos").cast("long").alias("stream_position"))
+
     def _scan(self, info: TableInfo, delta: dict, position: int, entries: list[dict], system: bool) -> DataFrame | None:
         """The rows of some entries, each group of one schema and format in one scan, coerced to the current schema."""
         current, out = info.schema, None

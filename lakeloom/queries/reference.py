@@ -230,7 +230,12 @@ def key_range_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM orders WHERE o_orderkey = 1234")
 def key_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").filter(groups.in_range(F.col("o_orderkey"), 1234, 1234))
+    """One key of a dataset whose files are sorted by key, so that the footers leave other files out."""
+    o = table(spark, d, "orders")
+    g = groups.FieldGroups(spark, shared_path(spark, "groups"), "o_orderkey")
+    g.add_schema("all", o.schema)
+    g.write("all", o)
+    return g.lookup(1234)
 
 
 @query("SELECT shard, count(*) AS n FROM (SELECT CASE WHEN o_custkey <= 1 + 99 * 1 // 4 THEN 0 WHEN o_custkey <= 1 + 99 * 2 // 4 THEN 1 WHEN o_custkey <= 1 + 99 * 3 // 4 THEN 2 ELSE 3 END AS shard FROM orders WHERE o_custkey BETWEEN 1 AND 100) GROUP BY shard")
@@ -473,7 +478,11 @@ def scan_projection_file_path(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT stream_id, count(*) AS entries, count(DISTINCT uri) AS uris FROM manifest_entries GROUP BY stream_id")
 def schemaless_manifest_read(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "manifest_entries").groupBy("stream_id").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("uri").alias("uris"))
+    """A table without schema reads as a manifest; the data are read through it."""
+    c = _catalog(spark)
+    c.create_table("entries")
+    c.write(table(spark, d, "manifest_entries").select("stream_id", "uri"), "entries", mode="append")
+    return formats.from_manifest(spark, c.read("entries")).groupBy("stream_id").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("uri").alias("uris"))
 
 
 def _round_trip(kind: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -498,11 +507,13 @@ def join_group_sum(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("lifetime"))
 
 
-@query("SELECT stream_id, partition_id, count(*) AS n, CAST(sum(record_count) AS BIGINT) AS records FROM deltas WHERE committed_at IS NOT NULL AND stream_position > 10 AND stream_position <= 1720000000000 GROUP BY ALL")
+@query("SELECT CAST(o_orderkey % 4 + 1 AS BIGINT) AS stream_position, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders WHERE o_orderkey % 4 IN (1, 2) GROUP BY ALL")
 def incremental_window(spark: SparkSession, d: str) -> DataFrame:
-    """Deltas of the window (watermark, last position]."""
-    x = table(spark, d, "deltas").filter("committed_at IS NOT NULL AND stream_position > 10 AND stream_position <= 1720000000000")
-    return x.groupBy("stream_id", "partition_id").agg(F.count(F.lit(1)).alias("n"), F.sum("record_count").alias("records"))
+    """The deltas of a table in the window (watermark, last position]."""
+    c, o = _catalog(spark), table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    for k in range(4):
+        c.write(o.filter(F.col("o_orderkey") % 4 == k), "orders", mode="append" if k else "create")
+    return c.read_window("orders", 1, 3).groupBy("stream_position").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("price"))
 
 
 @query("SELECT l_returnflag, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY l_returnflag")
@@ -538,16 +549,23 @@ def converter_session(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a stream of files merged into a keyed table; the event time decides between events of a user."""
+    """All events as a stream of four batches in order of time, merged into a keyed table.
+
+    The event time decides between events of a user in one batch (of equal times the later row), a later batch wins.
+    """
     from ..streaming.sinks import upsert_stream
 
-    at, x = shared_path(spark, "stream"), table(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("o"), "event_id", "event_type")
-    x.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "o").alias("r")).select("user_id", "r.*").write.parquet(f"{at}/source")
+    at, x = shared_path(spark, "stream"), table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    cuts = x.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or []
+    number = sum((F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(v), F.lit(False)).cast("int") for v in sorted(set(cuts))), F.lit(0))
+    for k in range(len(set(cuts)) + 1):
+        x.filter(number == k).coalesce(1).sortWithinPartitions("ts", "event_id").write.mode("append").parquet(f"{at}/source")
     c = _catalog(spark)
-    c.create_table("latest", schema=evolution.Schema.of([evolution.Field("user_id", "bigint", merge_key=True), evolution.Field("event_id", "bigint"), evolution.Field("event_type", "string")]))
-    source = spark.readStream.schema("user_id bigint, event_id bigint, event_type string").parquet(f"{at}/source")
+    kind = x.schema["ts"].dataType.simpleString()
+    c.create_table("latest", schema=evolution.Schema.of([evolution.Field("user_id", "bigint", merge_key=True), evolution.Field("event_id", "bigint"), evolution.Field("event_type", "string"), evolution.Field("ts", kind, event_time=True)]))
+    source = spark.readStream.schema(f"user_id bigint, event_id bigint, event_type string, ts {kind}").option("maxFilesPerTrigger", 1).parquet(f"{at}/source")
     upsert_stream(source, c, "latest", f"{at}/checkpoint").awaitTermination()
-    return c.read("latest")
+    return c.read("latest", columns=["user_id", "event_id", "event_type"])
 
 
 @query("SELECT 'ADD' AS delta_type, 2 AS files, 2 * count(*) AS records FROM region")

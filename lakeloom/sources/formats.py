@@ -115,7 +115,7 @@ def _file_rows(spark: SparkSession, paths: Sequence[str], kind: str) -> DataFram
     else:
         with open_input(files[0]) as f:
             schema = avro.spark_type(avro.header(f)[0])
-        arrow = to_arrow_schema(schema, timezone="UTC")
+        arrow = to_arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
