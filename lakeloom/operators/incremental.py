@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.store import VersionedFolder
-from ..session import bounded_broadcast, cut, shared_path, shuffles_removed
+from ..session import bounded_broadcast, cut, scratch, shared_path, shuffles_removed
 from . import merkle
 
 KEY = ["stream_id", "partition_id", "stream_position"]
@@ -50,10 +50,11 @@ def pending(deltas: DataFrame, run_log: DataFrame, path: str | None = None) -> D
     give no rows.
     """
     spark = deltas.sparkSession
-    both = cut(versions(deltas, run_log))
-    run = IncrementalRun(spark, path or shared_path(spark, "incremental"), KEY, STATE, merkle.Shape.for_rows(both.count()))
-    run.run(both.filter("was_seen").select(*KEY, F.col("seen").alias("manifest_id")))
-    run.run(both.select(*KEY, F.col("now").alias("manifest_id")))
+    with scratch(spark):
+        both = cut(versions(deltas, run_log))
+        run = IncrementalRun(spark, path or shared_path(spark, "incremental"), KEY, STATE, merkle.Shape.for_rows(both.count()))
+        run.run(both.filter("was_seen").select(*KEY, F.col("seen").alias("manifest_id")))
+        run.run(both.select(*KEY, F.col("now").alias("manifest_id")))
     return run.output().filter(F.col("change") == UPSERTED).drop("change")
 
 
@@ -87,6 +88,10 @@ class IncrementalRun:
         little else, as it is written once before it is compared. Raises ``store.Conflict`` if another run published in
         between. Repeated records count once if they are equal.
         """
+        with scratch(self.spark):
+            return self._run(now, process)
+
+    def _run(self, now: DataFrame, process: Callable[[DataFrame], DataFrame]) -> int:
         base, info = self._info()
         now = cut(now)
         shape = merkle.Shape(*info["shape"]) if info else self._shape or merkle.Shape.for_rows(now.count())

@@ -79,21 +79,34 @@ def tree(records: DataFrame, keys: list[str], state: list[str], shape: Shape) ->
     return out
 
 
+#: Nodes of a level that may come to the driver as literals of the next level's filter.
+FEW = 4_096
+
+
 def differing_leaves(now: DataFrame, saved: DataFrame, shape: Shape) -> DataFrame:
     """(node) of the leaves whose digests differ, found from the root down.
 
-    Only children of differing nodes are compared at each level. A node missing on one side differs.
+    Only children of differing nodes are compared at each level; of levels with at most ``FEW`` nodes the differing ones
+    become a filter of the next, of larger levels they are written and joined. A node missing on one side differs.
     """
-    at = None
+    at, nodes = None, None
     for k in range(shape.depth + 1):
-        a = now.filter(F.col("level") == k).select("node", F.col("digest").alias("a"))
-        b = saved.filter(F.col("level") == k).select("node", F.col("digest").alias("b"))
-        if at is not None:
-            a = a.join(at, F.shiftright(a["node"], shape.bits) == at["up"], "left_semi")
-            b = b.join(at, F.shiftright(b["node"], shape.bits) == at["up"], "left_semi")
-        found = a.join(b, "node", "full").filter(~F.col("a").eqNullSafe(F.col("b")))
-        at = found.select(F.col("node").alias("up"))
-    return at.select(F.col("up").alias("node"))
+        sides = []
+        for tree_, name in ((now, "a"), (saved, "b")):
+            x = tree_.filter(F.col("level") == k).select("node", F.col("digest").alias(name))
+            if nodes is not None:
+                x = x.filter(F.shiftright("node", shape.bits).isin(nodes))
+            elif at is not None:
+                x = x.join(at, F.shiftright(x["node"], shape.bits) == at["up"], "left_semi")
+            sides.append(x)
+        found = sides[0].join(sides[1], "node", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("node")
+        if k == shape.depth:
+            return found
+        if 1 << (shape.bits * k) <= FEW:
+            nodes, at = [r[0] for r in found.collect()], None
+        else:
+            nodes, at = None, cut(found.select(F.col("node").alias("up")))
+    raise AssertionError("a tree has a leaf level")
 
 
 def changed(now: DataFrame, saved: DataFrame, keys: list[str], state: list[str], shape: Shape, trees: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.store import Conflict, VersionedFolder
-from ..session import bounded_broadcast, cut, shuffles_removed
+from ..session import bounded_broadcast, cut, scratch, shuffles_removed
 from .ordered import running_totals
 
 PARTITION = ["stream_id", "partition_id"]
@@ -263,6 +263,10 @@ class CompactedFolder:
 
     def merge_small(self, min_bytes: int, target_bytes: int, min_files: int = 2) -> int | None:
         """Returns the new version, or None if no partition has enough small files. An output holds at most ``target_bytes`` and one file."""
+        with scratch(self.spark):
+            return self._merge_small(min_bytes, target_bytes, min_files)
+
+    def _merge_small(self, min_bytes: int, target_bytes: int, min_files: int) -> int | None:
         base = self.store.latest()
         if base is None:
             return None
