@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,18 +65,22 @@ def roots(folded: DataFrame) -> DataFrame:
         F.coalesce(F.col("sent_at") < F.col("_sent"), F.lit(False)).alias("early"),
     )
     state = cut(state)
-    left = state.filter("ptr IS NOT NULL").count()
+    # rows that are settled stay where they were written; a round writes only those that were open before it
+    settled, open_ = [state.filter("ptr IS NULL")], state.filter("ptr IS NOT NULL")
+    left = open_.count()
     while left:
-        t = state.select(F.col("group_id").alias("_g"), F.col("msg_id").alias("_id"), F.col("root").alias("_root"), F.col("ptr").alias("_ptr"))
-        open_ = state.filter("ptr IS NOT NULL")
+        known = reduce(DataFrame.unionByName, [*settled, open_])
+        t = known.select(F.col("group_id").alias("_g"), F.col("msg_id").alias("_id"), F.col("root").alias("_root"), F.col("ptr").alias("_ptr"))
         moved = open_.join(t, (open_["group_id"] == t["_g"]) & (open_["ptr"] == t["_id"]), "left")
-        moved = moved.select(*[c for c in state.columns if c not in ("root", "ptr", "early")], F.col("_root").alias("root"), F.col("_ptr").alias("ptr"), "early")
-        state = cut(state.filter("ptr IS NULL").unionByName(moved), replaces=state)
-        now = state.filter("ptr IS NOT NULL").count()
+        moved = cut(moved.select(*[c for c in state.columns if c not in ("root", "ptr", "early")], F.col("_root").alias("root"), F.col("_ptr").alias("ptr"), "early"))
+        settled.append(moved.filter("ptr IS NULL"))
+        open_ = moved.filter("ptr IS NOT NULL")
+        now = open_.count()
         if now == left:
             break  # only cycles are left
         left = now
-    return state.withColumn("root", F.when(F.col("ptr").isNull(), F.col("root"))).drop("ptr")
+    # what is still open never ends and has no root
+    return reduce(DataFrame.unionByName, [*settled, open_.withColumn("root", F.lit(None).cast(state.schema["root"].dataType))]).drop("ptr")
 
 
 def conversations(messages: DataFrame, piece_rows: int = 1_000_000) -> DataFrame:

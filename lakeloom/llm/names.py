@@ -218,6 +218,7 @@ def names(text: str, folder: str = FOLDER) -> Iterator[tuple[int, int, float]]:
         plain[c] += t.kind == ORDINARY and t.low not in WORDS
         foreign[c] += t.kind == FOREIGN or t.low in WORDS
         total[c] += 1
+    ordinary = sum(plain)
     i, last_end = 0, -9
     while i < len(toks):
         found = _candidate(text, toks, i)
@@ -226,7 +227,7 @@ def names(text: str, folder: str = FOLDER) -> Iterator[tuple[int, int, float]]:
             continue
         start, end, title, used, upto = found
         c, rest = clauses[i], len(toks) - len(used)
-        score = _score(text, start, end, title, used, plain[c] >= 2 and 2 * plain[c] >= total[c] - len(used) and not foreign[c], rest >= 3 and 2 * sum(plain) < rest, last_end)
+        score = _score(text, start, end, title, used, plain[c] >= 2 and 2 * plain[c] >= total[c] - len(used) and not foreign[c], rest >= 3 and 2 * ordinary < rest, last_end)
         if score >= 0.5:
             last_end = end
             i = upto
