@@ -13,9 +13,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side may be broadcast up to this many rows, counted before the hint is given.
 BROADCAST_ROWS = 250_000
+#: ... whose texts and nested values take at most so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -115,9 +118,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def bounded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows (BROADCAST_ROWS if None), else unchanged (Spark then shuffles)."""
+    """``df`` with a broadcast hint if it is small, else unchanged (Spark then shuffles).
+
+    Small is at most ``rows`` rows (BROADCAST_ROWS if None) whose texts, bytes and nested values take at most BROADCAST_BYTES; both
+    are measured, on no more than one row beyond the bound.
+    """
     rows = BROADCAST_ROWS if rows is None else rows
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    sizes = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    sizes += [F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))) for f in df.schema if isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType)]
+    width = F.sum(sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(0).cast("long")))
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), width).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -60,3 +60,11 @@ def test_workers_know_the_package(spark):
             yield p
 
     assert spark.range(1).mapInPandas(where, "id long").first()[0] > 0
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    df = spark.range(10).selectExpr("id", "repeat('x', 100) AS `a.b`", "array(id) AS c")
+    assert hinted(S.bounded_broadcast(df)) and not hinted(S.bounded_broadcast(df, 9)) and hinted(S.bounded_broadcast(df.limit(0)))
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 900)
+    assert not hinted(S.bounded_broadcast(df)) and hinted(S.bounded_broadcast(df.limit(3)))
